@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cuelake.llm import bpe, chat, decontaminate, pii, quality, secrets, token_files, warc
+from cuelake.llm import bpe, chat, decontaminate, near_dups, pii, quality, secrets, substrings, token_files, warc
 
 QUERIES = {
+    "op1_substrings": substrings.op1_substrings,
     "op2_pii": pii.op2_pii,
     "op3_chat": chat.op3_chat,
     "op4_bpe": bpe.op4_bpe,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_token_files": token_files.op7_token_files,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_near_dups": near_dups.op9_near_dups,
     "op10_quality": quality.op10_quality,
 }
 
