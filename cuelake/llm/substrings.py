@@ -35,6 +35,7 @@ from functools import partial
 import numpy as np
 from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cuelake.llm import common
 from cuelake.llm.shingles import mix
@@ -42,11 +43,23 @@ from cuelake.llm.shingles import mix
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM
 HOT = 1024
-CHUNK = 1 << 21
+#: Bytes of text that are read at once, and bytes of the input for each cut of an exchange.
+CHUNK, CUT_BYTES = 1 << 21, 32 << 20
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 _LAST = 1 << 63
-_SEP = b"\xff"  # in no UTF-8 text
+_PAD = 255  # in no UTF-8 text
+
+
+def _hashes(raw: bytes) -> np.ndarray:
+    """The hash of the gram at each place."""
+    padded = np.frombuffer(raw + bytes(8), np.uint8)
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(raw),), (1,))
+    m = len(raw) - GRAM + 1
+    h = eight[:m] * _U(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> _U(32))) + eight[8 : m + 8] * _U(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> _U(29))) * _U(0xD6E8FEB86659FD93) + eight[16 : m + 16] * _U(0x165667B19E3779F9)
+    return mix(h)
 
 
 def anchors(raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +67,8 @@ def anchors(raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    padded = np.frombuffer(raw + bytes(8), np.uint8)
-    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (n,), (1,))
-    m = n - GRAM + 1
-    h = eight[:m] * _U(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> _U(32))) + eight[8 : m + 8] * _U(0xC2B2AE3D27D4EB4F)
-    h = (h ^ (h >> _U(29))) * _U(0xD6E8FEB86659FD93) + eight[16 : m + 16] * _U(0x165667B19E3779F9)
-    h = mix(h)
+    h = _hashes(raw)
+    m = len(h)
     least = (h & ~_LOW) | np.arange(m, dtype=np.uint64)
     width = 1
     while 2 * width <= REACH + 1:
@@ -78,37 +86,84 @@ def anchors(raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at] >> _U(16)
 
 
-def context(raw: bytes, low: int, high: int, at: int) -> bytes:
-    """The suffix at an anchor of the text raw[low:high], cut to LENGTH, and what stands before it, backwards."""
-    return raw[at : min(at + LENGTH, high)] + _SEP + raw[max(low, at - REACH) : at][::-1]
+def gram_hashes(grams: np.ndarray) -> np.ndarray:
+    """The sorted hashes that anchors() gives these grams."""
+    if not len(grams):
+        return np.zeros(0, np.uint64)
+    return np.unique(_hashes(grams.tobytes())[::GRAM] >> _U(16))
+
+
+def contexts(raw: bytes, low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row for each anchor in a text raw[low:high]: LENGTH bytes from it on, then REACH before it, backwards, both filled up."""
+    data = np.frombuffer(raw, np.uint8)
+    ahead = at[:, None] + np.arange(LENGTH)
+    behind = at[:, None] - 1 - np.arange(REACH)
+    out = np.empty((len(at), LENGTH + REACH), np.uint8)
+    out[:, :LENGTH] = np.where(ahead < high[:, None], data[np.minimum(ahead, len(data) - 1)], _PAD)
+    out[:, LENGTH:] = np.where(behind >= low[:, None], data[np.maximum(behind, 0)], _PAD)
+    return out
+
+
+def places(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest number of bytes by which strings may begin before each anchor."""
+    return np.maximum(0, LENGTH - (high - at)), np.minimum(REACH, at - low)
+
+
+def strings_round(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the anchor, start) of every string round each anchor, by anchor, then from the last start to the first."""
+    first, last = places(low, high, at)
+    counts = np.maximum(0, last - first + 1)
+    owner = np.repeat(np.arange(len(at)), counts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return owner, at[owner] - first[owner] - nth
+
+
+def strings(raw: bytes, starts: np.ndarray) -> np.ndarray:
+    """The LENGTH bytes from each start on."""
+    return np.frombuffer(raw, np.uint8)[starts[:, None] + np.arange(LENGTH)]
 
 
-def valid(low: int, high: int, at: int) -> range:
-    """By how many bytes strings may begin before the anchor."""
-    return range(max(0, LENGTH - (high - at)), min(REACH, at - low) + 1)
+def digests(rows: np.ndarray) -> np.ndarray:
+    """16 bytes for each row of bytes, as one array of strings."""
+    n, width = rows.shape
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = rows
+    words = words.view(np.uint64)
+    out = np.empty((n, 2), np.uint64)
+    for k, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+        h = np.full(n, salt, np.uint64)
+        for c in range(words.shape[1]):
+            h = mix((h ^ words[:, c]) * _U(salt | 1))
+        out[:, k] = h
+    return out.view("S16").ravel()
+
+
+def sorted_rows(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows in order, the least doc_id of each, and whether several documents have it."""
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    rows, docs = rows[order], docs[order]
+    at = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)])
+    least = np.minimum.reduceat(docs, at)
+    return rows[at], least, np.maximum.reduceat(docs, at) != least
 
 
 # Sorted runs, front-coded, and their merge.
 
 
-def front_code(rows: list[tuple[bytes, int, bool]]) -> bytes:
-    """Sorted distinct (string, least doc_id, in several documents)."""
-    known, lengths, parts, before = bytearray(), bytearray(), [], b""
-    for s, _, _ in rows:
-        n = common_prefix(before, s, 0)
-        known.append(n)
-        lengths.append(len(s) - n)
-        parts.append(s[n:])
-        before = s
-    docs = np.array([d for _, d, _ in rows], np.uint64).tobytes()
-    return zlib.compress(pickle.dumps((bytes(known), bytes(lengths), b"".join(parts), docs, bytes([m for _, _, m in rows]))), 1)
+def front_code(rows: np.ndarray, docs: np.ndarray, many: np.ndarray) -> bytes:
+    """Sorted distinct rows with their least doc_id and whether several documents have them."""
+    known = np.zeros(len(rows), np.uint8)
+    known[1:] = (rows[1:] != rows[:-1]).argmax(axis=1)
+    rest = rows[np.arange(rows.shape[1]) >= known[:, None]]
+    return zlib.compress(pickle.dumps((rows.shape[1], known.tobytes(), rest.tobytes(), docs.tobytes(), many.astype(np.uint8).tobytes())), 1)
 
 
 def front_decode(code: bytes) -> Iterator[tuple[int, bytes, int, int]]:
     """(prefix known from the one before, string, least doc_id, in several documents)"""
-    known, lengths, parts, docs, many = pickle.loads(zlib.decompress(code))
+    width, known, parts, docs, many = pickle.loads(zlib.decompress(code))
     at, before = 0, b""
-    for k, n, d, m in zip(known, lengths, np.frombuffer(docs, np.uint64).tolist(), many, strict=True):
+    for k, d, m in zip(known, np.frombuffer(docs, np.uint64).tolist(), many, strict=True):
+        n = width - k
         before = before[:k] + parts[at : at + n]
         at += n
         yield k, before, d, m
@@ -172,31 +227,30 @@ def merge(codes: list[bytes]) -> Iterator[tuple[int, bytes, int, int, int]]:
             node >>= 1
 
 
-def digest(s: bytes) -> bytes:
-    return hashlib.blake2b(s, digest_size=10).digest()
-
-
 def judge(group: list[tuple[bytes, int, list]], shared: list[int]) -> list[tuple[int, int]]:
     """For each context of a gram's group the least and the greatest place before the anchor at which a string begins that
     a smaller document has too ((1, 0): none). shared: the prefix that each context has in common with the one before."""
     n = len(group)
     found = [(REACH + 1, -1)] * n
     least = [d for _, d, _ in group]
+    cut = []
+    for s, _, _ in group:
+        x, p = s.find(_PAD, 0, LENGTH), s.find(_PAD, LENGTH)
+        cut.append((s, LENGTH if x < 0 else x, REACH if p < 0 else p - LENGTH))
     if n <= 8:
         for i in range(n):
             near = len(group[i][0])
             for j in range(i + 1, n):
                 near = min(near, shared[j])
-                a, b = group[i][0], group[j][0]
-                x, y = a.index(_SEP), b.index(_SEP)
+                (a, x, p), (b, y, q) = cut[i], cut[j]
                 ahead = min(near, x, y)
-                behind = common_prefix(a[x + 1 :], b[y + 1 :], max(0, near - x - 1) if x == y else 0)
+                behind = min(common_prefix(a, b, near) - LENGTH, p, q) if near >= LENGTH else min(common_prefix(a[LENGTH:], b[LENGTH:], 0), p, q)
                 low, high = max(0, LENGTH - ahead), min(REACH, behind)
                 if low <= high and least[i] != least[j]:
                     k = i if least[i] > least[j] else j
                     found[k] = (min(found[k][0], low), max(found[k][1], high))
         return found
-    halves = [(s[: s.index(_SEP)], s[s.index(_SEP) + 1 :]) for s, _, _ in group]
+    halves = [(s[:x], s[LENGTH : LENGTH + p]) for s, x, p in cut]
     for o in range(REACH + 1):
         first: dict[tuple[bytes, bytes], int] = {}
         keys = [(r[: LENGTH - o], b[:o]) if len(r) >= LENGTH - o and len(b) >= o else None for r, b in halves]
@@ -209,10 +263,22 @@ def judge(group: list[tuple[bytes, int, list]], shared: list[int]) -> list[tuple
     return found
 
 
+ANSWER = np.dtype([("digest", "S16"), ("least", "<u8"), ("low", "u1"), ("high", "u1")])
+
+
+def answer(rows: list[tuple[bytes, int, int, int]]) -> bytes:
+    """(string, least doc_id, low, high) with digests for the strings."""
+    out = np.empty(len(rows), ANSWER)
+    out["digest"] = digests(np.frombuffer(b"".join([r[0] for r in rows]), np.uint8).reshape(len(rows), -1))
+    for k, name in enumerate(ANSWER.names[1:], 1):
+        out[name] = [r[k] for r in rows]
+    return out.tobytes()
+
+
 def merge_contexts(codes: list[tuple[int, bytes]], large: int = HOT) -> Iterator[tuple[int, str, bytes]]:
     """Answers (run, kind, payload) about one cut: context digest, its least doc_id, and the places found by judge()."""
     runs = [r for r, _ in codes]
-    answers: dict[int, list[bytes]] = {r: [] for r in runs}
+    answers: dict[int, list[tuple[bytes, int, int, int]]] = {r: [] for r in runs}
     hot: dict[int, set[bytes]] = {r: set() for r in runs}
     group: list[tuple[bytes, int, list]] = []
     shared: list[int] = []
@@ -228,7 +294,7 @@ def merge_contexts(codes: list[tuple[int, bytes]], large: int = HOT) -> Iterator
             for (s, least, members), (low, high) in zip(group, judge(group, shared) if len(group) > 1 else [(REACH + 1, -1)] * len(group), strict=True):
                 for r, doc, many in members:
                     if high >= 0 or many or doc > least:
-                        answers[r].append(digest(s) + least.to_bytes(8, "little") + bytes([low, high + 1]))
+                        answers[r].append((s, least, low, high + 1))
         group.clear()
         shared.clear()
         seen = None
@@ -253,7 +319,7 @@ def merge_contexts(codes: list[tuple[int, bytes]], large: int = HOT) -> Iterator
     close()
     for r, rows in answers.items():
         if rows:
-            yield r, "context", b"".join(rows)
+            yield r, "context", answer(rows)
     for r, grams in hot.items():
         if grams:
             yield r, "hot", b"".join(sorted(grams))
@@ -262,7 +328,7 @@ def merge_contexts(codes: list[tuple[int, bytes]], large: int = HOT) -> Iterator
 def merge_strings(codes: list[tuple[int, bytes]]) -> Iterator[tuple[int, str, bytes]]:
     """Answers about strings: digest and least doc_id, to runs that have them in a larger document."""
     runs = [r for r, _ in codes]
-    answers: dict[int, list[bytes]] = {r: [] for r in runs}
+    answers: dict[int, list[tuple[bytes, int, int, int]]] = {r: [] for r in runs}
     members: list[tuple[int, int, int]] = []
     before = b""
 
@@ -271,7 +337,7 @@ def merge_strings(codes: list[tuple[int, bytes]]) -> Iterator[tuple[int, str, by
             least = min(d for _, d, _ in members)
             for r, doc, many in members:
                 if many or doc > least:
-                    answers[r].append(digest(before) + least.to_bytes(8, "little"))
+                    answers[r].append((before, least, 0, 0))
             members.clear()
 
     for known, s, i, doc, many in merge([c for _, c in codes]):
@@ -282,7 +348,7 @@ def merge_strings(codes: list[tuple[int, bytes]]) -> Iterator[tuple[int, str, by
     close()
     for r, rows in answers.items():
         if rows:
-            yield r, "string", b"".join(rows)
+            yield r, "string", answer(rows)
 
 
 # What a run does, and what it is told.
@@ -305,26 +371,40 @@ class Told:
     """The answers that a run has got."""
 
     def __init__(self) -> None:
-        self.rows, self.copies, self.grams, self.contexts, self.hot, self.strings = 0, {}, [], {}, set(), {}
+        self.rows, self.copies, self.got = 0, {}, {"grams": [], "context": [], "hot": [], "string": []}
 
     def add(self, kind: str, raw: bytes) -> None:
         if kind == "rows":
             self.rows = int.from_bytes(raw, "little")
         elif kind == "copies":
             self.copies |= {raw[i : i + 16]: int.from_bytes(raw[i + 16 : i + 24], "little") for i in range(0, len(raw), 24)}
-        elif kind == "grams":
-            self.grams.append(undelta(raw))
-        elif kind == "context":
-            self.contexts |= {raw[i : i + 10]: (int.from_bytes(raw[i + 10 : i + 18], "little"), raw[i + 18], raw[i + 19] - 1) for i in range(0, len(raw), 20)}
-        elif kind == "hot":
-            self.hot |= {raw[i : i + GRAM] for i in range(0, len(raw), GRAM)}
-        elif kind == "string":
-            self.strings |= {raw[i : i + 10]: int.from_bytes(raw[i + 10 : i + 18], "little") for i in range(0, len(raw), 18)}
+        else:
+            self.got[kind].append(undelta(raw) if kind == "grams" else raw if kind == "hot" else np.frombuffer(raw, ANSWER))
 
     def ready(self) -> "Told":
-        self.grams = np.sort(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.uint64)
+        self.grams = np.sort(np.concatenate([*self.got["grams"], np.zeros(0, np.uint64)]))
+        self.hot = np.unique(np.frombuffer(b"".join(self.got["hot"]), f"S{GRAM}"))
+        self.hot_hashes = gram_hashes(self.hot)
+        self.contexts, self.strings = (np.sort(np.concatenate([*self.got[k], np.zeros(0, ANSWER)]), order="digest") for k in ("context", "string"))
+        del self.got
         return self
 
+    def are_hot(self, raw: bytes, at: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Whether the gram at each anchor is a hot one; its hash rules most out."""
+        out = _among(self.hot_hashes, grams)
+        if out.any():
+            rows = np.frombuffer(raw, np.uint8)[at[out][:, None] + np.arange(GRAM)]
+            out[out] = _among(self.hot, np.ascontiguousarray(rows).view(f"S{GRAM}").ravel())
+        return out
+
+
+def look_up(answers: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each wanted digest among the answers, and whether it is there."""
+    if not len(answers) or not len(wanted):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(answers["digest"], wanted), len(answers) - 1)
+    return at, answers["digest"][at] == wanted
+
 
 def delta(values: np.ndarray) -> bytes:
     """Sorted 48-bit values; gaps as 32-bit numbers where they fit."""
@@ -467,90 +547,102 @@ def merge_grams(rows: Iterator) -> Iterator[tuple[int, str, bytes]]:
             yield i, "grams", delta(mine)
 
 
-def _repeated(told: Told, at: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    if not len(told.grams) or not len(at):
-        return at[:0]
-    place = np.minimum(np.searchsorted(told.grams, grams), len(told.grams) - 1)
-    return at[told.grams[place] == grams]
-
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted known ones."""
+    if not len(known) or not len(values):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
-def _note(table: dict[bytes, tuple[int, bool]], s: bytes, n: int) -> None:
-    old = table.get(s)
-    if old is None:
-        table[s] = (n, False)
-    elif old[0] != n:
-        table[s] = (min(old[0], n), True)
 
-
-def tell_strings(cuts: int, strings: bool):
+def tell_strings(cuts: int, hot: bool):
     """Sorted front-coded runs of contexts or, for hot grams, of the strings themselves."""
 
     def run(i: int, rows: Iterator) -> Iterator[tuple[int, tuple[int, bytes]]]:
-        table: dict[bytes, tuple[int, bool]] = {}
+        found, docs = [], []
         firsts = Firsts(rows)
         for numbers, _, _, _, raw, bounds, at, grams in firsts.chunks():
-            at = _repeated(firsts.told, at, grams)
-            for p, d in zip(at.tolist(), (np.searchsorted(bounds, at, "right") - 1).tolist(), strict=True):
-                low, high = int(bounds[d]), int(bounds[d + 1])
-                if not strings:
-                    _note(table, context(raw, low, high, p), numbers[d])
-                elif raw[p : p + GRAM] in firsts.told.hot:
-                    for o in valid(low, high, p):
-                        _note(table, raw[p - o : p - o + LENGTH], numbers[d])
-        parts: list[list[tuple[bytes, int, bool]]] = [[] for _ in range(cuts)]
-        for s in sorted(table):
-            parts[zlib.crc32(s[: LENGTH if strings else GRAM]) % cuts].append((s, *table[s]))
-        table.clear()
-        for c, part in enumerate(parts):
-            if part:
-                yield c, (i, front_code(part))
+            use = _among(firsts.told.grams, grams)
+            if hot:
+                use[use] = firsts.told.are_hot(raw, at[use], grams[use])
+            at = at[use]
+            if not len(at):
+                continue
+            d = np.searchsorted(bounds, at, "right") - 1
+            if hot:
+                owner, starts = strings_round(bounds[d], bounds[d + 1], at)
+                rows_, d = strings(raw, starts), d[owner]
+            else:
+                rows_ = contexts(raw, bounds[d], bounds[d + 1], at)
+            found.append(rows_)
+            docs.append(np.array(numbers, np.uint64)[d])
+        if not found or not sum(map(len, found)):
+            return
+        every, least, many = sorted_rows(np.concatenate(found), np.concatenate(docs))
+        found.clear()
+        cut = _cuts_of(every, cuts, hot)
+        for c in np.unique(cut).tolist():
+            mine = cut == c
+            yield c, (i, front_code(every[mine], least[mine], many[mine]))
 
     return run
 
 
+def _cuts_of(rows: np.ndarray, cuts: int, hot: bool) -> np.ndarray:
+    """Where rows go: by gram, so that a gram's contexts meet; strings by themselves."""
+    key = digests(rows if hot else rows[:, :GRAM]).view(np.uint64)[::2]
+    return (key % _U(cuts)).astype(np.int64)
+
+
 def cut_texts(i: int, rows: Iterator) -> Iterator[tuple]:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row; spans: removed (start, end) in bytes."""
     firsts = Firsts(rows)
     for numbers, keys, texts, copies, raw, bounds, at, grams in firsts.chunks():
         told = firsts.told
-        at = _repeated(told, at, grams)
-        cut = np.searchsorted(at, bounds)
-        for d, (key, text) in enumerate(zip(keys, texts, strict=True)):
-            spans: list[list[int]] = []
-            if copies[d] and len(text) >= LENGTH:
-                spans = [[0, len(text)]]
-            elif not copies[d]:
-                low, high = int(bounds[d]), int(bounds[d + 1])
-                for p in at[cut[d] : cut[d + 1]].tolist():
-                    places = valid(low, high, p)
-                    if raw[p : p + GRAM] in told.hot:
-                        found = [o for o in places if told.strings.get(digest(raw[p - o : p - o + LENGTH]), _LAST * 2) < numbers[d]]
-                        if not found:
-                            continue
-                        first, last = found[0], found[-1]
-                    else:
-                        answer = told.contexts.get(digest(context(raw, low, high, p)))
-                        if not answer or not places:
-                            continue
-                        least, first, last = answer
-                        if least < numbers[d]:
-                            first, last = places[0], places[-1]
-                        if first > last:
-                            continue
-                    spans.append([p - last - low, p - first + LENGTH - low])
-            spans.sort()
-            joined: list[list[int]] = []
-            for a, b in spans:
-                if joined and a <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], b)
-                else:
-                    joined.append([a, b])
+        use = _among(told.grams, grams)
+        at, is_hot = at[use], told.are_hot(raw, at[use], grams[use])
+        doc = np.searchsorted(bounds, at, "right") - 1
+        number = np.array(numbers, np.uint64)
+        begin, end, owner = [], [], []
+        if len(cold := np.flatnonzero(~is_hot)):
+            p, d = at[cold], doc[cold]
+            low, high = bounds[d], bounds[d + 1]
+            k, there = look_up(told.contexts, digests(contexts(raw, low, high, p)))
+            p, d, low, high = p[there], d[there], low[there], high[there]
+            got = told.contexts[k[there]]
+            first, last = places(low, high, p)
+            own = got["least"] >= number[d]  # the least document itself: what judge() found
+            first = np.where(own, got["low"].astype(np.int64), first)
+            last = np.where(own, got["high"].astype(np.int64) - 1, last)
+            some = first <= last
+            begin.append((p - last)[some])
+            end.append((p - first + LENGTH)[some])
+            owner.append(d[some])
+        if len(warm := np.flatnonzero(is_hot)):
+            p, d = at[warm], doc[warm]
+            of, starts = strings_round(bounds[d], bounds[d + 1], p)
+            k, there = look_up(told.strings, digests(strings(raw, starts)))
+            gone = there.copy()
+            gone[there] = told.strings["least"][k[there]] < number[d[of[there]]]
+            begin.append(starts[gone])
+            end.append(starts[gone] + LENGTH)
+            owner.append(d[of[gone]])
+        spans: dict[int, list[list[int]]] = {}
+        if begin:
+            b, e, o = np.concatenate(begin), np.concatenate(end), np.concatenate(owner)
+            order = np.argsort(b, kind="stable")
+            b, e, o = b[order], np.maximum.accumulate(e[order]) if len(e) else e, o[order]
+            # texts lie one after another, so ends only have to be told apart where the text changes
+            new = np.flatnonzero(np.r_[True, (b[1:] > e[:-1]) | (o[1:] != o[:-1])]) if len(b) else b
+            for x, y, t in zip(b[new].tolist(), e[np.append(new[1:], len(b)) - 1].tolist() if len(b) else [], o[new].tolist(), strict=True):
+                spans.setdefault(t, []).append([x - int(bounds[t]), y - int(bounds[t])])
+        for t, (key, text) in enumerate(zip(keys, texts, strict=True)):
+            gone = spans.get(t, []) if not copies[t] else [[0, len(text)]] if len(text) >= LENGTH else []
             kept, here = hashlib.sha256(), 0
-            for a, b in joined:
-                kept.update(text[here:a])
-                here = b
+            for x, y in gone:
+                kept.update(text[here:x])
+                here = y
             kept.update(text[here:])
-            yield key, len(text), sum(b - a for a, b in joined), len(joined), kept.hexdigest(), joined
+            yield key, len(text), sum(y - x for x, y in gone), len(gone), kept.hexdigest(), gone
 
 
 def _grouped(merge_one):
@@ -573,7 +665,8 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     base = df.select(id_col, text_col).rdd.map(tuple)
     runs = base.getNumPartitions()
     identity = lambda x: x
-    cuts = max(runs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    cuts = max(runs, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CUT_BYTES))
 
     def kept(answers: RDD, name: str) -> DataFrame:
         return common.kept_table(spark.createDataFrame(answers, "run int, kind string, payload binary", verifySchema=False), f"substrings-{name}")
