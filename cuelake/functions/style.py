@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _PIECES = re.compile(r"<[^>]*>|<[^>]*\Z|[^<]+")
 
@@ -66,7 +67,7 @@ def strip_text(text: str) -> str:
     return "\n".join(x for x in (line.strip() for line in "".join(reversed(out)).split("\n")) if x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _strip(texts: pd.Series) -> pd.Series:
     return texts.map(strip_text, na_action="ignore")
 

@@ -12,12 +12,13 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from cuelake.functions.text import trim
 
 #: Characters that are written as escapes although JSON doesn't ask for it.
-ESCAPES = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", " ": "\\u2028", " ": "\\u2029"}
-ITEMS = "array<struct<idx:bigint,text:string>>"
+ESCAPES = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", "\u2028": "\\u2028", "\u2029": "\\u2029"}
+ITEMS = ArrayType(StructType([StructField("idx", LongType()), StructField("text", StringType())]))
 
 
 def encode_item(idx: Column, text: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cuelake.functions import hi, style, text
 from cuelake.options import FixOptions
 
-_FILE = Window.partitionBy("file_id").orderBy("pos")
+
+def _in_file() -> WindowSpec:
+    return Window.partitionBy("file_id").orderBy("pos")
 
 
 def normalized(df: DataFrame, options: FixOptions) -> DataFrame:
@@ -23,12 +25,12 @@ def normalized(df: DataFrame, options: FixOptions) -> DataFrame:
 
 def skip_translator(df: DataFrame) -> DataFrame:
     """Without the leading cues of each file that credit a translator."""
-    begun = F.max(~text.is_translator_credit(F.col("text"))).over(_FILE.rowsBetween(Window.unboundedPreceding, 0))
+    begun = F.max(~text.is_translator_credit(F.col("text"))).over(_in_file().rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("_begun", begun).filter("_begun").drop("_begun")
 
 
 def mark_first(df: DataFrame) -> DataFrame:
-    return df.withColumn("is_first", F.row_number().over(_FILE) == 1)
+    return df.withColumn("is_first", F.row_number().over(_in_file()) == 1)
 
 
 def drop_empty(df: DataFrame) -> DataFrame:
@@ -51,4 +53,4 @@ def survivors(df: DataFrame, options: FixOptions) -> DataFrame:
     if options.skip_translator:
         out = skip_translator(out)
     out = dedup_cues(drop_inverted(drop_empty(mark_first(out)))).drop("is_first")
-    return out.withColumn("pos", F.row_number().over(_FILE).cast("long"))
+    return out.withColumn("pos", F.row_number().over(_in_file()).cast("long"))

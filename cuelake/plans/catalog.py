@@ -1,4 +1,396 @@
-"""All queries of the timed-text surface, with the SQL that answers them."""
+"""All queries of the timed-text surface, with the SQL that answers them where SQL can."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuelake.functions import hi, language, layout, style, text, timing, wire
+from cuelake.operators import batches, client, filters, merge, order
+from cuelake.options import FixOptions
+from cuelake.plans import pipeline
+from cuelake.plans.views import CUES_SQL, DEC_SQL, cues, dec
+from cuelake.sources import srt
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# Text
+
+_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+def _clean(x: str) -> str:
+    return f"array_to_string(list_filter(list_transform(string_split(replace({x}, chr(13) || chr(10), chr(10)), chr(10)), lambda l: {_TRIM.format('l')}), lambda l: l <> ''), chr(10))"
+
+
+_DECORATIVE = "regexp_matches({0}, '^\\s*(-(\\s*-)*|:(\\s*:)*|\\.(\\s*\\.)*|_(\\s*_)*|♪(\\s*♪)*|♫(\\s*♫)*)\\s*$')"
+
+
+def _undecorated(x: str) -> str:
+    return f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: NOT {_DECORATIVE.format('l')}), chr(10))"
+
+
+def _on_dec(name: str, column: Callable[[Column], Column], sql: str | None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return dec(spark, sf_dir).select("file_id", "idx", column(F.col("text")).alias("text"))
+
+    _query(name, sql and f"SELECT file_id, idx, {sql} AS text FROM ({DEC_SQL}) d")(run)
+
+
+_on_dec("clean_text", text.clean_text, _clean("text"))
+_on_dec("decorative_lines", text.drop_decorative, _undecorated("text"))
+_on_dec("structural_line", lambda c: text.structural_line(F.concat(F.lit(" ﻿ "), text.lines(c)[0])), f"regexp_replace({_clean("regexp_replace(' ' || chr(65279) || ' ' || string_split(text, chr(10))[1], '^' || chr(65279), '')")}, '^' || chr(65279), '')")
+_on_dec("normalize_text", lambda c: text.clean_text(text.drop_decorative(hi.strip_hi(style.strip_style(text.clean_text(c)), "standard-plus"))), None)
+_on_dec("strip_style", style.strip_style, None)
+
+
+@_query("strip_style_pages")
+def _style_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.sha2(style.strip_style(F.col("html")), 256).alias("text_sha256"))
+
+
+def _hi_sql(mode: str) -> str:
+    """The mode's steps one by one; the repeated ones are unrolled further than any line of the data needs."""
+    plus, speakers = mode.endswith("plus"), mode.startswith("standard")
+    cue = r"(?:\[[^\[\]]+\]|\([^()]+\)|\{[^{}]+\})" if plus else r"\[[^\[\]]+\]"
+    inline = r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}" if plus else r"\[[^\[\]]*\]"
+    block = r"\[[^\]]*\n[^\]]*\]" + (r"|\([^)]*\n[^)]*\)|\{[^}]*\n[^}]*\}" if plus else "")
+    steps = [f"CASE WHEN regexp_matches(l, '^(?:-\\s*)?{cue}(?:\\s*[:\\-]\\s*)?$') THEN '' ELSE l END"]
+    for pattern, to in ((rf"^-\s*{cue}(?:\s*[:\-]\s*|\s+)(.+)$", r"- \1"), (rf"^{cue}(?:\s*[:\-]\s*|\s+)(.+)$", r"\1"), (rf"^(.+?)\s+{cue}$", r"\1")):
+        steps += [f"CASE WHEN regexp_matches(l, '{pattern}') THEN {_TRIM.format(f"regexp_replace(l, '{pattern}', '{to}')")} ELSE l END"] * 4
+    line = [f"list_transform({{0}}, lambda l: {s})" for s in steps]
+    if speakers:
+        bare = r"regexp_replace(regexp_replace({0}, '\s+([,.;:!?])', '\1', 'g'), '\s{{2,}}', ' ', 'g')"
+        inner = f"regexp_replace(regexp_replace({_TRIM.format("regexp_replace(l, '^-', '')")}, '{inline}', ' ', 'g'), '^[A-Z][A-Z0-9 .''-]{{1,30}}:\\s*', '')"
+        fixed = _TRIM.format(f"regexp_replace({_TRIM.format(bare.format(inner))}, '^[:;]+\\s*', '')")
+        dashed = "'- ' || " + _TRIM.format(f"regexp_replace({fixed}, '^-', '')")
+        line.append(f"list_transform({{0}}, lambda l: CASE WHEN l = '' OR {fixed} = '' THEN '' WHEN l[1] = '-' THEN {dashed} ELSE {fixed} END)")
+    out = f"string_split({_clean(f"regexp_replace(text, '{block}', chr(10), 'g')")}, chr(10))"
+    for x in line:
+        out = x.replace("{0}", out)
+    kept = f"list_filter({out}, lambda l: regexp_matches(l, '[\\p{{L}}\\p{{Nd}}]') AND NOT regexp_matches(l, '^(?:-\\s*)?{cue}(?:\\s*[:\\-]\\s*)?$'))"
+    return _clean(f"array_to_string({kept}, chr(10))")
+
+
+for _mode in hi.MODES:
+    _on_dec(f"strip_hi_{_mode.replace('-', '_')}", lambda c, m=_mode: hi.strip_hi(c, m), _hi_sql(_mode))
+
+# Layout. Folds in DuckDB are list_reduce over structs that hold the lines so far and the open one.
+
+
+def _words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+
+
+def _wrap_sql(x: str, most: int) -> str:
+    joined = "CASE WHEN a.line = '' THEN w.line ELSE a.line || ' ' || w.line END"
+    full = f"strlen({joined}) > {most}"
+    state = "struct_pack(done := {0}, line := {1})"
+    fold = f"list_reduce(list_prepend({state.format("''", "''")}, list_transform({_words(_TRIM.format('l'))}, lambda w: {state.format("''", 'w')})), lambda a, w: {state.format(f"CASE WHEN {full} THEN a.done || a.line || chr(10) ELSE a.done END", f"CASE WHEN {full} THEN w.line ELSE {joined} END")})"
+    tag = f"({_TRIM.format('l')} LIKE '<%' AND {_TRIM.format('l')} LIKE '%>')"
+    return _clean(f"array_to_string(list_transform(string_split({x}, chr(10)), lambda l: CASE WHEN {tag} THEN {_TRIM.format('l')} ELSE ({fold}).done || ({fold}).line END), chr(10))")
+
+
+def _merge_sql(x: str, words: int, most: int) -> str:
+    state = "struct_pack(done := {0}, line := {1})"
+    joined = "CASE WHEN a.line = '' THEN w.line ELSE a.line || ' ' || w.line END"
+    fits = f"NOT (w.line LIKE '<%' AND w.line LIKE '%>') AND len({_words('w.line')}) <= {words} AND (a.line = '' OR ((w.line = '' OR regexp_matches(w.line, '^(?:[&,]|\\p{{Ll}})')) AND right(a.line, 1) NOT IN ('.', '>'))) AND strlen({joined}) < {most}"
+    fold = f"list_reduce(list_prepend({state.format("''", "''")}, list_transform(string_split({x}, chr(10)), lambda l: {state.format("''", _TRIM.format('l'))})), lambda a, w: {state.format(f"CASE WHEN {fits} OR a.line = '' THEN a.done ELSE a.done || a.line || chr(10) END", f"CASE WHEN {fits} THEN {joined} ELSE w.line END")})"
+    return _clean(f"({fold}).done || ({fold}).line")
+
+
+def _lay_out_sql(x: str) -> str:
+    """x has to be a column: it is repeated."""
+    return f"CASE WHEN len(string_split({x}, chr(10))) > {layout.MAX_LINES} THEN {_merge_sql(x, layout.MIN_WORDS_MERGE, layout.MAX_LINE_LENGTH)} ELSE {x} END"
+
+
+@_query("wrap_lines", f"SELECT doc_id, {_wrap_sql('text', 70)} AS text FROM documents")
+def _wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", layout.wrap_lines(F.col("text")).alias("text"))
+
+
+_SHORT = "regexp_replace(text, '[,.] ', chr(10), 'g')"
+
+
+@_query("merge_short_lines", f"SELECT file_id, idx, {_merge_sql('text', 3, 70)} AS text FROM (SELECT file_id, idx, {_SHORT} AS text FROM ({DEC_SQL}) d) s")
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.regexp_replace("text", "[,.] ", "\n")
+    return dec(spark, sf_dir).select("file_id", "idx", layout.merge_short_lines(broken).alias("text"))
+
+
+# Filters, on cues. The steps build on each other as in survivors().
+
+_CREDIT = "CASE WHEN idx <= 2 AND CAST(file_id AS BIGINT) % 3 = 0 THEN 'Translator: ' || text ELSE text END"
+_S0 = f"SELECT file_id, pos, idx, from_ms, to_ms, {_CREDIT} AS text FROM ({CUES_SQL}) c"
+_S1 = f"SELECT * EXCLUDE (begun) FROM (SELECT *, bool_or(NOT regexp_matches(text, '(?i)traductor|traducción|traduccion|translate|translator')) OVER (PARTITION BY file_id ORDER BY pos) AS begun FROM ({_S0}) a) b WHERE begun"
+_S2 = f"SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) = 1 AS is_first FROM ({_S1}) f"
+_S3 = f"SELECT * FROM ({_S2}) g WHERE is_first OR text <> ''"
+_S4 = f"SELECT * FROM ({_S3}) h WHERE is_first OR from_ms <= to_ms"
+_S5 = f"SELECT * FROM ({_S4}) i QUALIFY row_number() OVER (PARTITION BY file_id, is_first, from_ms, to_ms, text ORDER BY pos) = 1"
+
+
+def _credited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cues of which some begin with a translator's credit."""
+    return cues(spark, sf_dir).withColumn("text", F.when((F.col("idx") <= 2) & (F.col("file_id").cast("long") % 3 == 0), F.concat(F.lit("Translator: "), F.col("text"))).otherwise(F.col("text")))
+
+
+@_query("skip_translator", _S1)
+def _skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.skip_translator(_credited(spark, sf_dir))
+
+
+@_query("drop_empty", _S3)
+def _empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.drop_empty(filters.mark_first(_skip(spark, sf_dir)))
+
+
+@_query("drop_inverted", _S4)
+def _inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.drop_inverted(_empty(spark, sf_dir))
+
+
+@_query("dedup_cues", _S5)
+def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.dedup_cues(_inverted(spark, sf_dir))
+
+
+# Timeline. The fold is a recursion over the rows of each file.
+
+
+def _fold_sql(name: str, rows: str) -> str:
+    """CTEs: {name}_s the surviving rows numbered from 1, {name}_r the fold's states, {name} the merged cues."""
+    return f"""
+{name}_s AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS n, from_ms AS f, to_ms AS t, text AS x FROM ({rows}) q),
+{name}_r AS (
+  SELECT file_id, n, f AS head, t AS last_to, x AS acc, 1 AS isl, false AS late FROM {name}_s WHERE n = 1
+  UNION ALL
+  SELECT s.file_id, s.n, CASE WHEN k.act IN ('late', 'new') THEN s.f ELSE r.head END, s.t,
+         CASE k.act WHEN 'merge' THEN r.acc || chr(10) || s.x WHEN 'absorb' THEN r.acc ELSE s.x END,
+         r.isl + CASE WHEN k.act IN ('late', 'new') THEN 1 ELSE 0 END, r.late OR k.act = 'late'
+  FROM {name}_r r JOIN {name}_s s ON s.file_id = r.file_id AND s.n = r.n + 1,
+       LATERAL (SELECT CASE WHEN s.t < r.head THEN 'late' WHEN s.f < r.last_to THEN 'merge'
+                            WHEN s.t - s.f < {merge.SHORT_MS} AND contains(r.acc, s.x) THEN 'absorb' ELSE 'new' END AS act) k),
+{name} AS (SELECT file_id, isl AS pos, arg_max(head, n) AS from_ms, arg_max(last_to, n) AS to_ms, arg_max(acc, n) AS text,
+                  bool_or(bool_or(late)) OVER (PARTITION BY file_id) AS out_of_order
+           FROM {name}_r GROUP BY file_id, isl)"""
+
+
+def _laid_out_sql(name: str, rows: str) -> str:
+    """CTE {name}: laid-out cues, empty ones dropped, numbered."""
+    return f"""
+{name}_w AS (SELECT * REPLACE ({_wrap_sql(_clean('text'), layout.MAX_LINE_LENGTH)} AS text) FROM {rows}),
+{name}_l AS (SELECT * REPLACE ({_lay_out_sql('text')} AS text) FROM {name}_w),
+{name} AS (SELECT * REPLACE (row_number() OVER (PARTITION BY file_id ORDER BY pos) AS pos), row_number() OVER (PARTITION BY file_id ORDER BY pos) AS idx FROM {name}_l WHERE text <> '')"""
+
+
+def _survivor_sql(rows: str) -> str:
+    out = f"SELECT file_id, pos, from_ms, to_ms, {_clean(_undecorated(_clean('text')))} AS text FROM ({rows}) v"
+    out = f"SELECT * EXCLUDE (begun) FROM (SELECT *, bool_or(NOT regexp_matches(text, '(?i)traductor|traducción|traduccion|translate|translator')) OVER (PARTITION BY file_id ORDER BY pos) AS begun FROM ({out}) a) b WHERE begun"
+    out = f"SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) = 1 AS is_first FROM ({out}) f"
+    out = f"SELECT * FROM ({out}) g WHERE is_first OR (text <> '' AND from_ms <= to_ms)"
+    return f"SELECT * FROM ({out}) i QUALIFY row_number() OVER (PARTITION BY file_id, is_first, from_ms, to_ms, text ORDER BY pos) = 1"
+
+
+_ONCE = f"WITH RECURSIVE {_fold_sql('m1', _survivor_sql(_S0))}, {_laid_out_sql('once', 'm1')}"
+_TWICE = f"{_ONCE}, sorted AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY from_ms, to_ms, idx) AS pos, from_ms, to_ms, text FROM once WHERE out_of_order), {_fold_sql('m2', _survivor_sql('SELECT * FROM sorted'))}, {_laid_out_sql('again', 'm2')}"
+
+
+@_query("absorb_short", f"WITH RECURSIVE {_fold_sql('m1', _survivor_sql(_S0))} SELECT file_id, CAST(pos AS BIGINT) AS pos, from_ms, to_ms, text, out_of_order FROM m1")
+def _absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.merged(filters.survivors(_credited(spark, sf_dir), FixOptions()))
+
+
+_CALM = f"SELECT * FROM ({_S0}) z WHERE to_ms - from_ms >= {merge.SHORT_MS}"
+_ISLANDS = f"""
+SELECT file_id, CAST(isl AS BIGINT) AS pos, arg_min(from_ms, pos) AS from_ms, arg_max(to_ms, pos) AS to_ms, string_agg(text, chr(10) ORDER BY pos) AS text, false AS out_of_order
+FROM (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos) AS isl
+      FROM (SELECT *, coalesce(from_ms >= lag(to_ms) OVER (PARTITION BY file_id ORDER BY pos), true) AS begins
+            FROM (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY from_ms, to_ms, idx) AS pos, from_ms, to_ms, text FROM ({_CALM}) y WHERE text <> '') x) w) v
+GROUP BY file_id, isl
+"""
+
+
+@_query("overlap_merge", _ISLANDS)
+def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calm = _credited(spark, sf_dir).filter((F.col("to_ms") - F.col("from_ms") >= merge.SHORT_MS) & (F.col("text") != ""))
+    return merge.merged(order.sort_cues(calm))
+
+
+@_query("out_of_order_files", f"WITH RECURSIVE {_fold_sql('m1', _survivor_sql(_S0))} SELECT file_id, bool_or(out_of_order) AS out_of_order, count(*) AS cues FROM m1 GROUP BY file_id")
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _absorb(spark, sf_dir).groupBy("file_id").agg(F.max("out_of_order").alias("out_of_order"), F.count("*").alias("cues"))
+
+
+@_query("fix_pipeline", f"{_TWICE} SELECT file_id, CAST(pos AS BIGINT) AS pos, CAST(idx AS BIGINT) AS idx, from_ms, to_ms, text FROM once WHERE NOT out_of_order UNION ALL SELECT file_id, CAST(pos AS BIGINT), CAST(idx AS BIGINT), from_ms, to_ms, text FROM again")
+def _fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.fix(_credited(spark, sf_dir))
+
+
+@_query("sort_cues", f"SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY from_ms, to_ms, idx) AS pos, idx, from_ms, to_ms, text FROM ({CUES_SQL}) c")
+def _sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.sort_cues(cues(spark, sf_dir))
+
+
+_ODD = f"SELECT * REPLACE (idx * 10 AS idx) FROM ({CUES_SQL}) c WHERE CAST(file_id AS BIGINT) % 2 = 1 UNION ALL SELECT * FROM ({CUES_SQL}) c WHERE CAST(file_id AS BIGINT) % 2 = 0"
+
+
+def _misnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cues(spark, sf_dir).withColumn("idx", F.when(F.col("file_id").cast("long") % 2 == 1, F.col("idx") * 10).otherwise(F.col("idx")).cast("long"))
+
+
+@_query("reindex", f"SELECT file_id, pos, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS idx, from_ms, to_ms, text FROM ({_ODD}) o")
+def _reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.reindex(_misnumbered(spark, sf_dir))
+
+
+@_query("validate_idx", f"SELECT file_id, min(expected) AS expected, arg_min(idx, expected) AS found FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS expected FROM ({_ODD}) o) p WHERE idx <> expected GROUP BY file_id")
+def _validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.validate_idx(_misnumbered(spark, sf_dir))
+
+
+@_query("shift_time", f"SELECT file_id, pos, idx, from_ms + 1250 AS from_ms, to_ms + 1250 AS to_ms, text FROM ({CUES_SQL}) c")
+def _shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.shift_time(cues(spark, sf_dir), timing.parse_duration("1s250ms"))
+
+
+def _clock(x: str) -> str:
+    return f"printf('%02d:%02d:%02d,%03d', {x} // 3600000, {x} // 60000 % 60, {x} // 1000 % 60, {x} % 1000)"
+
+
+@_query("format_timing", f"SELECT file_id, idx, {_clock('from_ms')} || ' --> ' || {_clock('to_ms')} AS timing FROM ({CUES_SQL}) c")
+def _format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cues(spark, sf_dir).select("file_id", "idx", timing.format_timing(F.col("from_ms"), F.col("to_ms")).alias("timing"))
+
+
+@_query("parse_timing", f"SELECT file_id, idx, from_ms, to_ms FROM ({CUES_SQL}) c")
+def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start, stop = timing.parse_timing(F.concat(F.lit("at "), F.col("timing"), F.lit(" X1:40")))
+    return _format(spark, sf_dir).select("file_id", "idx", start.alias("from_ms"), stop.alias("to_ms"))
+
+
+@_query("scan_srt", f"SELECT file_id, pos - 1 AS pos, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS idx, from_ms, to_ms, text FROM ({CUES_SQL}) c")
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cues rendered as files and parsed again."""
+    return srt.parse(srt.render(cues(spark, sf_dir))).drop("_error")
+
+
+@_query("render_srt", f"SELECT file_id, string_agg(n || chr(10) || {_clock('from_ms')} || ' --> ' || {_clock('to_ms')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY n) AS content FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS n FROM ({CUES_SQL}) c) d GROUP BY file_id")
+def _render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return srt.render(cues(spark, sf_dir))
+
+
+@_query("empty_guard")
+def _guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which some lose every cue, fixed as files."""
+    some = cues(spark, sf_dir).withColumn("text", F.when(F.col("file_id").cast("long") % 5 == 0, "- - -").otherwise(F.col("text")))
+    return pipeline.fix_files(srt.render(some)).select("file_id", F.sha2("content", 256).alias("content_sha256"), "was_empty", "changed")
+
+
+# Wire
+
+_LIMIT = 1200
+
+_JSON = "replace(replace(replace('{{\"idx\":' || {0} || ',\"text\":' || CAST(to_json({1}) AS VARCHAR) || '}}', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')"
+_ITEM = _JSON.format("idx", "text")
+_CUT = f"""
+WITH RECURSIVE i AS (SELECT file_id, idx, text, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS n, {_ITEM} AS item, strlen({_ITEM}) + 1 AS size FROM ({DEC_SQL}) d),
+b AS (SELECT file_id, n, size AS filled, 0 AS batch_id FROM i WHERE n = 1
+      UNION ALL
+      SELECT i.file_id, i.n, CASE WHEN b.filled + i.size > {_LIMIT} THEN i.size ELSE b.filled + i.size END,
+             b.batch_id + CASE WHEN b.filled + i.size > {_LIMIT} THEN 1 ELSE 0 END
+      FROM b JOIN i ON i.file_id = b.file_id AND i.n = b.n + 1)
+"""
+
+def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batches.build_batches(dec(spark, sf_dir), _LIMIT)
+
+
+@_query("build_batches", _CUT + "SELECT i.file_id, i.idx, i.text, CAST(b.batch_id AS BIGINT) AS batch_id FROM i JOIN b USING (file_id, n)")
+def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batched(spark, sf_dir)
+
+
+@_query("ndjson_payload", _CUT + "SELECT i.file_id, CAST(b.batch_id AS BIGINT) AS batch_id, string_agg(i.item, chr(10) ORDER BY i.idx) AS payload FROM i JOIN b USING (file_id, n) GROUP BY 1, 2")
+def _payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batches.payloads(_batched(spark, sf_dir))
+
+
+@_query("batch_stats", _CUT + "SELECT file_id, count(DISTINCT batch_id) AS batches, count(*) AS cues FROM b GROUP BY file_id")
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batches.batch_stats(_batched(spark, sf_dir))
+
+
+@_query("parse_ndjson", f"SELECT file_id, idx, text FROM ({DEC_SQL}) d")
+def _ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads in code fences, as a model may send them back, read into items."""
+    fenced = F.concat(F.lit("```json\n"), F.col("payload"), F.lit("\n```"))
+    items = _payload(spark, sf_dir).select("file_id", F.explode(wire.parse_ndjson(fenced)).alias("item"))
+    return items.select("file_id", "item.idx", "item.text")
+
+
+_TRANSLATED = "SELECT file_id, idx, '» ' || text AS text FROM ({0}) d WHERE idx % 3 <> 0"
+
+
+@_query("apply_translations", f"SELECT d.file_id, d.idx, d.pos, coalesce(t.text, d.text) AS text FROM ({DEC_SQL}) d LEFT JOIN ({_TRANSLATED.format(DEC_SQL)}) t ON t.file_id = d.file_id AND t.idx = d.idx")
+def _apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dec(spark, sf_dir)
+    return batches.apply_translations(rows, rows.filter("idx % 3 <> 0").withColumn("text", F.concat(F.lit("» "), F.col("text"))))
+
+
+_REPLY = "SELECT file_id, CASE WHEN idx % 4 = 0 THEN 1 WHEN idx % 7 = 0 THEN 70 ELSE idx END AS idx FROM ({0}) d WHERE idx % 3 <> 0"
+
+
+@_query("validate_batch", f"SELECT file_id, idx, problem FROM (SELECT coalesce(w.file_id, g.file_id) AS file_id, coalesce(w.idx, g.idx) AS idx, CASE WHEN g.n IS NULL THEN 'missing' WHEN w.idx IS NULL THEN 'unexpected' WHEN g.n > 1 THEN 'repeated' END AS problem FROM (SELECT DISTINCT file_id, idx FROM ({DEC_SQL}) d) w FULL JOIN (SELECT file_id, idx, count(*) AS n FROM ({_REPLY.format(DEC_SQL)}) r GROUP BY ALL) g ON g.file_id = w.file_id AND g.idx = w.idx) p WHERE problem IS NOT NULL")
+def _check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dec(spark, sf_dir)
+    reply = rows.filter("idx % 3 <> 0").withColumn("idx", F.expr("CASE WHEN idx % 4 = 0 THEN 1 WHEN idx % 7 = 0 THEN 70 ELSE idx END").cast("long"))
+    return batches.validate_batch(rows, reply, ["file_id"])
+
+
+# Small strings
+
+_on_dec("strip_code_fences", lambda c: text.strip_code_fences(F.concat(F.lit(" ```srt\n"), c, F.lit("\n``` end"))), "text || chr(10)")
+_on_dec("abbreviate", lambda c: text.abbreviate(F.regexp_replace(c, "[^\\x00-\\x7F]", "e"), 40), "CASE WHEN strlen(trim(t, ' ' || chr(10))) <= 40 THEN trim(t, ' ' || chr(10)) ELSE left(trim(t, ' ' || chr(10)), 37) || '...' END".replace("t,", "regexp_replace(text, '[^\\x00-\\x7F]', 'e', 'g'),"))
+
+
+@_query("mask_keys", "SELECT item_id, array_to_string(list_transform(string_split(replace(text, ' ', ','), ','), lambda k: CASE length(k) WHEN 0 THEN '' WHEN 1 THEN '*' WHEN 2 THEN left(k, 1) || '*' ELSE left(k, 1) || repeat('*', length(k) - 2) || right(k, 1) END), ',') AS masked FROM benchmark")
+def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", text.mask_keys(F.replace(F.col("text"), F.lit(" "), F.lit(","))).alias("masked"))
+
+
+@_query("normalize_csv", f"SELECT item_id, array_to_string(list_filter(list_transform(string_split(replace(text, 'e', ' , '), ','), lambda k: {_TRIM.format('k')}), lambda k: k <> ''), ',') AS csv FROM benchmark")
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", text.normalize_csv(F.replace(F.col("text"), F.lit("e"), F.lit(" , "))).alias("csv"))
+
+
+_TAGS = "CASE doc_id % 6 WHEN 0 THEN ' ' || upper(lang) || '_gb ' WHEN 1 THEN lang || '--419' WHEN 2 THEN lang || '_ES' WHEN 3 THEN upper(lang) WHEN 4 THEN lang || '-*' ELSE lang || '__mx' END"
+_LABELLED = "SELECT doc_id, tag, coalesce({0}, {1}, tag) AS label FROM (SELECT doc_id, lower(p[1]) || CASE WHEN len(p) > 1 THEN '-' || CASE length(p[2]) WHEN 2 THEN upper(p[2]) WHEN 3 THEN lower(p[2]) ELSE p[2] END ELSE '' END AS tag FROM (SELECT doc_id, string_split(regexp_replace(replace(trim(x), '_', '-'), '-{{2,}}', '-', 'g'), '-') AS p FROM (SELECT doc_id, {2} AS x FROM documents) a) b) c"
+
+
+def _label_case(x: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in language.LABELS.items()) + " END"
+
+
+@_query("language_label", _LABELLED.format(_label_case("lower(tag)"), _label_case("CASE WHEN contains(tag, '-') THEN split_part(tag, '-', 1) || '-*' END"), _TAGS))
+def _label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr(_TAGS)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", language.language_tag(raw).alias("tag"), language.language_label(raw).alias("label"))
+
+
+@_query("backoff", "SELECT CAST(n AS BIGINT) AS attempt, least(10.0, 0.5 * pow(2, n - 1))::DOUBLE AS seconds FROM range(1, 9) t(n)")
+def _backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n, client.backoff(n, jitter=0)) for n in range(1, 9)], "attempt long, seconds double")
