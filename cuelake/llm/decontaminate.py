@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm import common
 
-#: Places of a seed that count; the rest of its span is ignored. Five words each.
+#: Places of a seed that count; the rest of its span is ignored. Five words each. The second is for items shorter than WINDOW.
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 3, 4))
 WINDOW, LEAST, SHARE = 13, 11, 0.8
 BLOCK_HASHES = 250_000
@@ -32,15 +32,11 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _seeds(words: Column, n: Column) -> Column:
-    """array<struct<seed, at>> of every mask at every position; at counts from 0."""
-
-    def of(k: int, mask: tuple[int, ...]) -> Column:
-        one = lambda i: F.struct(F.xxhash64(F.lit(k), *[F.get(words, i + F.lit(o)) for o in mask]).alias("seed"), i.alias("at"))
-        last = n - F.lit(mask[-1] + 1)
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one)).otherwise(F.array().cast("array<struct<seed:bigint,at:int>>"))
-
-    return F.concat(*[of(k, m) for k, m in enumerate(MASKS)])
+def _seeds(df: DataFrame, words: str, n: str, mask: tuple[int, ...], at: str) -> DataFrame:
+    """df with a row for each position `at` (from 0) where the mask fits, and the hash `seed` of the words that count there."""
+    last = F.col(n) - F.lit(mask[-1] + 1)
+    placed = df.filter(last >= 0).select("*", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).alias(at))
+    return placed.withColumn("seed", F.xxhash64(*[F.get(F.col(words), F.col(at) + F.lit(o)) for o in mask]))
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -56,10 +52,9 @@ def _enough(matched: Column, n: Column) -> Column:
     return F.when(n >= WINDOW, F.array_max(windows) >= LEAST).otherwise(count(matched) >= F.ceil(n * SHARE))
 
 
-def _block_hits(docs: DataFrame, block: DataFrame) -> DataFrame:
-    seeds = block.select("item", F.explode(_seeds(F.col("item_words"), F.col("item_n"))).alias("s")).select(F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"), "item")
-    placed = docs.select("doc_id", "text_key", "words", "n", F.explode(_seeds(F.col("words"), F.col("n"))).alias("s"))
-    hits = placed.select("doc_id", "text_key", "words", "n", F.col("s.seed").alias("seed"), F.col("s.at").alias("doc_at")).join(F.broadcast(seeds), "seed")
+def _block_hits(docs: DataFrame, block: DataFrame, mask: tuple[int, ...]) -> DataFrame:
+    seeds = _seeds(block, "item_words", "item_n", mask, "item_at").select("seed", "item_at", "item")
+    hits = _seeds(docs, "words", "n", mask, "doc_at").join(F.broadcast(seeds), "seed")
     # the item's first word lies here; each hit carries the words of its overlap only
     first = F.col("doc_at") - F.col("item_at")
     whole = hits.join(F.broadcast(block), "item").select("doc_id", "text_key", "item_id", "item_words", "item_n", first.alias("first"), F.greatest(-first, F.lit(0)).alias("before"), F.slice("words", F.greatest(first, F.lit(0)) + 1, F.col("item_n") + F.least(first, F.lit(0))).alias("near"))
@@ -71,11 +66,14 @@ def _block_hits(docs: DataFrame, block: DataFrame) -> DataFrame:
 def overlaps(documents: DataFrame, benchmark: DataFrame, block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """(doc_id, text_key, item_id, item_words, equal_words, first_word): the best place of each item in each document."""
     known = items(benchmark)
-    total = known.agg(F.sum("item_n"), F.max("item_n")).first()
-    n_blocks = -(-(total[0] or 0) * len(MASKS) // block_hashes) or 1
+    total, short = known.agg(F.sum("item_n"), F.min("item_n") < WINDOW).first()
+    n_blocks = -(-(total or 0) // block_hashes) or 1
     docs = documents.filter(documents["text"].isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), _word_hashes(documents["text"]).alias("words")).select("doc_id", "text_key", "words", F.size("words").alias("n"))
     block = lambda i: known if n_blocks == 1 else known.filter(F.pmod(F.xxhash64("item_words"), F.lit(n_blocks)) == i)
-    hits = reduce(DataFrame.unionByName, [_block_hits(docs, block(i)) for i in range(n_blocks)])
+    hits = [_block_hits(docs, block(i), MASKS[0]) for i in range(n_blocks)]
+    if short:
+        hits += [_block_hits(docs, block(i).filter(F.col("item_n") < WINDOW), MASKS[1]) for i in range(n_blocks)]
+    hits = reduce(DataFrame.unionByName, hits)
     best = hits.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("equal_words", -F.col("first_word"), "item_words")).alias("best"))
     return best.select("doc_id", "text_key", "item_id", "best.item_words", "best.equal_words", (-F.col("best.col2")).alias("first_word"))
 
