@@ -12,12 +12,13 @@ row, repeated rows too; null ids are kept; columns beside the id and the text ar
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cuelake.llm import common
-from cuelake.llm.words import WordTable, held, split_specials, word_words
+from cuelake.llm.words import TEXTS, WordTable, held, word_words
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -27,50 +28,47 @@ class PieceTable(WordTable):
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.specials = {t.content: i for i, t in added.items()}
         self.pieces = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
 
     def entry(self, ids: list[int]) -> tuple[int, str, str]:
         return len(ids), " ".join(map(str, ids)), " ".join(map(self.pieces.__getitem__, ids))
 
-    def encode(self, text: str) -> list[tuple[int, str, str]]:
-        out: list = []
-        for run, special in split_specials(text, list(self.specials)):
-            if special:
-                out.append(self.entry([self.specials[run]]))
-            else:
-                out += self.look_up([word_words(run, self.tokenizer)])[0]
-        return out
+    def split(self, text: str) -> list[str]:
+        return word_words(text, self.tokenizer)
 
 
-def encode_text(text: str | None, path: str) -> tuple[str, str, int]:
-    """Ids and pieces, both joined by a space, and how many."""
-    entries = held(PieceTable, path).encode(text or "")
-    entries = [e for e in entries if e[0]]
-    return " ".join([e[1] for e in entries]), " ".join([e[2] for e in entries]), sum([e[0] for e in entries])
+def encode_texts(texts: list[str | None], path: str) -> list[tuple[str, str, int]]:
+    """Ids and pieces, both joined by a space, and how many, of each text."""
+    out = []
+    for entries in held(PieceTable, path).encode_all([t or "" for t in texts]):
+        some = [e for e in entries if e[0]]
+        out.append((" ".join([e[1] for e in some]), " ".join([e[2] for e in some]), sum([e[0] for e in some])))
+    return out
 
 
-def encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded string), a row for each of df's."""
-    path = common.tokenizer_path(VOCABULARY, vocabulary)
+def _mapped(df: DataFrame, id_col: str, text_col: str, path: str, row, schema: str, kinds: pa.Schema) -> DataFrame:
+    """row(id, ids, decoded, how many) of each of df's rows, TEXTS at a time."""
 
-    def row(key, text):
-        ids, decoded, _ = encode_text(text, path)
-        return key, [int(x) for x in ids.split()], decoded
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                keys, texts = (c.to_pylist() for c in batch.slice(at, TEXTS).columns)
+                rows = [row(k, *x) for k, x in zip(keys, encode_texts(texts, path), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
-    return common.map_rows(df, [id_col, text_col], row, f"{id_col} long, ids array<int>, decoded string", [(id_col, pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    return df.select(df[id_col], df[text_col]).mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() with the two strings digested where they are made."""
-    path = common.tokenizer_path(VOCABULARY, vocabulary)
+def encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>, decoded string), a row for each of df's."""
+    kinds = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    return _mapped(df, id_col, text_col, common.tokenizer_path(VOCABULARY, vocabulary), lambda key, ids, decoded, n: (key, [int(x) for x in ids.split()], decoded), f"{id_col} long, ids array<int>, decoded string", kinds)
 
-    def row(key, text):
-        ids, decoded, n = encode_text(text, path)
-        return key, n, hashlib.sha256(ids.encode()).hexdigest(), common.sha256(decoded)
 
-    return common.map_rows(df, ["doc_id", "text"], row, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+def digests(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() with the two strings digested where they are made."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    return _mapped(df, "doc_id", "text", common.tokenizer_path(VOCABULARY, vocabulary), lambda key, ids, decoded, n: (key, n, hashlib.sha256(ids.encode()).hexdigest(), common.sha256(decoded)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", kinds)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ needs it, which the magic tells). A code keeps the low bits of its n non-decreas
 unary; select over the unary part, sampled every 64 ones, returns a value without a table of 64-bit offsets.
 
 Documents are range-partitioned by doc_id and sorted, nulls first, so shards follow each other in ascending order. A shard
-holds SHARD_IDS ids at most, or one longer document. Shards are rows (part, shard, content) of a table in the shared
+holds SHARD_IDS ids at most, or one longer document. Shards are rows (part, shard, base, ids, content) of a table in the shared
 folder, which executors can write on any store; export() writes them as files. Null and empty texts have the end id only;
 repeated rows and equal doc_ids each have their place, in any order among equals; other columns are ignored.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm import common
-from cuelake.llm.words import WordTable, byte_words, held, split_specials
+from cuelake.llm.words import TEXTS, WordTable, byte_words, held
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -94,17 +94,16 @@ class IdTable(WordTable):
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
     def entry(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{self.kind.char}", *ids)
+
+    def split(self, text: str) -> list[str]:
+        return byte_words(text)
 
     def encode(self, text: str) -> bytes:
-        out = []
-        for run, special in split_specials(text, list(self.specials)):
-            out += [self.entry([self.specials[run]])] if special else self.look_up([byte_words(run)])[0]
-        return b"".join(out)
+        return b"".join(self.encode_all([text])[0])
 
 
 def shard_bytes(keys: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
@@ -131,26 +130,27 @@ def read_shard(raw: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
 
 
 def write_shards(df: DataFrame, vocabulary: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """df's texts as shards: (part int, shard int, ids long, content binary), kept in the shared folder."""
+    """df's texts as shards, kept in the shared folder: (part, shard, base, ids, content), base the ids of the part before."""
     path = common.tokenizer_path(VOCABULARY, vocabulary)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, keys, lengths, texts, count, shard, part = held(IdTable, path), [], [], [], 0, 0, 0
+        table, keys, lengths, texts, count, shard, part, base = held(IdTable, path), [], [], [], 0, 0, 0, 0
         width = table.kind.itemsize
-        end = table.entry([END_ID])
+        end = np.array([END_ID], table.kind).tobytes()
 
         def full():
-            rows = [[part], [shard], [count], [shard_bytes(keys, lengths, b"".join(texts), width)]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "shard", "ids", "content"])
+            rows = [[part], [shard], [base], [count], [shard_bytes(keys, lengths, b"".join(texts), width)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "shard", "base", "ids", "content"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, common.BATCH_ROWS):
-                for key, text, part in zip(*(c.to_pylist() for c in batch.slice(at, common.BATCH_ROWS).columns), strict=True):
-                    got = table.encode(text or "") + end
+            for at in range(0, batch.num_rows, TEXTS):
+                some = [c.to_pylist() for c in batch.slice(at, TEXTS).columns]
+                for key, entries, part in zip(some[0], table.encode_all([t or "" for t in some[1]]), some[2], strict=True):
+                    got = b"".join(entries) + end
                     if keys and count + len(got) // width > shard_ids:
                         yield full()
-                        keys, lengths, texts, count, shard = [], [], [], 0, shard + 1
+                        keys, lengths, texts, count, shard, base = [], [], [], 0, shard + 1, base + count
                     keys.append(key)
                     lengths.append(len(got) // width)
                     texts.append(got)
@@ -159,24 +159,18 @@ def write_shards(df: DataFrame, vocabulary: str | None = None, shard_ids: int =
             yield full()
 
     ordered = df.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    shards = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(run, "part int, shard int, ids long, content binary")
+    shards = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(run, "part int, shard int, base long, ids long, content binary")
     return common.kept_table(shards, "token-shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), read back from the shards."""
-    # one row for each partition that wrote; within a partition shards follow each other
+    # one row for each partition that wrote; its shards tell their own places in it
     totals = shards.groupBy("part").agg(F.sum("ids").alias("part_ids"))
     sizes = {r["part"]: r["part_ids"] for r in totals.collect()}
     bases, at = {}, 0
     for p in sorted(sizes):
         bases[p], at = at, at + sizes[p]
-    from pyspark.sql import Window
-
-    # rows of a window are the shards of one part: headers only, a few for each gigabyte
-    heads = shards.select("part", "shard", "ids")
-    before = heads.withColumn("base", F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, base, raw in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -188,8 +182,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 first = bases[part.as_py()] + base.as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + first, pa.int64()), pa.array(stops - starts, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    whole = shards.select("part", "shard", "content").join(before.select("part", "shard", "base"), ["part", "shard"])
-    return whole.select("part", "base", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "base", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(shards: DataFrame, folder: str) -> list[str]:

@@ -7,8 +7,14 @@ import re
 import regex
 from tokenizers import Tokenizer
 
-#: Distinct pre-tokens that a worker remembers; the table starts anew beyond it, which changes no result.
-TABLE_WORDS = 400_000
+#: Distinct pre-tokens that a worker remembers, and the longest that stay when it is full; neither changes a result.
+TABLE_WORDS, SHORT_WORD = 600_000, 10
+#: Texts whose new words are encoded in one call.
+TEXTS = 4
+
+#: Byte-level vocabularies show printable Latin-1 bytes as themselves, the others from U+0100 on; 0xFF is in no UTF-8 text.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 _HELD: dict[str, "WordTable"] = {}
 _EXOTIC = re.compile("[\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff\x1c-\x1f\x85]")
@@ -21,34 +27,50 @@ class WordTable:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict = {}
+        self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
 
     def fill(self, new: set[str]) -> None:
-        if len(self.words) + len(new) > TABLE_WORDS:
-            self.words.clear()
-        todo = list(new)
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids: list[list[int]] = [[] for _ in part]
-            for i, w in zip(got.ids, got.word_ids, strict=True):
-                ids[w].append(i)
-            for w, x in zip(part, ids, strict=True):
-                self.words[w] = self.entry(x)
+        """Runs the tokenizer's model over the words, in the visible characters that stand for their bytes."""
+        words = list(new)
+        shown = b"\xff".join([w.encode() for w in words]).decode("latin-1").translate(_SHOWN).split("\xff")
+        model, entry, known = self.tokenizer.model.tokenize, self.entry, self.words
+        for word, text in zip(words, shown, strict=True):
+            known[word] = entry([t.id for t in model(text)])
 
     def entry(self, ids: list[int]):
+        """What the table holds of a word."""
         return ids
 
-    def look_up(self, texts: list[list[str]]) -> list[list]:
-        """The entries of each text's words, in their positions."""
+    def learn(self, texts: list[list[str]]) -> None:
+        """Makes sure that the words of these texts are known. A full table lets its longer words go, which come again least."""
+        known = self.words
+        new = set().union(*(set(words).difference(known) for words in texts))
+        if len(known) + len(new) > TABLE_WORDS:
+            short = {w: e for w, e in known.items() if len(w) <= SHORT_WORD}
+            known.clear()
+            if len(short) < TABLE_WORDS * 3 // 4:
+                known.update(short)
+            new = set().union(*(set(words).difference(known) for words in texts))
+        if new:
+            self.fill(new)
+
+    def look_up(self, words: list[str]) -> list:
+        """The entries of words that are known, in their positions."""
+        return list(map(self.words.__getitem__, words))
+
+    def split(self, text: str) -> list[str]:
+        raise NotImplementedError
+
+    def encode_all(self, texts: list[str]) -> list[list]:
+        """The entries of each text, special tokens' strings taken out first."""
+        runs = [[(run if special else self.split(run), special) for run, special in split_specials(t, list(self.specials))] for t in texts]
+        self.learn([words for text in runs for words, special in text if not special])
         out = []
-        for words in texts:
-            known = self.words
-            new = {w for w in words if w not in known}
-            if new:
-                if len(known) + len(new) > TABLE_WORDS:
-                    new = set(words)
-                self.fill(new)
-            out.append(list(map(known.__getitem__, words)))
+        for text in runs:
+            entries: list = []
+            for words, special in text:
+                entries += [self.entry([self.specials[words]])] if special else self.look_up(words)
+            out.append(entries)
         return out
 
 
