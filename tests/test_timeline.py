@@ -1,6 +1,7 @@
 """Filters, merge, order, source and pipelines on authored cues and random files."""
 
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -173,7 +174,10 @@ def test_stream(spark, tmp_path):
     cues(spark, [(0, 1000, " a "), (500, 2000, "b"), (5000, 6000, "c"), (9000, 9500, "")]).coalesce(1).write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(CUE).parquet(str(tmp_path / "in"))
     query = stream.merged(stream.normalized(live)).writeStream.format("memory").queryName("islands").outputMode("append").start()
-    query.processAllAvailable()
+    for _ in range(60):  # batches go on without data, as timeouts are due in processing time
+        if spark.sql("SELECT * FROM islands").count():
+            break
+        time.sleep(1)
     query.stop()
     assert [tuple(r) for r in spark.sql("SELECT * FROM islands").collect()] == [("f", 0, 2000, "a\nb")]
 
