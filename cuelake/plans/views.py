@@ -15,8 +15,8 @@ c1 AS (SELECT file_id, event_id, ord, from_ms,
               CASE WHEN event_id % 71 = 0 THEN '' ELSE event_type END AS text FROM c0),
 c2 AS (SELECT file_id, ord, from_ms, to_ms, text FROM c1
        UNION ALL SELECT file_id, ord + 1, from_ms, to_ms, text FROM c1 WHERE event_id % 50 = 0)
-SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY ord) AS pos,
-       row_number() OVER (PARTITION BY file_id ORDER BY ord) AS idx, from_ms, to_ms, text FROM c2
+SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY ord) AS BIGINT) AS pos,
+       CAST(row_number() OVER (PARTITION BY file_id ORDER BY ord) AS BIGINT) AS idx, from_ms, to_ms, text FROM c2
 """
 _DEC = """
 SELECT CAST(conv_id AS {text}) AS file_id, turn AS pos, turn + 1 AS idx,
@@ -43,5 +43,5 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dec(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    # the braces of the text are a parameter, as sql() formats its query
+    # sql() formats its query, so braces in the text are doubled
     return spark.sql(_DEC.format(text="STRING", conversations="{conversations}").replace("{door closes}", "{{door closes}}"), conversations=conversations)
