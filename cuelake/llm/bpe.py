@@ -26,6 +26,8 @@ VOCABULARY = "word_bpe_49k.json"
 class PieceTable(WordTable):
     """word -> (number of ids, decimal ids joined by a space, pieces joined by a space)."""
 
+    limit = 150_000
+
     def __init__(self, path: str) -> None:
         super().__init__(path)
         self.pieces = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}

@@ -7,8 +7,8 @@ import re
 import regex
 from tokenizers import Tokenizer
 
-#: Distinct pre-tokens that a worker remembers, and the longest that stay when it is full; neither changes a result.
-TABLE_WORDS, SHORT_WORD = 600_000, 10
+#: The longest words that stay in a full table.
+SHORT_WORD = 10
 #: Texts whose new words are encoded in one call.
 TEXTS = 4
 
@@ -22,7 +22,11 @@ _SPACE = re.compile("[\t-\r \xa0]+")
 
 
 class WordTable:
-    """word -> (ids, ...) for one tokenizer file, filled by need, a batch of new words at a time."""
+    """word -> (ids, ...) for one tokenizer file, filled by need, a batch of new words at a time.
+
+    limit: distinct words that a worker remembers; it bounds memory and changes no result."""
+
+    limit = 600_000
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,10 +49,10 @@ class WordTable:
         """Makes sure that the words of these texts are known. A full table lets its longer words go, which come again least."""
         known = self.words
         new = set().union(*(set(words).difference(known) for words in texts))
-        if len(known) + len(new) > TABLE_WORDS:
+        if len(known) + len(new) > self.limit:
             short = {w: e for w, e in known.items() if len(w) <= SHORT_WORD}
             known.clear()
-            if len(short) < TABLE_WORDS * 3 // 4:
+            if len(short) < self.limit * 3 // 4:
                 known.update(short)
             new = set().union(*(set(words).difference(known) for words in texts))
         if new:

@@ -198,9 +198,7 @@ def test_op4_is_the_library(docs):
 
 
 def test_op4_full_table(monkeypatch):
-    from cuelake.llm import words
-
-    monkeypatch.setattr(words, "TABLE_WORDS", 20)
+    monkeypatch.setattr(bpe.PieceTable, "limit", 20)
     table = bpe.PieceTable(common.tokenizer_path(bpe.VOCABULARY))
     library = Tokenizer.from_file(common.tokenizer_path(bpe.VOCABULARY))
     for text in ("one two three", prose(60), "one two", prose(15)):
