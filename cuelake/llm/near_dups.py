@@ -7,12 +7,13 @@ register's value is the time of its first point, so two signatures agree at a re
 Jaccard similarity as probability. A text's processes run until no open one can still lower a register.
 
 Texts with equal multisets count as copies and are represented by the smallest doc_id. Representatives that share a band
-(ROWS registers; BANDS of them: a pair at 0.8 meets but for 5 in a million) are compared: within a band with its most
-central member (the one whose bands hold the most members, then the smallest id), with its smallest, and, in bands of up
-to CHAIN members, with the next in order. So a band gives pairs in proportion to its members. Pairs whose overlap is THRESHOLD
-or more are links; classes are the connected parts, found by label propagation with pointer jumping over checkpointed
-tables. A link between two members of a band who are far from the members they are compared with in all the bands they
-share is found only through other members; README says more.
+(ROWS registers; BANDS of them: a pair at 0.8 meets but for 5 in a million) are compared in two steps. First each member of
+a band with the most central one (whose bands hold the most members, then the smallest id) and with the smallest, so a band
+gives pairs in proportion to its members; pairs whose overlap is THRESHOLD or more are links. Then the members of the bands
+whose other members aren't in one connected part yet meet by an exact prefix filter (rest_pairs()), and what it can't prove
+to be below THRESHOLD or in one part already is compared. So of all pairs that share a band, each is compared, in one
+class, or provably below THRESHOLD. Classes are the connected parts, found by label propagation with pointer jumping over
+checkpointed tables. n_links counts the links that were looked at, not all near pairs.
 
 Null texts are empty; texts without words are copies of each other and in no band. Rows without doc_id join the class of
 their copies, or have a null class; rows that share a doc_id share a class if their texts are near duplicates of one
@@ -22,6 +23,7 @@ class. Every row gives one row, repeated rows too; other columns are ignored by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,10 @@ from cuelake.llm.shingles import lowered, mix, multisets, overlap
 
 ROWS, BANDS, THRESHOLD = 4, 24, 0.8
 REGISTERS = ROWS * BANDS
-CHAIN = 256
+#: Counters that order shingles by rarity; any order is right, a good one leaves fewer pairs to compare.
+COUNTERS = 1 << 18
+#: Pairs by the prefix filter are compared in rounds: one of so many, leaving out those that are in one part by then.
+ROUNDS = (16, 1)
 #: Bytes of text whose signatures are made at once; a longer text is taken alone.
 CHUNK = 1 << 20
 _U = np.uint64
@@ -108,20 +113,82 @@ def sign(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<bigint>")
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b, distinct: pairs to compare, from (rep, bands)."""
-    banded = reps.filter("rep is not null").select("rep", F.explode("bands").alias("band"))
-    sizes = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1")
-    shared = common.durable(banded.join(sizes, "band"))
+def banded(reps: DataFrame) -> DataFrame:
+    """(band, rep, least, n) of the bands with two members or more, from (rep, bands)."""
+    rows = reps.filter("rep is not null").select("rep", F.explode("bands").alias("band"))
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1")
+    return common.durable(rows.join(sizes, "band"))
+
+
+def hubs(shared: DataFrame) -> DataFrame:
+    """(band, centre): the most central member of each band."""
     weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
-    centre = shared.join(weight, "rep").groupBy("band").agg((-F.max(F.struct("weight", -F.col("rep")))["col2"]).alias("centre"))
-    stars = shared.select("band", "rep").join(centre, "band").select("rep", F.col("centre").alias("other"))
-    least = shared.select("rep", F.col("least").alias("other"))
-    chain = shared.filter(F.col("n") <= CHAIN).select("rep", F.lag("rep").over(Window.partitionBy("band").orderBy("rep")).alias("other"))
-    pairs = stars.unionByName(least).unionByName(chain).filter("other is not null and other <> rep")
+    return common.durable(shared.join(weight, "rep").groupBy("band").agg((-F.max(F.struct("weight", -F.col("rep")))["col2"]).alias("centre")))
+
+
+def star_pairs(shared: DataFrame, centre: DataFrame) -> DataFrame:
+    """(a, b), a < b, distinct: each member of a band with its centre and its smallest."""
+    pairs = shared.join(centre, "band").select("rep", F.explode(F.array("centre", "least")).alias("other")).filter("other <> rep")
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
+def unsettled(shared: DataFrame, centre: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, label) of the members, hubs aside, of bands where those are in two parts or more. Hubs were compared with all."""
+    others = shared.filter("n > 2").join(centre, "band").filter("rep <> centre and rep <> least")
+    named = others.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
+    split = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return named.join(split, "band").select("rep", "label").distinct()
+
+
+def rest_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b), a < b, distinct, from (rep, label, text): pairs of two labels that may reach the threshold; none that does is left out.
+
+    A shingle's k-th copy is a token; every text has its tokens in one order, rare ones first. Texts of x <= y tokens whose
+    similarity is t have t / (1 + t) * (x + y) tokens in common or more. So their first common token is among the first
+    x - 2t / (1 + t) * x + 1 of the one and y - t * y + 1 of the other, and enough tokens follow it in both.
+    """
+    share = threshold / (1 + threshold)
+
+    def bags(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
+        for batch in batches:
+            for at, stop, data, offsets in _chunks(batch.column(column)):
+                yield batch.slice(at, stop - at), *multisets(data, offsets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for _, _, key, _ in bags(batches, 0):
+            total += np.bincount((key % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["counter", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    counts = counted.toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[counts.column("counter").to_numpy()] = counts.column("n").to_numpy()
+    schema = pa.schema([("token", pa.int64()), ("rep", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("at", pa.int64())])
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text, key, times in bags(batches, 2):
+            first = np.cumsum(times) - times
+            copy = np.arange(int(times.sum())) - np.repeat(first, times)
+            text, key = np.repeat(text, times), np.repeat(key, times)
+            order = np.lexsort((copy, key, often[(key % _U(COUNTERS)).astype(np.int64)], text))
+            text, token = text[order], mix(key[order] + copy[order].astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+            sizes = np.bincount(text, minlength=batch.num_rows)
+            at, n = np.arange(len(text)) - (np.cumsum(sizes) - sizes)[text], sizes[text]
+            keep = np.flatnonzero(at <= n - np.ceil(threshold * n - 1e-6))
+            who = pa.array(text[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(n[keep]), pa.array(at[keep])], schema=schema)
+
+    found = common.durable(texts.select("rep", "label", "text").mapInArrow(tokens, "token long, rep long, label long, n long, at long"))
+    y = found.select(*(F.col(c).alias(f"{c}_y") for c in found.columns))
+    x = found.filter(F.col("at") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-6))
+    enough = (F.col("n") - F.col("at") >= share * (F.col("n") + F.col("n_y")) - 1e-6) & (F.col("n_y") - F.col("at_y") >= share * (F.col("n") + F.col("n_y")) - 1e-6)
+    smaller = (F.col("n") < F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("rep") < F.col("rep_y")))
+    met = x.join(y, (F.col("token") == F.col("token_y")) & smaller & (F.col("label") != F.col("label_y")) & (F.col("n") >= threshold * F.col("n_y") - 1e-6) & enough)
+    return met.select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity) of the pairs whose texts' exact overlap is at least the threshold. docs: (rep, text)."""
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
@@ -160,17 +227,52 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs (a, b) of two parts, with their parts: (a, b, label_a, label_b)."""
+    for side in ("a", "b"):
+        named = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+        pairs = pairs.join(named, side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
+    return pairs.filter("label_a <> label_b").select("a", "b", "label_a", "label_b")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links (label_a, label_b) between parts: parts that are linked become one."""
+    parts = components(links.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct())
+    named = labels.join(parts.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    return common.durable(named.unionByName(parts.join(labels, "node", "left_anti").select("node", "label")))
+
+
+def texts_of(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rep, text), kept, of the representatives in the pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    # a doc_id may stand on several rows: one text for each
+    return common.durable(df.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").groupBy("rep").agg(F.max("text").alias("text")))
+
+
 def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_links): class_id is the smallest doc_id of the class; links of the text's representative."""
     signed = common.durable(sign(df))
     reps = common.durable(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    pairs = common.durable(candidate_pairs(reps))
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    # a doc_id may stand on several rows: one text for each
-    texts = df.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").groupBy("rep").agg(F.max("text").alias("text"))
-    links = common.durable(verified(pairs, common.durable(texts), threshold))
+    shared = banded(reps)
+    centre = hubs(shared)
+    pairs = common.durable(star_pairs(shared, centre))
+    texts = texts_of(df, pairs)  # of all that are compared: a band's members are compared with its hubs
+    links = common.durable(verified(pairs, texts, threshold)).select("a", "b")
+    labels = components(links)
+    members = common.durable(unsettled(shared, centre, labels))
+    if not members.isEmpty():
+        rest = common.durable(rest_pairs(texts.join(members, "rep"), threshold).join(pairs, ["a", "b"], "left_anti").withColumn("turn", F.xxhash64("a", "b")))
+        for n, one_of in enumerate(ROUNDS):
+            turn = rest.filter(F.pmod("turn", F.lit(one_of)) == 0)
+            for before in ROUNDS[:n]:
+                turn = turn.filter(F.pmod("turn", F.lit(before)) != 0)
+            more = common.durable(apart(turn.select("a", "b"), labels))
+            new = common.durable(verified(more, texts, threshold).select("a", "b").join(more, ["a", "b"]))
+            if not new.isEmpty():
+                links = links.unionByName(new.select("a", "b"))
+                labels = merged(labels, new)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    labels = components(links).select(F.col("node").alias("rep"), "label")
+    labels = labels.select(F.col("node").alias("rep"), "label")
     named = common.durable(reps.select("k1", "k2", "rep").join(labels, "rep", "left").join(degree, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     return signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
 

@@ -390,6 +390,22 @@ def test_op9_large_group(spark):
     assert {r["doc_id"] for r in near_dups.one_of_each(df).collect()} == {0, *range(200, 230)}
 
 
+def test_op9_shared_passage(spark):
+    """Texts that share a passage and are 0.76 alike, so that they meet in hot bands, with near copies among them."""
+    rng = random.Random(15)
+    passage = prose(100, rng)
+    rows = []
+    for d in range(0, 1200, 2):
+        own = prose(rng.randint(14, 16), rng).split()
+        rows.append((d, f"{passage} {' '.join(own)}"))
+        rows.append((d + 1, f"{passage} {' '.join(own[: rng.randint(5, 12)] + prose(len(own), rng).split())}" if d % 8 == 0 else f"{passage} {prose(15, rng)}"))
+    rows = [(d, " ".join(t.split()[:116])) for d, t in rows]
+    df = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOC)
+    want = brute_classes(rows)
+    assert 100 < len(rows) - len(set(want.values())) < 200
+    assert {r["doc_id"]: r["class_id"] for r in near_dups.classes(df).collect()} == want
+
+
 # 10
 
 
