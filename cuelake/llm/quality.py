@@ -3,8 +3,9 @@
 The base rules count words (runs without ASCII white space), symbols, repeated lines and words in repeated 3-word windows.
 The references are the mean histograms of all documents of a language that pass the base rules, in millionths, summed as
 integers so that they don't depend on the order of rows. A document is rejected if its Jensen-Shannon distance (base 2,
-0 to 1) to the reference is above MAX_CLASSES or, from MIN_WORDS words on, above
-MAX_WORDS + WORDS_NOISE / sqrt(words): short texts stray further by chance. Languages without a word list
+0 to 1) to the reference is above MAX_CLASSES + CLASSES_NOISE / sqrt(words) or, from MIN_WORDS words on, above
+MAX_WORDS + WORDS_NOISE / sqrt(words): short texts stray further by chance. limit() sets these numbers from the good
+documents of one labelled part, with the margins below; README has both error rates on others. Languages without a word list
 share one reference ("und"), so there are five of them at most, whatever the lang column holds.
 
 Null and empty texts have no words, so the base rules reject them; a null lang counts as "und"; every row gives one row,
@@ -31,8 +32,11 @@ COMMON = {
 }
 CLASSES = ("upper", "lower", "digit", "space", "stop", "symbol", "other_ascii", "high")
 MIN_BASE_WORDS, MAX_REPEAT = 50, 50
-#: Above these distances a document is rejected; MIN_WORDS and the noise term guard the word histogram of short texts.
-MAX_CLASSES, MAX_WORDS, WORDS_NOISE, MIN_WORDS = 0.3, 0.2, 1.6, 50
+#: Added to what limit() gives.
+WORDS_MARGIN, CLASSES_MARGIN = 0.06, 0.05
+#: Above these distances a document is rejected; MIN_WORDS and the noise terms guard the histograms of short texts. They are
+#: limit()'s on the labelled good documents of sf0.1 with an even doc_id that pass the base rules.
+MAX_CLASSES, CLASSES_NOISE, MAX_WORDS, WORDS_NOISE, MIN_WORDS = 0.118, 1.75, 0.119, 2.1, 50
 
 _SPACES = [32, *range(9, 14)]
 _SYMBOLS = list(b"#*$%&|<>")
@@ -105,12 +109,20 @@ def distance(a, b):
     return F.when((ta > 0) & (tb > 0), F.sqrt(F.greatest(total / 2, zero))).otherwise(zero)
 
 
+def limit(distances: np.ndarray, n_words: np.ndarray, margin: float) -> tuple[float, float]:
+    """(level, noise): of the curves level + noise / sqrt(words) over all the distances the lowest on average, then the margin."""
+    roots = np.sqrt(n_words)
+    curves = [(float((distances - noise / roots).max()), noise) for noise in (np.arange(61) * 0.05).round(2).tolist()]
+    level, noise = min(curves, key=lambda c: float((c[0] + c[1] / roots).mean()))
+    return round(level + margin, 3), noise
+
+
 def verdicts(measured: DataFrame) -> DataFrame:
     """measured with class_distance, word_distance and kept. measured is read twice: keep it first."""
     both = measured.join(F.broadcast(references(measured)), "ref", "left")
     to_double = lambda c: F.transform(F.coalesce(c, F.array().cast("array<long>")), lambda x: x.cast("double"))
     both = both.withColumns({"class_distance": distance(to_double(F.col("classes")), to_double(F.col("ref_classes"))), "word_distance": distance(to_double(F.col("listed")), to_double(F.col("ref_listed")))})
-    far = (F.col("class_distance") > MAX_CLASSES) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORDS + WORDS_NOISE / F.sqrt("n_words")))
+    far = (F.col("class_distance") > MAX_CLASSES + CLASSES_NOISE / F.sqrt(F.greatest("n_words", F.lit(1)))) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORDS + WORDS_NOISE / F.sqrt("n_words")))
     return both.withColumn("kept", ~F.col("base_failed") & ~far)
 
 

@@ -431,6 +431,20 @@ def test_op10_verdicts(spark):
     assert n.get((1, False), 0) == 0 and n.get((0, False), 0) >= 0.7 * (n.get((0, False), 0) + n.get((0, True), 0))
 
 
+def test_op10_limits(spark):
+    """The limits are those of the good documents of one half; the other half gives both error rates."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = queries.QUERIES["op10_quality"](spark, "/root/testdata/sf0.1").join(labels, "doc_id").filter("NOT base_failed").collect()
+    good = [r for r in rows if r["quality"] and r["doc_id"] % 2 == 0]
+    of = lambda c: np.array([r[c] for r in good])
+    assert quality.limit(of("word_distance"), of("n_words"), quality.WORDS_MARGIN) == (quality.MAX_WORDS, quality.WORDS_NOISE)
+    assert quality.limit(of("class_distance"), of("n_words"), quality.CLASSES_MARGIN) == (quality.MAX_CLASSES, quality.CLASSES_NOISE)
+    held = [r for r in rows if r["doc_id"] % 2]
+    missed = [r["kept"] for r in held if not r["quality"]]
+    refused = [not r["kept"] for r in held if r["quality"]]
+    assert sum(missed) / len(missed) < 0.1 and sum(refused) / len(refused) < 0.001
+
+
 def test_op10_distance(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([1.0, 3.0], [2.0, 6.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0, 1.0], [1.0, 0.0])], "a array<double>, b array<double>")
     got = [r["d"] for r in df.select(quality.distance(F.col("a"), F.col("b")).alias("d")).collect()]
