@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -103,12 +104,41 @@ WEIGHTS: dict[str, tuple[float, float, float, float, float]] = {
 }
 #: Log-potentials of equal labels along the chain and along skip edges, the belief that makes a span, and the rounds of messages.
 CHAIN, SKIP, BELIEF, ROUNDS = 0.1, 5.0, 0.9, 12
-_TOKEN = re.compile(r"[^\s@,;:<>\"'|=/]+(?:@[^\s@,;:<>\"'|=/]+)|\+?[0-9][0-9().\x20-]*[0-9]")
+_WORD = r"[^\s@,;:<>\"'|=/]"
+_WORD_CHAR, _WORD_RUN = re.compile(_WORD), re.compile(_WORD + "+")
+_NUMBER = re.compile(r"\+?[0-9][0-9().\x20-]*[0-9]")
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Words joined by an @, and numbers, leftmost and without overlap; at the same start the former."""
+    at, sign = 0, text.find("@")
+    number = _NUMBER.search(text)
+    while True:
+        after = _WORD_RUN.match(text, sign + 1) if sign >= 0 else None
+        if sign >= 0 and not after:
+            sign = text.find("@", sign + 1)
+            continue
+        start = sign
+        while start > at and _WORD_CHAR.match(text, start - 1):
+            start -= 1
+        while number and (sign < 0 or number.start() < start):
+            yield number.span()
+            at = number.end()
+            start = max(start, at)
+            number = _NUMBER.search(text, at)
+        if sign < 0:
+            return
+        if start < sign:
+            yield start, after.end()
+            at = after.end()
+            if number and number.start() < at:
+                number = _NUMBER.search(text, at)
+        sign = text.find("@", sign + 1)
 
 
 def nodes(text: str) -> list[tuple[int, int]]:
     """Spans of the tokens that can be personal data: those with an @, and runs of six digits or more."""
-    return [m.span() for m in _TOKEN.finditer(text) if "@" in m[0] or sum(c.isdigit() for c in m[0]) >= 6]
+    return [(a, b) for a, b in _tokens(text) if "@" in text[a:b] or sum(c.isdigit() for c in text[a:b]) >= 6]
 
 
 def folded(token: str) -> str:
@@ -197,9 +227,7 @@ def document_graph(text: str, base: list[Span], weights: dict | None = None) ->
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans that the field adds; they overlap no base span. Without a base span nothing tells what to agree with."""
-    if not base:
-        return []
+    """Spans that the field adds; they overlap no base span."""
     spans, clamped, unary, edges = document_graph(text, base)
     if all(c >= 0 for c in clamped):
         return []

@@ -130,6 +130,27 @@ def test_op2_field():
     assert pii.mask(None) is None and pii.mask("") == ""
 
 
+def test_op2_field_without_base():
+    """Mentions of a card in a form that the base misses are labelled by each other, whatever else the text holds."""
+    card = "4539.6020.0000.0000"
+    card = next(c for c in (card[:-1] + str(d) for d in range(10)) if pii.luhn(c.replace(".", "")))
+    text = " and ".join([f"paid with {card}"] * 14)
+    base, spans = pii.find(text)
+    assert base == [] and [text[a:b] for _, a, b in spans] == [card] * 14 and {k for k, _, _ in spans} == {"card"}
+    assert pii.find(f"paid with {card}, 77 12 99 and 77 12 98")[1] == []
+
+
+def test_op2_tokens():
+    """Tokens are those of one pattern, found in linear time."""
+    token = re.compile(r"[^\s@,;:<>\"'|=/]+(?:@[^\s@,;:<>\"'|=/]+)|\+?[0-9][0-9().\x20-]*[0-9]")
+    rng = random.Random(16)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["@", ".", "a", "1", "23", " ", "+", "(", "-", ",", "é", "\n", "/"]) for _ in range(rng.randint(1, 25)))
+        assert list(pii._tokens(text)) == [m.span() for m in token.finditer(text)], text
+    for text in ("x" * 300_000, "x" * 300_000 + " @", "1(" * 100_000, "a@" * 100_000, "@" * 300_000, "12 @" * 50_000):
+        pii.nodes(text)
+
+
 def test_op2_beliefs():
     """On a tree message passing is exact: two nodes, one clamped."""
     unary = [[30.0, -30, -30, -30, -30], [0.0] * 5]
