@@ -5,7 +5,8 @@ mask's places, so a substituted word at an ignored place changes nothing. Hashes
 joined with those of the benchmark; round each hit the document's words are laid over the item's, without gaps, and the
 equal ones are counted. A document overlaps an item if WINDOW words in a row have LEAST equal ones or more, or, for items
 shorter than that, if SHARE of the item's words are equal. Any WINDOW words with two substitutions keep a hit of the first
-mask (the tests try them all); items of fewer than five words match nothing.
+mask, and short items with as many as SHARE allows one of SHORT_MASKS (the tests try them all); items of fewer than five
+words match nothing.
 
 The benchmark's hashes are broadcast in blocks of BLOCK_HASHES rows at most, counted beforehand; each block is joined with
 all documents, so that neither a hot hash nor a large benchmark makes a skewed exchange. Documents are told by id and a
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from cuelake.llm import common
 
-#: Places of a seed that count; the rest of its span is ignored. Five words each. The second is for items shorter than WINDOW.
-MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 3, 4))
+#: Places of a seed that count; the rest of its span is ignored. Five words.
+MASKS = ((0, 1, 3, 6, 7),)
+#: (mask, longest item) of four words each, for items shorter than WINDOW: two of them reach all lengths but five.
+SHORT_MASKS = (((0, 1, 2, 3), 12), ((0, 1, 3, 4), 12), ((0, 1, 2, 4), 5), ((0, 2, 3, 4), 5))
 WINDOW, LEAST, SHARE = 13, 11, 0.8
 BLOCK_HASHES = 250_000
 
@@ -66,13 +69,14 @@ def _block_hits(docs: DataFrame, block: DataFrame, mask: tuple[int, ...]) -> Dat
 def overlaps(documents: DataFrame, benchmark: DataFrame, block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """(doc_id, text_key, item_id, item_words, equal_words, first_word): the best place of each item in each document."""
     known = items(benchmark)
-    total, short = known.agg(F.sum("item_n"), F.min("item_n") < WINDOW).first()
+    total, shortest = known.agg(F.sum("item_n"), F.min("item_n")).first()
     n_blocks = -(-(total or 0) // block_hashes) or 1
     docs = documents.filter(documents["text"].isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), _word_hashes(documents["text"]).alias("words")).select("doc_id", "text_key", "words", F.size("words").alias("n"))
     block = lambda i: known if n_blocks == 1 else known.filter(F.pmod(F.xxhash64("item_words"), F.lit(n_blocks)) == i)
     hits = [_block_hits(docs, block(i), MASKS[0]) for i in range(n_blocks)]
-    if short:
-        hits += [_block_hits(docs, block(i).filter(F.col("item_n") < WINDOW), MASKS[1]) for i in range(n_blocks)]
+    for mask, longest in SHORT_MASKS:
+        if shortest is not None and shortest <= longest:
+            hits += [_block_hits(docs, block(i).filter(F.col("item_n") <= longest), mask) for i in range(n_blocks)]
     hits = reduce(DataFrame.unionByName, hits)
     best = hits.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("equal_words", -F.col("first_word"), "item_words")).alias("best"))
     return best.select("doc_id", "text_key", "item_id", "best.item_words", "best.equal_words", (-F.col("best.col2")).alias("first_word"))

@@ -309,6 +309,30 @@ def test_op8_masks_reach():
         assert any(not {p + o for o in mask} & set(bad) for p in range(decontaminate.WINDOW - mask[-1]))
 
 
+def test_op8_short_masks_reach():
+    """Any substitutions that SHARE allows leave a hit of a mask, for all lengths of short items."""
+    for n in range(5, decontaminate.WINDOW):
+        masks = [m for m, longest in decontaminate.SHORT_MASKS if n <= longest]
+        for bad in itertools.combinations(range(n), n - -(-n * 8 // 10)):
+            assert any(not {p + o for o in m} & set(bad) for m in masks for p in range(n - m[-1])), (n, bad)
+
+
+def test_op8_short_items(spark):
+    """Items of 5 to 12 words with each pattern of allowed substitutions; one more is too many."""
+    rng = random.Random(17)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(5, 13)]
+    rows, want = [], set()
+    for n, text in items:
+        most = n - -(-n * 8 // 10)
+        for bad in [*itertools.combinations(range(n), most), tuple(rng.sample(range(n), most + 1))]:
+            words = ["zz" if k in bad else w for k, w in enumerate(text.split())]
+            if len(bad) == most:
+                want.add((len(rows), n))
+            rows.append((len(rows), " ".join(prose(3, rng).split() + words + prose(3, rng).split()), None, None, None))
+    got = decontaminate.overlaps(spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 def test_op8_planted(spark):
     rng = random.Random(12)
     items = [(i, prose(rng.randint(14, 40), rng)) for i in range(20)] + [(20, prose(7, rng)), (21, "too short an item"), (22, None), (None, prose(15, rng)), (0, "")]
