@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Each task splits its texts into the tokenizer's words, encodes each distinct word once, and joins the ids back by
-position; ids become text again through a join with the id-to-piece table, whose size the vocabulary bounds. No word
+position; a text's ids become text again through the id-to-piece table, whose size the vocabulary bounds. No word
 or position leaves the task: exchanging every position, as one table for the whole corpus needs, moves several times
 the input (README has figures), while the distinct words of a task are a few hundred thousand.
 
@@ -24,30 +24,40 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 class PieceTable(WordTable):
-    """word -> (number of ids, decimal ids joined by a space, pieces joined by a space)."""
+    """word -> (number of ids, decimal ids joined by a space); and decimal id -> piece."""
 
     limit = 150_000
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.pieces = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.pieces = {str(i): p for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
 
-    def entry(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.pieces.__getitem__, ids))
+    def entry(self, ids: list[int]) -> tuple[int, str]:
+        return len(ids), " ".join(map(str, ids))
+
+    def decode(self, ids: str) -> str:
+        """The pieces, joined by a space, of decimal ids joined by a space."""
+        return " ".join(map(self.pieces.__getitem__, ids.split()))
 
     def split(self, text: str) -> list[str]:
         return word_words(text, self.tokenizer)
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[tuple[str, str, int]]:
-    """Ids and pieces, both joined by a space, and how many, of each text."""
-    out = []
-    for entries in held(PieceTable, path).encode_all([t or "" for t in texts]):
+    """Ids and the text decoded from them, both joined by a space, and how many ids, of each text."""
+    table, out = held(PieceTable, path), []
+    for entries in table.encode_all([t or "" for t in texts]):
         some = [e for e in entries if e[0]]
-        out.append((" ".join([e[1] for e in some]), " ".join([e[2] for e in some]), sum([e[0] for e in some])))
+        ids = " ".join([e[1] for e in some])
+        out.append((ids, table.decode(ids), sum([e[0] for e in some])))
     return out
 
 
+def decode(ids: list[int], vocabulary: str | None = None) -> str:
+    """The text of an id array: its pieces joined by a space."""
+    return held(PieceTable, common.tokenizer_path(VOCABULARY, vocabulary)).decode(" ".join(map(str, ids)))
+
+
 def _mapped(df: DataFrame, id_col: str, text_col: str, path: str, row, schema: str, kinds: pa.Schema) -> DataFrame:
     """row(id, ids, decoded, how many) of each of df's rows, TEXTS at a time."""
 

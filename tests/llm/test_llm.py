@@ -218,6 +218,15 @@ def test_op4_is_the_library(docs):
         assert (ids, decoded, n) == (" ".join(map(str, want)), library.decode(want, skip_special_tokens=False), len(want))
 
 
+def test_op4_decodes_ids(docs):
+    """Ids alone give the decoded text, those of other makers too."""
+    for r in bpe.encode(docs.limit(20)).collect():
+        assert bpe.decode(r["ids"]) == r["decoded"]
+    library = Tokenizer.from_file(common.tokenizer_path(bpe.VOCABULARY))
+    ids = list(range(0, library.get_vocab_size(), 97))
+    assert bpe.decode(ids) == " ".join(map(library.id_to_token, ids)) and bpe.decode([]) == ""
+
+
 def test_op4_full_table(monkeypatch):
     monkeypatch.setattr(bpe.PieceTable, "limit", 20)
     table = bpe.PieceTable(common.tokenizer_path(bpe.VOCABULARY))
