@@ -1,11 +1,11 @@
-"""Line layout: greedy wrapping and merging of short lines, as folds over arrays. Lengths are bytes."""
+"""Line layout: greedy wrapping as one pattern, merging of short lines as a fold over an array. Lengths are bytes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cuelake.functions.text import WS, clean_text, is_continuation, is_ended, is_tag_line, lines, trim
+from cuelake.functions.text import WS, clean_text, is_continuation, is_ended, is_tag_line, let, lines, one_space, trim
 
 MAX_LINE_LENGTH, MIN_WORDS_MERGE, MAX_LINES = 70, 3, 6
 _STATE = "struct<out:array<string>,line:string>"
@@ -23,19 +23,29 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(line, rf"{WS}+", -1), lambda w: w != "")
 
 
+def _flow(c: Column, most: int) -> Column:
+    """Lines of words between single spaces, broken: as many words as fit, or one that is too long. Bytes are counted, so
+    other than ASCII text is taken as its bytes, one character each."""
+
+    def broken(x: Column) -> Column:
+        return F.regexp_replace(x, rf"([^\n]{{1,{most}}})(?:[ \n]|\z)|([^ \n]+)(?:[ \n]|\z)", "$1$2\n")
+
+    def flow(x: Column) -> Column:
+        as_bytes = F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")
+        return F.when(F.octet_length(x) == F.length(x), broken(x)).otherwise(F.decode(F.encode(broken(as_bytes), "ISO-8859-1"), "UTF-8"))
+
+    return F.btrim(let(one_space(c), flow), F.lit("\n"))
+
+
 def wrap_lines(c: Column, most: int = MAX_LINE_LENGTH) -> Column:
     """Words flow to the next line where a line would be longer than `most`; breaks stay, tag lines stay whole."""
 
-    def word(state: Column, w: Column) -> Column:
-        joined = F.when(state["line"] == "", w).otherwise(F.concat_ws(" ", state["line"], w))
-        full = F.octet_length(joined) > most
-        return F.struct(F.when(full, _pushed(state)).otherwise(state["out"]).alias("out"), F.when(full, w).otherwise(joined).alias("line")).cast(_STATE)
-
-    def line(x: Column) -> Column:
-        t = trim(x)
-        return F.when(is_tag_line(t), F.array(t)).otherwise(F.aggregate(_words(t), _start(), word, _pushed))
+    def wrapped(x: Column) -> Column:
+        by_line = F.transform(lines(x), lambda line: F.when(is_tag_line(line), line).otherwise(_flow(line, most)))
+        has_tag_line = F.contains(x, F.lit("<")) & x.rlike(r"(?<![^\n])<[^\n]*>(?![^\n])")
+        return F.when(has_tag_line, F.array_join(by_line, "\n")).when(F.octet_length(x) <= most, one_space(x)).otherwise(_flow(x, most))
 
-    return clean_text(F.array_join(F.flatten(F.transform(lines(c), line)), "\n"))
+    return let(clean_text(c), wrapped)
 
 
 def merge_short_lines(c: Column, words: int = MIN_WORDS_MERGE, most: int = MAX_LINE_LENGTH) -> Column:
@@ -53,5 +63,4 @@ def merge_short_lines(c: Column, words: int = MIN_WORDS_MERGE, most: int = MAX_L
 
 def lay_out(c: Column, most: int = MAX_LINE_LENGTH, words: int = MIN_WORDS_MERGE) -> Column:
     """Wrapped; if that makes more than MAX_LINES lines, short ones are merged."""
-    wrapped = wrap_lines(clean_text(c), most)
-    return F.when(F.size(lines(wrapped)) > MAX_LINES, merge_short_lines(wrapped, words, most)).otherwise(wrapped)
+    return let(wrap_lines(c, most), lambda x: F.when(F.size(lines(x)) > MAX_LINES, merge_short_lines(x, words, most)).otherwise(x))

@@ -14,15 +14,24 @@ _UNITS = {"ns": 1, "us": 1_000, "µs": 1_000, "μs": 1_000, "ms": 1_000_000, "s"
 _PART = re.compile(r"([0-9]+(?:\.[0-9]*)?|\.[0-9]+)(ns|us|µs|μs|ms|s|m|h)")
 
 
-def parse_timing(c: Column) -> tuple[Column, Column]:
-    """(from, to) in milliseconds, null where the line has no timing or a number is out of range. ',5' is 5 ms."""
-    part = lambda i: F.regexp_extract(c, TIMING, i).try_cast("bigint")
+def time_parts(c: Column) -> Column:
+    """The numbers of a line's timing as strings: eight, or an empty one where there is none."""
+    return F.split(F.regexp_extract(c, TIMING, 0), "[^0-9]+")
+
+
+def from_parts(parts: Column) -> tuple[Column, Column]:
+    """(from, to) in milliseconds of time_parts()."""
 
     def total(first: int) -> Column:
-        h, m, s, ms = (part(first + k) for k in range(4))
+        h, m, s, ms = (F.get(parts, F.lit(first + k)).try_cast("bigint") for k in range(4))
         return F.try_add(F.try_multiply(h, F.lit(3_600_000)), F.try_add(F.try_multiply(m, F.lit(60_000)), F.try_add(F.try_multiply(s, F.lit(1000)), ms)))
 
-    return total(1), total(5)
+    return total(0), total(4)
+
+
+def parse_timing(c: Column) -> tuple[Column, Column]:
+    """(from, to) in milliseconds, null where the line has no timing or a number is out of range. ',5' is 5 ms."""
+    return from_parts(time_parts(c))
 
 
 def format_time(ms: Column) -> Column:

@@ -34,6 +34,12 @@ def item_size(idx: Column, text: Column) -> Column:
     return F.octet_length(encode_item(idx, text)) + 1
 
 
+#: idx is a 64-bit number in the tables.
+MAX_IDX = (1 << 63) - 1
+#: Halves of a surrogate pair, as JSON escapes may leave them alone, are no characters.
+_LONE = dict.fromkeys(range(0xD800, 0xE000), "\ufffd")
+
+
 class WireError(ValueError):
     pass
 
@@ -65,9 +71,13 @@ def _item(pairs) -> tuple[int, str]:
             if type(value) is not str:
                 raise WireError("text isn't a string")
             text = value
-    if idx <= 0:
+    return _sound(idx), text.translate(_LONE)
+
+
+def _sound(idx: int) -> int:
+    if not 0 < idx <= MAX_IDX:
         raise WireError(f"invalid idx: {idx}")
-    return idx, text
+    return idx
 
 
 class _Pairs(list):
@@ -77,7 +87,7 @@ class _Pairs(list):
 def _load(text: str):
     try:
         return json.loads(text, object_pairs_hook=_Pairs, parse_constant=_no_constant)
-    except ValueError as e:
+    except (ValueError, RecursionError) as e:
         raise WireError(f"invalid JSON: {e}") from e
 
 
@@ -102,11 +112,10 @@ def repaired(text: str) -> tuple[int, str]:
     idx, said = _IDX.search(text), _TEXT.search(text)
     if not idx or not said:
         raise WireError("an object can't be repaired")
-    if int(idx[1]) <= 0:
-        raise WireError(f"invalid idx: {idx[1]}")
-    quoted = '"' + _BARE.sub(lambda m: m[1] or '\\"', said[1]) + '"'
-    value = _load(quoted)
-    return int(idx[1]), value
+    if len(idx[1]) > 20:
+        raise WireError(f"invalid idx: {idx[1][:20]}...")
+    number = _sound(int(idx[1]))
+    return number, _load('"' + _BARE.sub(lambda m: m[1] or '\\"', said[1]) + '"').translate(_LONE)
 
 
 def _some(items: list[tuple[int, str]]) -> list[tuple[int, str]]:

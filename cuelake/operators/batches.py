@@ -5,12 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from cuelake.functions.wire import encode_item, item_size
 
-_BATCHED = "file_id string, idx long, text string, batch_id long"
-
-
 def _cut(sizes: list[int], most: int) -> list[int]:
     """The batch of each size: as many as fit, one at least."""
     out, batch, filled = [], 0, None
@@ -26,14 +24,17 @@ def _cut(sizes: list[int], most: int) -> list[int]:
 
 
 def build_batches(cues: DataFrame, max_batch_chars: int = 7000) -> DataFrame:
-    """(file_id, idx, text, batch_id). A running sum that starts anew is a fold, so one task holds a file's cues."""
+    """(file_id, idx, text, batch_id). A running sum that starts anew is a fold, so one task holds a file's cues: they are
+    gathered as an array, and an Arrow UDF sees their sizes only."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        return rows.assign(batch_id=_cut(rows["size"].tolist(), max_batch_chars))[["file_id", "idx", "text", "batch_id"]]
+    @F.pandas_udf(ArrayType(LongType()))
+    def cut(files: pd.Series) -> pd.Series:
+        return files.map(lambda sizes: _cut(list(sizes), max_batch_chars))
 
-    sized = cues.select(F.col("file_id").cast("string").alias("file_id"), "pos", F.col("idx").cast("long").alias("idx"), "text", item_size(F.col("idx"), F.col("text")).alias("size"))
-    return sized.groupBy("file_id").applyInPandas(fold, _BATCHED)
+    cue = F.struct("pos", F.col("idx").cast("long").alias("idx"), "text", item_size(F.col("idx"), F.col("text")).alias("size"))
+    files = cues.select(F.col("file_id").cast("string").alias("file_id"), cue.alias("cue")).groupBy("file_id").agg(F.sort_array(F.collect_list("cue")).alias("cues"))
+    dealt = files.select("file_id", F.explode(F.arrays_zip("cues", cut(F.transform("cues", lambda c: c["size"])).alias("batch"))).alias("row"))
+    return dealt.select("file_id", "row.cues.idx", "row.cues.text", F.col("row.batch").alias("batch_id"))
 
 
 def payloads(batched: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Overlap merge: a cue that begins before the one before it ends is joined to it.
 
 Before every decision the merged cue ends when the cue just before ends, so in files without short cues and without a cue
-that ends before an earlier one begins, the merge is gaps and islands over lag(to): built-in windows, no Python. Other
-files go through a fold per file. Files are independent; a file's cues are the unit that one task holds.
+that ends before an earlier one begins, the merge is gaps and islands over lag(to): a group for each island, built-in
+functions only. In other files the group is the file, and an Arrow UDF folds its cues. Both ways are one plan: one
+aggregate over the exchange by file_id that the windows use. Files are independent; a file's cues are the unit that one
+task holds.
 """
 
 from __future__ import annotations
@@ -10,15 +12,17 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from cuelake.functions import layout
 from cuelake.operators import filters
 from cuelake.options import FixOptions
 
 SHORT_MS = 150
-_SCHEMA = "file_id string, pos long, from_ms long, to_ms long, text string, out_of_order boolean"
+_CUE = StructType([StructField("pos", LongType()), StructField("from_ms", LongType()), StructField("to_ms", LongType()), StructField("text", StringType())])
+_MERGED = StructType([StructField("cues", ArrayType(_CUE)), StructField("late", BooleanType())])
 
 
 def fold(cues: Iterable[tuple[int, int, str]]) -> tuple[list[list], bool]:
@@ -41,29 +45,46 @@ def fold(cues: Iterable[tuple[int, int, str]]) -> tuple[list[list], bool]:
     return out, late
 
 
-def _fold_file(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("pos")
-    cues, late = fold(zip(rows["from_ms"].tolist(), rows["to_ms"].tolist(), rows["text"].tolist(), strict=True))
-    return pd.DataFrame({"file_id": rows["file_id"].iloc[0], "pos": range(1, len(cues) + 1), "from_ms": [c[0] for c in cues], "to_ms": [c[1] for c in cues], "text": [c[2] for c in cues], "out_of_order": late})
+@F.pandas_udf(_MERGED)
+def _folded(files: pd.Series) -> pd.DataFrame:
+    """The fold over each file's cues, in order; nothing for null."""
+    cues, late = [], []
+    for file in files:
+        if file is None:
+            cues.append(None)
+            late.append(None)
+            continue
+        out, odd = fold((c["from_ms"], c["to_ms"], c["text"]) for c in file)
+        cues.append([{"pos": n, "from_ms": a, "to_ms": b, "text": t} for n, (a, b, t) in enumerate(out, 1)])
+        late.append(odd)
+    return pd.DataFrame({"cues": cues, "late": pd.Series(late, dtype="object")})
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """(file_id, pos, from_ms, to_ms, text, out_of_order) from what filters.survivors() gives."""
+def merged(rows: DataFrame, active: Column | None = None) -> DataFrame:
+    """(file_id, pos, from_ms, to_ms, text, out_of_order) from what filters.survivors() gives. active: whether a row's file
+    is merged at all; the cues of other files stay as they are. It has to be equal for all rows of a file; a column _active
+    tells it then."""
     file, ordered = Window.partitionBy("file_id"), Window.partitionBy("file_id").orderBy("pos")
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     odd = F.coalesce(F.col("to_ms") < F.max("from_ms").over(earlier), F.lit(False)) | (F.col("to_ms") - F.col("from_ms") < SHORT_MS)
-    marked = rows.select("file_id", "pos", "from_ms", "to_ms", "text").withColumn("_odd", odd).withColumn("_odd", F.max("_odd").over(file))
     begins = F.coalesce(F.col("from_ms") >= F.lag("to_ms").over(ordered), F.lit(True))
-    islands = marked.filter("NOT _odd").withColumn("_island", F.sum(begins.cast("long")).over(ordered))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
-    simple = islands.groupBy("file_id", F.col("_island").alias("pos")).agg(F.min_by("from_ms", "pos").alias("from_ms"), F.max_by("to_ms", "pos").alias("to_ms"), joined.alias("text")).withColumn("out_of_order", F.lit(False))
-    general = marked.filter("_odd").drop("_odd").groupBy("file_id").applyInPandas(_fold_file, _SCHEMA)
-    return simple.select("file_id", "pos", "from_ms", "to_ms", "text", "out_of_order").unionByName(general)
-
-
-def laid_out(cues: DataFrame, options: FixOptions) -> DataFrame:
-    """Merged cues with their lines laid out, empty ones dropped, numbered from 1."""
-    out = cues.withColumn("text", layout.lay_out(F.col("text"), options.max_line_length, options.min_words_merge)).filter("text <> ''")
+    marked = rows.select("file_id", "pos", "from_ms", "to_ms", "text", (F.lit(True) if active is None else active).alias("_active"), odd.alias("_odd"), begins.alias("_begins"))
+    marked = marked.withColumn("_odd", F.max(F.col("_odd") & F.col("_active")).over(file)).withColumn("_island", F.sum(F.col("_begins").cast("long")).over(ordered))
+    group = F.when(~F.col("_active"), F.col("pos")).when(F.col("_odd"), F.lit(0).cast("long")).otherwise(F.col("_island"))
+    cue = F.struct("pos", "from_ms", "to_ms", "text")
+    groups = marked.groupBy("file_id", "_active", "_odd", group.alias("_group")).agg(F.sort_array(F.collect_list(cue)).alias("_cues"))
+    joined = F.array_join(F.transform("_cues", lambda x: x["text"]), "\n")
+    island = F.array(F.struct(F.col("_group").alias("pos"), F.get("_cues", F.lit(0))["from_ms"].alias("from_ms"), F.element_at("_cues", -1)["to_ms"].alias("to_ms"), joined.alias("text"))).cast(ArrayType(_CUE))
+    done = groups.select("file_id", "_active", F.when(~F.col("_odd"), island).alias("_island"), _folded(F.when(F.col("_odd"), F.col("_cues"))).alias("_fold"))
+    out = done.select("file_id", "_active", F.coalesce(F.col("_fold.late"), F.lit(False)).alias("out_of_order"), F.explode(F.coalesce("_island", F.col("_fold.cues"))).alias("_cue"))
+    flag = [] if active is None else ["_active"]
+    return out.select("file_id", "_cue.pos", "_cue.from_ms", "_cue.to_ms", "_cue.text", "out_of_order", *flag)
+
+
+def laid_out(cues: DataFrame, options: FixOptions, active: Column | None = None) -> DataFrame:
+    """Merged cues with their lines laid out, empty ones dropped, numbered from 1; cues of files that aren't active keep their text."""
+    new = layout.lay_out(F.col("text"), options.max_line_length, options.min_words_merge)
+    out = cues.withColumn("text", new if active is None else F.when(active, new).otherwise(F.col("text"))).filter("text <> ''")
     nth = F.row_number().over(Window.partitionBy("file_id").orderBy("pos")).cast("long")
     return out.withColumn("idx", nth).withColumn("pos", nth)
 
@@ -72,3 +93,12 @@ def merge_cues(df: DataFrame, options: FixOptions | None = None) -> DataFrame:
     """One pass: (file_id, pos, idx, from_ms, to_ms, text, out_of_order)."""
     options = options or FixOptions()
     return laid_out(merged(filters.survivors(df, options)), options)
+
+
+def merge_again(once: DataFrame, options: FixOptions) -> DataFrame:
+    """The second pass over merge_cues(): files out of order are sorted and merged once more, normalisation included; all
+    other rows go through unchanged, so that nothing before is computed twice."""
+    again = F.col("out_of_order")
+    by = Window.partitionBy("file_id").orderBy("from_ms", "to_ms", "idx")
+    placed = once.withColumn("pos", F.when(again, F.row_number().over(by).cast("long")).otherwise(F.col("pos")))
+    return laid_out(merged(filters.survivors(placed, options, again), again), options, F.col("_active"))

@@ -23,6 +23,13 @@ def validate_idx(df: DataFrame) -> DataFrame:
     return numbered.filter("idx <> expected").groupBy("file_id").agg(F.min("expected").alias("expected"), F.min_by("idx", "expected").alias("found"))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """As a reader wants cues: idx 1..n in each file, and was_misnumbered, the warning that a file's own numbers weren't that."""
+    file = Window.partitionBy("file_id")
+    right = df.withColumn("_nth", F.row_number().over(file.orderBy("pos")).cast("long"))
+    return right.withColumn("was_misnumbered", F.max(~F.col("idx").eqNullSafe(F.col("_nth"))).over(file)).withColumn("idx", F.col("_nth")).drop("_nth")
+
+
 def shift_time(df: DataFrame, shift_ns: int, mode: str = "FAILFAST") -> DataFrame:
     """Both times moved by nanoseconds and cut to milliseconds; none is a no-op. A file in which a time would be below zero
     fails: FAILFAST raises, PERMISSIVE drops its rows."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import hi, language, layout, style, text, timing, wire
 from cuelake.operators import batches, client, filters, merge, order
-from cuelake.options import FixOptions
+from cuelake.options import FixOptions, TranslateOptions
 from cuelake.plans import pipeline
 from cuelake.plans.views import CUES_SQL, DEC_SQL, cues, dec
 from cuelake.sources import srt
@@ -54,11 +55,46 @@ def _on_dec(name: str, column: Callable[[Column], Column], sql: str | None) -> N
 _on_dec("clean_text", text.clean_text, _clean("text"))
 _on_dec("decorative_lines", text.drop_decorative, _undecorated("text"))
 _on_dec("structural_line", lambda c: text.structural_line(F.concat(F.lit(" ﻿ "), text.lines(c)[0])), f"regexp_replace({_clean("regexp_replace(' ' || chr(65279) || ' ' || string_split(text, chr(10))[1], '^' || chr(65279), '')")}, '^' || chr(65279), '')")
-_on_dec("normalize_text", lambda c: text.clean_text(text.drop_decorative(hi.strip_hi(style.strip_style(text.clean_text(c)), "standard-plus"))), None)
+
+
+def _styled_sql(rows: str) -> str:
+    """CTEs that end with `styled`: the columns of rows (id, text, ...) with text stripped of its matched tags. `walk` goes
+    through a text's tags with a stack."""
+    inner = _TRIM.format("raw[2:length(raw) - 1]")
+    named = _TRIM.format("CASE WHEN x[1] = '/' THEN x[2:] ELSE x END")
+    bare = _TRIM.format("CASE WHEN y[-1] = '/' THEN y[:-2] ELSE y END")
+    return f"""
+given AS ({rows}),
+pieces AS (SELECT id, generate_subscripts(p, 1) AS i, unnest(p) AS raw FROM (SELECT id, regexp_extract_all(text, '<[^>]*>|<[^>]*$|[^<]+') AS p FROM given) q),
+inners AS (SELECT id, i, raw, CASE WHEN raw[1] = '<' AND raw[-1] = '>' AND length(raw) >= 3 THEN {inner} END AS x FROM pieces),
+named AS (SELECT *, {named} AS y FROM inners),
+bare AS (SELECT *, lower(regexp_extract({bare}, '^[^\\s]+')) AS name FROM named),
+tags AS (SELECT id, i, raw, name, CASE WHEN x IS NULL OR x[1] IN ('!', '?') OR NOT regexp_full_match(name, '\\p{{L}}[\\p{{L}}\\p{{Nd}}:_-]*') THEN NULL
+                                     WHEN x[1] = '/' THEN CASE WHEN y[-1] = '/' THEN NULL ELSE 'close' END
+                                     WHEN y[-1] = '/' OR name = 'br' THEN 'self' ELSE 'open' END AS kind FROM bare),
+steps AS (SELECT id, i, name, kind, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM tags WHERE kind IS NOT NULL),
+walk AS (
+  SELECT id, 0::BIGINT AS k, []::STRUCT(name VARCHAR, i BIGINT)[] AS stack, []::BIGINT[] AS gone FROM given
+  UNION ALL
+  SELECT w.id, t.k,
+         CASE WHEN t.kind = 'open' THEN list_append(w.stack, struct_pack(name := t.name, i := t.i)) WHEN t.kind = 'close' AND w.stack[-1].name = t.name THEN w.stack[:-2] ELSE w.stack END,
+         CASE WHEN t.kind = 'self' THEN list_append(w.gone, t.i) WHEN t.kind = 'close' AND w.stack[-1].name = t.name THEN list_concat(w.gone, [t.i, w.stack[-1].i]) ELSE w.gone END
+  FROM walk w JOIN steps t ON t.id = w.id AND t.k = w.k + 1),
+ends AS (SELECT id, arg_max(gone, k) AS gone FROM walk GROUP BY id),
+follow AS (SELECT t.*, list_contains(e.gone, t.i) AS removed, coalesce(string_agg(CASE WHEN t.kind IS NULL THEN t.raw ELSE '' END, '') OVER (PARTITION BY t.id ORDER BY t.i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rest FROM tags t JOIN ends e ON e.id = t.id),
+joined AS (SELECT id, string_agg(CASE WHEN NOT removed THEN raw WHEN name = 'br' AND regexp_matches(rest, '^[^\n]*[^\\s]') THEN chr(10) ELSE '' END, '' ORDER BY i) AS stripped, bool_or(removed) AS some FROM follow GROUP BY id),
+styled AS (SELECT g.* REPLACE (CASE WHEN j.some THEN {_clean('j.stripped')} ELSE g.text END AS text) FROM given g LEFT JOIN joined j ON j.id = g.id)"""
+
+
+def _dec_id(x: str) -> str:
+    return f"SELECT file_id || ':' || idx AS id, file_id, idx, {x} AS text FROM ({DEC_SQL}) d"
+
+
 _on_dec("strip_style", style.strip_style, None)
+ORACLES["strip_style"] = f"WITH RECURSIVE {_styled_sql(_dec_id('text'))} SELECT file_id, idx, text FROM styled"
 
 
-@_query("strip_style_pages")
+@_query("strip_style_pages", f"WITH RECURSIVE {_styled_sql('SELECT page_id AS id, html AS text FROM pages')} SELECT id AS page_id, sha256(text) AS text_sha256 FROM styled")
 def _style_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.sha2(style.strip_style(F.col("html")), 256).alias("text_sha256"))
 
@@ -89,6 +125,14 @@ def _hi_sql(mode: str) -> str:
 for _mode in hi.MODES:
     _on_dec(f"strip_hi_{_mode.replace('-', '_')}", lambda c, m=_mode: hi.strip_hi(c, m), _hi_sql(_mode))
 
+_NORMAL = FixOptions(strip_style=True, strip_hi=True, strip_hi_mode="standard-plus")
+
+
+@_query("normalize_text", f"WITH RECURSIVE {_styled_sql(_dec_id(_clean('text')))}, heard AS (SELECT file_id, idx, {_hi_sql('standard-plus')} AS text FROM styled) SELECT file_id, idx, {_clean(_undecorated('text'))} AS text FROM heard")
+def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.normalized(dec(spark, sf_dir).select("file_id", "idx", "text"), _NORMAL)
+
+
 # Layout. Folds in DuckDB are list_reduce over structs that hold the lines so far and the open one.
 
 
@@ -205,8 +249,13 @@ def _survivor_sql(rows: str) -> str:
     return f"SELECT * FROM ({out}) i QUALIFY row_number() OVER (PARTITION BY file_id, is_first, from_ms, to_ms, text ORDER BY pos) = 1"
 
 
-_ONCE = f"WITH RECURSIVE {_fold_sql('m1', _survivor_sql(_S0))}, {_laid_out_sql('once', 'm1')}"
-_TWICE = f"{_ONCE}, sorted AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY from_ms, to_ms, idx) AS pos, from_ms, to_ms, text FROM once WHERE out_of_order), {_fold_sql('m2', _survivor_sql('SELECT * FROM sorted'))}, {_laid_out_sql('again', 'm2')}"
+def _twice_sql(rows: str) -> str:
+    """Both passes; ends with the CTE `fixed`."""
+    once = f"WITH RECURSIVE {_fold_sql('m1', _survivor_sql(rows))}, {_laid_out_sql('once', 'm1')}"
+    by_time = "SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY from_ms, to_ms, idx) AS pos, from_ms, to_ms, text FROM once WHERE out_of_order"
+    fixed = "SELECT file_id, CAST(pos AS BIGINT) AS pos, CAST(idx AS BIGINT) AS idx, from_ms, to_ms, text FROM "
+    return f"{once}, sorted AS ({by_time}), {_fold_sql('m2', _survivor_sql('SELECT * FROM sorted'))}, {_laid_out_sql('again', 'm2')}, fixed AS ({fixed} once WHERE NOT out_of_order UNION ALL {fixed} again)"
+
 
 
 @_query("absorb_short", f"WITH RECURSIVE {_fold_sql('m1', _survivor_sql(_S0))} SELECT file_id, CAST(pos AS BIGINT) AS pos, from_ms, to_ms, text, out_of_order FROM m1")
@@ -235,7 +284,7 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _absorb(spark, sf_dir).groupBy("file_id").agg(F.max("out_of_order").alias("out_of_order"), F.count("*").alias("cues"))
 
 
-@_query("fix_pipeline", f"{_TWICE} SELECT file_id, CAST(pos AS BIGINT) AS pos, CAST(idx AS BIGINT) AS idx, from_ms, to_ms, text FROM once WHERE NOT out_of_order UNION ALL SELECT file_id, CAST(pos AS BIGINT), CAST(idx AS BIGINT), from_ms, to_ms, text FROM again")
+@_query("fix_pipeline", f"{_twice_sql(_S0)} SELECT * FROM fixed")
 def _fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.fix(_credited(spark, sf_dir))
 
@@ -267,6 +316,20 @@ def _shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.shift_time(cues(spark, sf_dir), timing.parse_duration("1s250ms"))
 
 
+_BACK_MS = 150_000_000
+
+
+@_query("shift_time_back", f"SELECT file_id, pos, idx, from_ms - {_BACK_MS + 1} AS from_ms, to_ms - {_BACK_MS + 1} AS to_ms, text FROM ({CUES_SQL}) c QUALIFY min(least(from_ms, to_ms)) OVER (PARTITION BY file_id) > {_BACK_MS}")
+def _shift_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back by whole milliseconds and a nanosecond; files that would begin below zero go."""
+    return order.shift_time(cues(spark, sf_dir), -_BACK_MS * 1_000_000 - 1, "PERMISSIVE")
+
+
+@_query("read_subtitles", f"SELECT file_id, pos, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS idx, from_ms, to_ms, text, CAST(file_id AS BIGINT) % 2 = 1 AS was_misnumbered FROM ({_ODD}) o")
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.numbered(_misnumbered(spark, sf_dir))
+
+
 def _clock(x: str) -> str:
     return f"printf('%02d:%02d:%02d,%03d', {x} // 3600000, {x} // 60000 % 60, {x} // 1000 % 60, {x} % 1000)"
 
@@ -293,7 +356,14 @@ def _render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srt.render(cues(spark, sf_dir))
 
 
-@_query("empty_guard")
+def _rendered_sql(rows: str) -> str:
+    return f"SELECT file_id, string_agg(n || chr(10) || {_clock('from_ms')} || ' --> ' || {_clock('to_ms')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY n) AS content FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS n FROM {rows}) r GROUP BY file_id"
+
+
+_SOME = f"SELECT file_id, pos, idx, from_ms, to_ms, CASE WHEN CAST(file_id AS BIGINT) % 5 = 0 THEN '- - -' ELSE text END AS text FROM ({CUES_SQL}) c"
+
+
+@_query("empty_guard", f"{_twice_sql(_SOME)}, old AS ({_rendered_sql(f'({_SOME})')}), new AS ({_rendered_sql('fixed')}) SELECT o.file_id, sha256(coalesce(n.content, o.content)) AS content_sha256, n.content IS NULL AS was_empty, coalesce(n.content <> o.content, false) AS changed FROM old o LEFT JOIN new n ON n.file_id = o.file_id")
 def _guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of which some lose every cue, fixed as files."""
     some = cues(spark, sf_dir).withColumn("text", F.when(F.col("file_id").cast("long") % 5 == 0, "- - -").otherwise(F.col("text")))
@@ -342,6 +412,42 @@ def _ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("file_id", "item.idx", "item.text")
 
 
+_W = "left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 40)"
+_BROKEN = f"SELECT file_id, idx, (CAST(file_id AS BIGINT) + idx) % 8 AS kind, {_W} AS w FROM ({DEC_SQL}) d"
+#: By kind: the reply around I (the cue's idx), J (the next) and W (its words), and the items that are read from it.
+_REPLIES = (
+    ('```json\n{"idx":I,"text":"W"}\n```', [("idx", "w")]),
+    ('[{"idx":I,"text":"W"},{"idx":J,"text":"b"}]', [("idx", "w"), ("idx + 1", "'b'")]),
+    ('Sure: {"idx":I,"text":"W"} {"IDX":J,"Text":"b","x":{}} done', [("idx", "w"), ("idx + 1", "'b'")]),
+    ('{"idx":I,"text":"W "said", then"}', [("idx", "w || ' \"said\", then'")]),
+    ('{"idx":J,"text":"a"}\n{"idx":I,"text":"x "W" y"}\n{"idx":3,"text":"{c}"}', [("idx + 1", "'a'"), ("idx", "'x \"' || w || '\" y'"), ("3", "'{c}'")]),
+    ('{"idx":99999999999999999999,"text":"W"}', []),
+    ('{"idx":I,"text":"\\ud800W"}', [("idx", "chr(65533) || w")]),
+    ('[{"idx":I,"text":"W"', []),
+)
+
+
+@_query("parse_ndjson_broken", " UNION ALL ".join(f"SELECT file_id, idx, CAST({i} AS BIGINT) AS item_idx, {t} AS item_text FROM ({_BROKEN}) b WHERE kind = {n}" for n, (_, items) in enumerate(_REPLIES) for i, t in items))
+def _broken_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies as models break them: fences, arrays, chatter, bare quotes, numbers beyond 64 bits, lone surrogates, open ends."""
+    rows = dec(spark, sf_dir).select("file_id", "idx", F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(40)).alias("w"))
+    reply = F.get(F.array(*[F.lit(r) for r, _ in _REPLIES]), ((F.col("file_id").cast("long") + F.col("idx")) % 8).cast("int"))
+    for mark, value in (("I,", F.concat(F.col("idx").cast("string"), F.lit(","))), ("J,", F.concat((F.col("idx") + 1).cast("string"), F.lit(","))), ("W", F.col("w"))):
+        reply = F.replace(reply, F.lit(mark), value)
+    items = rows.select("file_id", "idx", F.explode(wire.parse_ndjson(reply)).alias("item"))
+    return items.select("file_id", "idx", F.col("item.idx").alias("item_idx"), F.col("item.text").alias("item_text"))
+
+
+@_query("translate", f"SELECT file_id, pos, idx, '» ' || text AS text FROM ({DEC_SQL}) d")
+def _translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way of a translation, with a function in place of the service."""
+
+    def service(options: TranslateOptions) -> Callable[[str], str]:
+        return lambda payload: "\n".join(json.dumps({"idx": i, "text": f"» {t}"}) for i, t in wire.parse_reply(payload))
+
+    return pipeline.translate(dec(spark, sf_dir).select("file_id", "pos", "idx", "text"), TranslateOptions("es", max_batch_chars=_LIMIT, rps=0), service)
+
+
 _TRANSLATED = "SELECT file_id, idx, '» ' || text AS text FROM ({0}) d WHERE idx % 3 <> 0"
 
 
@@ -364,7 +470,17 @@ def _check(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Small strings
 
 _on_dec("strip_code_fences", lambda c: text.strip_code_fences(F.concat(F.lit(" ```srt\n"), c, F.lit("\n``` end"))), "text || chr(10)")
-_on_dec("abbreviate", lambda c: text.abbreviate(F.regexp_replace(c, "[^\\x00-\\x7F]", "e"), 40), "CASE WHEN strlen(trim(t, ' ' || chr(10))) <= 40 THEN trim(t, ' ' || chr(10)) ELSE left(trim(t, ' ' || chr(10)), 37) || '...' END".replace("t,", "regexp_replace(text, '[^\\x00-\\x7F]', 'e', 'g'),"))
+_WHOLE = "left({0}, list_max(list_filter(range(0, 41), lambda n: strlen(left({0}, n)) <= {1})))"
+_ABBREVIATED = f"CASE WHEN strlen(t) <= {{1}} THEN t ELSE {_WHOLE.format('t', '{2}')} || {{3}} END"
+_on_dec("abbreviate", lambda c: text.abbreviate(c, 40), None)
+ORACLES["abbreviate"] = f"SELECT file_id, idx, {_ABBREVIATED.format('', 40, 37, chr(39) + '...' + chr(39))} AS text FROM (SELECT file_id, idx, {_TRIM.format('text')} AS t FROM ({DEC_SQL}) d) e"
+
+
+@_query("abbreviate_documents", "SELECT doc_id, " + ", ".join(f"{_ABBREVIATED.format('', n, n if n <= 3 else n - 3, repr('' if n <= 3 else '...'))} AS short_{n}" for n in (3, 17, 30)) + f" FROM (SELECT doc_id, {_TRIM.format('regexp_replace(text, {0}, {1}, {2})'.format(repr('[ -~]'), repr(''), repr('g')))} AS t FROM documents) e")
+def _abbreviate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of nothing but characters of more bytes, so that most cuts fall inside one."""
+    wide = F.regexp_replace("text", "[ -~]", "")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *[text.abbreviate(wide, n).alias(f"short_{n}") for n in (3, 17, 30)])
 
 
 @_query("mask_keys", "SELECT item_id, array_to_string(list_transform(string_split(replace(text, ' ', ','), ','), lambda k: CASE length(k) WHEN 0 THEN '' WHEN 1 THEN '*' WHEN 2 THEN left(k, 1) || '*' ELSE left(k, 1) || repeat('*', length(k) - 2) || right(k, 1) END), ',') AS masked FROM benchmark")
@@ -394,3 +510,45 @@ def _label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("backoff", "SELECT CAST(n AS BIGINT) AS attempt, least(10.0, 0.5 * pow(2, n - 1))::DOUBLE AS seconds FROM range(1, 9) t(n)")
 def _backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, client.backoff(n, jitter=0)) for n in range(1, 9)], "attempt long, seconds double")
+
+
+# The client's rules, over cases that the driver goes through.
+
+_STATUSES = "SELECT CAST(n AS BIGINT) AS status, n = 429 OR n BETWEEN 500 AND 599 AS retryable, n IN (401, 403, 429) AS rejected FROM range(100, 700) t(n)"
+
+
+@_query("http_status", _STATUSES)
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n, client.is_retryable_status(n), client.is_rejected_status(n)) for n in range(100, 700)], "status long, retryable boolean, rejected boolean")
+
+
+def _cases(name: str, kind: str, pairs: list[tuple[str, object]], function: Callable[[str], object]) -> None:
+    """A query over (given, got), whose SQL states what is to be got."""
+    sql_kind = {"double": "DOUBLE", "long": "BIGINT", "string": "VARCHAR"}[kind]
+    wanted = ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in pairs)
+    _query(name, f"SELECT given, CAST(got AS {sql_kind}) AS got FROM (VALUES {wanted}) v(given, got)")(lambda spark, sf_dir: spark.createDataFrame([(a, function(a)) for a, _ in pairs], f"given string, got {kind}"))
+
+
+def _or_none(function: Callable) -> Callable:
+    def call(x: str):
+        try:
+            return function(x)
+        except ValueError:
+            return None
+
+    return call
+
+
+_cases("retry_after", "double", [("3", 3.0), (" 12 ", 12.0), ("0", 0.0), ("-1", 0.0), ("1.5", 0.0), ("Fri, 31 Dec 1999", 0.0), ("", 0.0)], client.retry_after)
+_cases("join_url", "string", [("http://h", "http://h/v1/x"), ("http://h/", "http://h/v1/x"), (" http://h//a/ ", "http://h/a/v1/x"), ("https://h:8/a/../b", "https://h:8/b/v1/x"), ("", None), ("///", None)], _or_none(lambda b: client.join_url(b, "/v1/x")))
+_cases("base_url", "string", [("gpt-5", "https://api.openai.com"), (" GPT-4o ", "https://api.openai.com"), ("gemini-2", "https://generativelanguage.googleapis.com/v1beta/openai"), ("other", None), ("", None)], _or_none(client.base_url))
+_cases("parse_duration", "long", [("500ms", 500_000_000), ("-2s", -2_000_000_000), ("1s250ms", 1_250_000_000), ("0", 0), ("1.5h", 5_400_000_000_000), ("+3us", 3000), ("", None), ("5", None), ("1x", None)], _or_none(timing.parse_duration))
+_cases("hi_mode", "string", [("safe", "safe"), (" Standard-PLUS ", "standard-plus"), ("", "standard"), ("loud", None)], _or_none(lambda m: FixOptions(strip_hi_mode=m).strip_hi_mode))
+_cases("envelope", "string", [('{"choices":[{"message":{"content":" ok "}}]}', "ok"), ('{"choices":[{"message":{"content":"a"}},{"message":{"content":"b"}}]}', "a"), ('{"choices":[]}', None), ('{"choices":[{"message":{"content":" "}}]}', None), ("{", None), ("[]", None)], lambda x: _said(x))
+
+
+def _said(body: str) -> str | None:
+    try:
+        return client.reply_content(body)
+    except client.Retryable:
+        return None

@@ -14,12 +14,9 @@ CUE = ["file_id", "pos", "idx", "from_ms", "to_ms", "text"]
 
 def fix(df: DataFrame, options: FixOptions | None = None, mode: str = "FAILFAST") -> DataFrame:
     """Merge pass; files whose cues came out of order are sorted and merged once more, normalisation included; then the
-    shift. One exchange by file_id carries windows, islands and the fold."""
+    shift. One line of steps without branches: the input is read once, and files in order go through the second pass unchanged."""
     options = options or FixOptions()
-    once = merge.merge_cues(df, options)
-    again = merge.merge_cues(order.sort_cues(once.filter("out_of_order").drop("out_of_order")), options)
-    out = once.filter("NOT out_of_order").select(*CUE).unionByName(again.select(*CUE))
-    return order.shift_time(out, options.shift_ns, mode)
+    return order.shift_time(merge.merge_again(merge.merge_cues(df, options), options).select(*CUE), options.shift_ns, mode)
 
 
 def fix_files(files: DataFrame, options: FixOptions | None = None, mode: str = "FAILFAST") -> DataFrame:

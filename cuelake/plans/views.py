@@ -21,11 +21,11 @@ SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY ord) AS BI
 _DEC = """
 SELECT CAST(conv_id AS {text}) AS file_id, turn AS pos, turn + 1 AS idx,
        CASE (conv_id + turn) % 9
-         WHEN 0 THEN concat('[MUSIC]', chr(10), text)
-         WHEN 1 THEN concat('JOHN: ', text, ' [door slams]')
-         WHEN 2 THEN concat('- [Sra. Cobel] ', text)
-         WHEN 3 THEN concat('(whispers) ', text, ' {{door closes}}')
-         WHEN 4 THEN concat('Take cover!', chr(10), '[over radio', chr(10), 'continues]', chr(10), 'Now!')
+         WHEN 0 THEN concat('[APPLAUSE]', chr(10), text)
+         WHEN 1 THEN concat('NORA: ', text, ' [glass breaks]')
+         WHEN 2 THEN concat('- [Mr. Finch] ', text)
+         WHEN 3 THEN concat('(coughs) ', text, ' {{bell rings}}')
+         WHEN 4 THEN concat('Get down,', chr(10), '[static', chr(10), 'crackling]', chr(10), 'Quick!')
          WHEN 5 THEN concat('<i>', text, '</i>')
          WHEN 6 THEN '♪ ♪'
          WHEN 7 THEN concat('  ', text, ' ', chr(10), ' ', chr(10), '____')
@@ -44,4 +44,4 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dec(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     # sql() formats its query, so braces in the text are doubled
-    return spark.sql(_DEC.format(text="STRING", conversations="{conversations}").replace("{door closes}", "{{door closes}}"), conversations=conversations)
+    return spark.sql(_DEC.format(text="STRING", conversations="{conversations}").replace("{bell rings}", "{{bell rings}}"), conversations=conversations)

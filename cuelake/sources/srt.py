@@ -7,7 +7,8 @@ _error and no cues. files are the unit of a task; a line of 64 KiB or more is an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,35 +17,43 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from cuelake.functions import text, timing
+from cuelake.sources import files as single
+from cuelake.sources.files import publish  # noqa: F401
 
 SCHEMA = "file_id string, pos long, idx long, from_ms long, to_ms long, text string, _error string"
 MAX_LINE = 65_536
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """SCHEMA from (file_id, content); a file with a malformed cue has one row with _error."""
-    body = F.regexp_replace(F.col("content"), r"\r(?=\n)|\r\z", "")
-    long_line = F.exists(F.split(body, "\n", -1), lambda x: F.octet_length(x) >= MAX_LINE)
-    blocks = files.select("file_id", long_line.alias("_long"), F.posexplode_outer(F.split(body, "\n{2,}", -1)).alias("_block", "_raw"))
-    rows = F.split("_raw", "\n", -1)
-    first = F.array_position(F.transform(rows, lambda x: text.structural_line(x) != ""), True)
-    cut = blocks.select("file_id", "_block", "_long", F.when(F.col("_long") | (first == 0), F.array().cast("array<string>")).otherwise(F.slice(rows, F.greatest(first, F.lit(1)).cast("int"), F.greatest(F.size(rows), F.lit(1)))).alias("_lines"))
-    cut = cut.filter("_long OR size(_lines) > 0").withColumn("_count", F.max("_block").over(Window.partitionBy("file_id")))
-    index, time = text.structural_line(F.get("_lines", F.lit(0))), text.structural_line(F.get("_lines", F.lit(1)))
-    start, stop = timing.parse_timing(time)
-    number = F.when(index.rlike(r"^[+-]?[0-9]+\z"), index.try_cast("bigint"))
-    more = (F.size("_lines") > 1) | (F.col("_block") < F.col("_count"))
+    """SCHEMA from (file_id, content); a file with a malformed cue has one row with _error.
+
+    A step's columns are made once and only then used: blocks, their lines, the two structural lines, the timing's numbers.
+    """
+    body = F.regexp_replace(F.col("content"), r"\r?\n\z|\r(?=\n)|\r\z", "")
+    whole = files.select("file_id", body.alias("_body"))
+    # most files are shorter than the limit as a whole, so their lines needn't be looked at
+    long_line = F.when(F.octet_length("_body") < MAX_LINE, F.lit(False)).otherwise(F.exists(F.split("_body", "\n", -1), lambda x: F.octet_length(x) >= MAX_LINE))
+    blocks = whole.select("file_id", long_line.alias("_long"), F.split("_body", "\n{2,}", -1).alias("_blocks")).select("file_id", "_long", (F.size("_blocks") - 1).alias("_last"), F.posexplode("_blocks").alias("_block", "_raw"))
+    # leading lines that are blank as structural lines are skipped; the first other one is the index
+    space = rf"{text.WS_INLINE}*+"
+    blank = rf"^(?:\x{{FEFF}}?{space}\x{{FEFF}}?{space}\n)+"
+    rows = blocks.select("file_id", "_long", "_last", "_block", F.split(F.regexp_replace("_raw", blank, ""), "\n", 3).alias("_lines"))
+    heads = rows.select("file_id", "_long", "_last", "_block", "_lines", *[text.structural_line(F.get("_lines", F.lit(i))).alias(n) for i, n in ((0, "_index"), (1, "_time"))]).filter("_long OR _index <> ''")
+    file = Window.partitionBy("file_id")
+    timed = heads.select("file_id", "_long", "_block", "_lines", "_index", "_time", timing.time_parts(F.col("_time")).alias("_parts"), ((F.size("_lines") > 1) | (F.col("_block") < F.col("_last"))).alias("_more"))
+    start, stop = timing.from_parts(F.col("_parts"))
+    number = F.when(F.col("_index").rlike(r"^[+-]?[0-9]+\z"), F.col("_index").try_cast("bigint"))
     error = (
         F.when(F.col("_long"), "a line is too long")
-        .when(number.isNull(), F.concat(F.lit("invalid subtitle index: "), index))
-        .when((F.size("_lines") < 2) & ~more, "could not find subtitle timing")
+        .when(F.col("idx").isNull(), F.concat(F.lit("invalid subtitle index: "), "_index"))
+        .when((F.size("_lines") < 2) & ~F.col("_more"), "could not find subtitle timing")
         .when(F.size("_lines") < 2, "invalid subtitle timing")
-        .when(~time.rlike(timing.TIMING), F.concat(F.lit("invalid subtitle timing: "), time))
-        .when(start.isNull() | stop.isNull(), "a subtitle time is out of range")
+        .when(F.size("_parts") < 8, F.concat(F.lit("invalid subtitle timing: "), "_time"))
+        .when(F.col("from_ms").isNull() | F.col("to_ms").isNull(), "a subtitle time is out of range")
     )
-    said = text.clean_text(F.array_join(F.slice("_lines", 3, F.greatest(F.size("_lines"), F.lit(1))), "\n"))
-    cues = cut.select("file_id", "_block", number.alias("idx"), start.alias("from_ms"), stop.alias("to_ms"), said.alias("text"), error.alias("_error"))
-    file = Window.partitionBy("file_id")
+    said = text.clean_text(F.coalesce(F.get("_lines", F.lit(2)), F.lit("")))
+    cues = timed.select("file_id", "_block", "_long", "_lines", "_index", "_time", "_parts", "_more", number.alias("idx"), start.alias("from_ms"), stop.alias("to_ms"), said.alias("text")).withColumn("_error", error)
+    cues = cues.select("file_id", "_block", "idx", "from_ms", "to_ms", "text", "_error")
     cues = cues.withColumn("_bad", F.min(F.when(F.col("_error").isNotNull(), F.col("_block"))).over(file)).filter("_bad IS NULL OR _block = _bad")
     keep = lambda c: F.when(F.col("_bad").isNull(), F.col(c)).alias(c)
     pos = F.row_number().over(file.orderBy("_block")).cast("long") - 1
@@ -79,20 +88,6 @@ def or_original(rendered: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("file_id", F.when(empty, F.col("content")).otherwise(F.col("_new")).alias("content"), empty.alias("was_empty"), (~empty & (F.col("_new") != F.col("content"))).alias("changed"))
 
 
-def publish(path: str, content: str, target: str | None = None, backup: bool = True, dry_run: bool = False) -> bool:
-    """Writes one file on the driver: nothing if the target already holds it, a .bak beside an overwritten input first,
-    and by way of a temporary file. Returns whether it was written."""
-    source, goal = Path(path).resolve(), Path(target or path).resolve()
-    if dry_run or (goal.exists() and goal.read_text("utf-8") == content):
-        return False
-    if backup and goal == source and goal.exists():
-        goal.with_suffix(".bak").write_bytes(goal.read_bytes())
-    part = goal.with_name(f".{goal.name}.part")
-    part.write_text(content, "utf-8", newline="")
-    part.replace(goal)
-    return True
-
-
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -110,8 +105,16 @@ class _Reader(DataSourceReader):
         yield from read_cues(partition.path, Path(partition.path).read_bytes().decode("utf-8"))
 
 
+@dataclass
+class _Parts(WriterCommitMessage):
+    """(part, goal) of the files that a task has written."""
+
+    names: list[tuple[str, str]]
+
+
 class _Writer(DataSourceWriter):
-    """A file for each file_id, which must not be there yet. Rows of a file have to be in one partition."""
+    """A file for each file_id, which must not be there yet. Rows of a file have to be in one partition. Tasks write parts
+    of their own, so a task that runs again meets none of the first try's; the files get their names when all are done."""
 
     def __init__(self, root: str) -> None:
         self.root = root
@@ -121,12 +124,35 @@ class _Writer(DataSourceWriter):
         for row in rows:
             files.setdefault(str(row["file_id"]), []).append(row)
         Path(self.root).mkdir(parents=True, exist_ok=True)
-        for name, cues in files.items():
-            goal = Path(self.root, Path(name).name).with_suffix(".srt")
-            with goal.open("x", encoding="utf-8", newline="") as out:
-                for n, cue in enumerate(sorted(cues, key=lambda c: c["pos"]), 1):
-                    out.write(f"{n}\n{_clock(cue['from_ms'])} --> {_clock(cue['to_ms'])}\n{_clean(cue['text'])}\n\n")
-        return WriterCommitMessage()
+        done: list[tuple[str, str]] = []
+        try:
+            for name, cues in files.items():
+                goal = Path(self.root, Path(name).name).with_suffix(".srt")
+                blocks = [f"{n}\n{_clock(c['from_ms'])} --> {_clock(c['to_ms'])}\n{_clean(c['text'])}\n\n" for n, c in enumerate(sorted(cues, key=lambda c: c["pos"]), 1)]
+                done.append((str(single.write_part(goal, "".join(blocks))), str(goal)))
+        except BaseException:
+            _remove(part for part, _ in done)
+            raise
+        return _Parts(done)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        names = [x for m in messages if m is not None for x in m.names]
+        goals = [goal for _, goal in names]
+        twice = {g for g in goals if goals.count(g) > 1} if len(set(goals)) < len(goals) else set()
+        there = [g for g in goals if Path(g).exists()]
+        if twice or there:
+            _remove(part for part, _ in names)
+            raise FileExistsError(f"already there, or written twice: {sorted({*twice, *there})[0]}")
+        for part, goal in names:
+            single.put_new(Path(part), Path(goal))
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        _remove(part for m in messages if m is not None for part, _ in m.names)
+
+
+def _remove(parts: Iterable[str]) -> None:
+    for part in parts:
+        Path(part).unlink(missing_ok=True)
 
 
 class SrtDataSource(DataSource):

@@ -2,6 +2,8 @@
 
 import random
 import re
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,9 +33,9 @@ def test_structural_line(spark):
 
 def test_decorative(spark):
     yes = ["-", "- - -", ":::", "...", "____", "♪", "♪ ♪ ♪", "♫", "♫ ♫", " - -"]
-    no = ["-:_", "♪ ♫", "- Hello", "JOHN:", "Hola", "", "  ", "-\u0085x"]
+    no = ["-:_", "♪ ♫", "- Night", "NORA:", "Night", "", "  ", "-\u0085x"]
     assert apply(spark, text.is_decorative, yes + no) == [True] * len(yes) + [False] * len(no)
-    check(spark, text.drop_decorative, [("Hola\n____\nChau", "Hola\nChau"), ("-", "")])
+    check(spark, text.drop_decorative, [("Left\n____\nRight", "Left\nRight"), ("-", "")])
 
 
 def test_small_strings(spark):
@@ -41,17 +43,19 @@ def test_small_strings(spark):
     check(spark, lambda c: text.mask_keys(c, ""), [("abcd,efgh", "a*******h")])
     check(spark, text.normalize_csv, [(" k1, ,k2 ,k3 ,, ", "k1,k2,k3"), (",,,", "")])
     check(spark, lambda c: text.abbreviate(c, 5), [("  abcdef ", "ab..."), ("abcde", "abcde"), ("", "")])
-    check(spark, lambda c: text.abbreviate(c, 3), [("abcdef", "abc")])
+    check(spark, lambda c: text.abbreviate(c, 3), [("abcdef", "abc"), ("éé", "é"), ("♪♪", "♪"), ("😀x", "")])
+    check(spark, lambda c: text.abbreviate(c, 10), [("éééééééé", "ééé..."), ("😀😀😀", "😀..."), ("aé♪😀é♪😀", "aé♪...")])
+    check(spark, lambda c: text.abbreviate(c, 0), [(" abc ", "abc")])
     check(spark, text.strip_code_fences, [("```json\na\nb\n```", "a\nb\n"), ("```a```", "```a"), ("x ```", "x ```"), ("```\na```b```c", "a```b"), ("", "")])
 
 
 @pytest.mark.parametrize(
     ("mode", "cases"),
     [
-        ("safe", [("[over radio]: JOHN: Run [alarm blares]", "JOHN: Run"), ("[voice fading]:", ""), ("- [man whoops] -[Kay laughs]", ""), ("- [Sra. Cobel] He dicho.", "- He dicho."), ("(sighs) Hola", "(sighs) Hola"), ("...", "")]),
-        ("standard", [("[over radio]: JOHN: Run [alarm blares]", "Run"), ("- Thank you.", "- Thank you."), ("-foo", "- foo"), ("-- foo", "- foo"), ("[x] - hi", "hi"), ("(sighs)", "(sighs)"), ("JOHN: MARY: hi", "MARY: hi"), ("JOHN: ♪ (whispers) corre! [door slams]", "♪ (whispers) corre!")]),
-        ("safe-plus", [("(whispers) JOHN: Run {door slams}", "JOHN: Run")]),
-        ("standard-plus", [("(whispers) JOHN: Run {door slams}", "Run"), ("JOHN: ♪ {nervous} (whispers) corre! [door slams]", "♪ corre!"), ("Take cover!\n[over radio\ncontinues]\nNow!", "Take cover!\nNow!"), ("a (b\nc] d", "a (b\nc] d")]),
+        ("safe", [("[on the phone]: NORA: Wait [glass breaks]", "NORA: Wait"), ("[wind howls]:", ""), ("- [dog barks] -[Ann coughs]", ""), ("- [Mr. Finch] Sit here.", "- Sit here."), ("(yawns) Night", "(yawns) Night"), ("...", "")]),
+        ("standard", [("[on the phone]: NORA: Wait [glass breaks]", "Wait"), ("- Good night.", "- Good night."), ("-foo", "- foo"), ("-- foo", "- foo"), ("[x] - hi", "hi"), ("(yawns)", "(yawns)"), ("NORA: OLAF: hi", "OLAF: hi"), ("NORA: ♪ (coughs) sing! [bell rings]", "♪ (coughs) sing!")]),
+        ("safe-plus", [("(coughs) NORA: Wait {bell rings}", "NORA: Wait")]),
+        ("standard-plus", [("(coughs) NORA: Wait {bell rings}", "Wait"), ("NORA: ♪ {tired} (coughs) sing! [bell rings]", "♪ sing!"), ("Get down,\n[static\ncrackling]\nQuick!", "Get down,\nQuick!"), ("a (b\nc] d", "a (b\nc] d")]),
     ],
 )
 def test_hi_modes(spark, mode, cases):
@@ -79,13 +83,13 @@ def test_hi_loops(spark):
 
 def test_modes_are_checked():
     with pytest.raises(ValueError):
-        FixOptions(strip_hi=False, strip_hi_mode="super-aggressive")
+        FixOptions(strip_hi=False, strip_hi_mode="loudest")
     assert FixOptions(strip_hi_mode=" SAFE ").strip_hi_mode == "safe"
     assert FixOptions(max_line_length=0, min_words_merge=-1) == FixOptions()
 
 
 def test_style(spark):
-    cases = [('<font face="A">Hola<br/>Chau</font>', "Hola\nChau"), ("<FONT>Solo<br></FONT>", "Solo"), ("<i><b>nested</b></i>", "nested"), ("<font>Unclosed", "<font>Unclosed"), ("a < b > c", "a < b > c"), ("<i>a<b>b</i>", "<i>a<b>b</i>"), ("<!-- x --><i>y</i>", "<!-- x -->y"), ("x<", "x<"), ("", ""), (None, None)]
+    cases = [('<font size="9">Left<br/>Right</font>', "Left\nRight"), ("<FONT>Alone<br></FONT>", "Alone"), ("<i><b>nested</b></i>", "nested"), ("<font>Left open", "<font>Left open"), ("a < b > c", "a < b > c"), ("<i>a<b>b</i>", "<i>a<b>b</i>"), ("<!-- x --><i>y</i>", "<!-- x -->y"), ("x<", "x<"), ("", ""), (None, None)]
     check(spark, style.strip_style, cases)
     assert style.strip_text("<i>a<br><b></b>\nb</i>") == "a\nb"
 
@@ -126,7 +130,7 @@ def test_replies():
     assert wire.parse_reply(f"```json\n{item}\n```") == [(1, "a")]
     assert wire.parse_reply(f'{item} {{"IDX":2,"Text":"b","x":{{}}}} tail') == [(1, "a"), (2, "b")]
     assert wire.parse_reply('[{"idx":3,"text":"c"}]') == [(3, "c")]
-    assert wire.parse_reply('{"idx":10,"text":"Dijo "hola", y se fue"}') == [(10, 'Dijo "hola", y se fue')]
+    assert wire.parse_reply('{"idx":10,"text":"They said "wait", then left"}') == [(10, 'They said "wait", then left')]
     assert wire.parse_reply(f'{item}\n{{"idx":2,"text":"x "y" z"}}\n{{"idx":3,"text":"{{c}}"}}') == [(1, "a"), (2, 'x "y" z'), (3, "{c}")]
     # a broken number is cut where it stops being whole, as mending reads digits only
     assert wire.parse_reply('{"idx":1.5,"text":"a"}') == [(1, "a")]
@@ -135,6 +139,67 @@ def test_replies():
             wire.parse_reply(bad)
 
 
+def test_odd_replies(spark):
+    for bad in ('{"idx":99999999999999999999,"text":"a"}', '{"idx":9223372036854775808,"text":"a"}', "[" * 100_000, '{"idx":1' + "0" * 5000 + ',"text":"a "b" c"}'):
+        with pytest.raises(wire.WireError):
+            wire.parse_reply(bad)
+    assert wire.parse_reply('{"idx":9223372036854775807,"text":"a\\ud800b"}') == [(2**63 - 1, "a\ufffdb")]
+    assert wire.parse_reply('{"idx":1,"text":"\\ud83d\\ude00 "x" \\udc00"}') == [(1, '😀 "x" \ufffd')]
+    replies = ['{"idx":1,"text":"\\ud800"}', '{"idx":99999999999999999999,"text":"a"}', None, "[" * 100_000, '{"idx":2,"text":"b"}']
+    assert apply(spark, wire.parse_ndjson, replies) == [[(1, "\ufffd")], None, None, None, [(2, "b")]]
+
+
+def test_white_space(spark):
+    """Every character of White_Space is trimmed, splits words, and is one space within a line; long runs take no longer."""
+    odd = [c for c in text.WHITE_SPACE if c != "\n"]
+    assert len(text.WHITE_SPACE) == 25
+    check(spark, text.clean_text, [(f"{c}a{c}b{c}\n{c}\n{c}c", f"a{c}b\nc") for c in odd])
+    check(spark, text.one_space, [(f"a{c}b{c}{c}c", "a b c") for c in odd] + [("a b", "a b"), ("a\n b", "a\n b"), ("“q” — r", "“q” — r")])
+    check(spark, lambda c: layout.wrap_lines(c, 7), [(f"aa{c}bb{c}cccc", "aa bb\ncccc") for c in odd])
+    long = "a" + " \t" * 200_000 + "b"
+    assert apply(spark, lambda c: layout.wrap_lines(text.clean_text(c)), [long, "\n" + " " * 400_000 + "x"]) == ["a b", "x"]
+
+
+def test_wrapping_is_greedy(spark):
+    """Against a loop over words, with words of more bytes than characters and words that are too long."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "bb", "é", "♪♪", "😀", " ", "  ", "\n", "\u2003", "x" * 12, "<i>", "<b x>\n", "\r\n"]) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+
+    def loop(whole):
+        out = []
+        for line in whole.split("\n"):
+            line = line.strip(text.WHITE_SPACE)
+            if line.startswith("<") and line.endswith(">"):
+                out.append(line)
+                continue
+            held = ""
+            for word in re.split(f"[{re.escape(text.WHITE_SPACE)}]+", line):
+                both = f"{held} {word}" if held else word
+                if held and len(both.encode()) > 10:
+                    out.append(held)
+                    both = word
+                held = both
+            out.append(held)
+        return "\n".join(x for x in out if x)
+
+    assert apply(spark, lambda c: layout.wrap_lines(c, 10), texts) == [loop(x) for x in texts]
+
+
+def test_sleep_can_be_cancelled():
+    cancel = threading.Event()
+    sleep = client.sleeper(cancel)
+    sleep(0.001)
+    threading.Timer(0.05, cancel.set).start()
+    began = time.monotonic()
+
+    def fails():
+        raise client.Retryable("again", 60)
+
+    with pytest.raises(client.Cancelled):
+        client.with_retry(fails, 3, sleep=sleep)
+    assert time.monotonic() - began < 10
+
+
 def test_sql_functions(spark):
     sql.register(spark)
     row = spark.sql("SELECT clean_text(' a \\r\\n\\n b ') a, is_decorative_line('- -') b, format_time(3723004) c, mask_key('abcd') d, strip_style('<i>x</i>') e").first()
@@ -148,7 +213,10 @@ def test_client():
     assert client.base_url("gpt-x") and client.base_url("m", "http://h/") == "http://h/"
     with pytest.raises(ValueError):
         client.base_url("m")
-    assert client.join_url("http://h/", "/v1/x") == "http://h/v1/x"
+    assert client.join_url("http://h/", "/v1/x") == "http://h/v1/x" and client.join_url("http://h/a//", "v1/x") == "http://h/a/v1/x"
+    for empty in ("", " ", "//"):
+        with pytest.raises(ValueError):
+            client.join_url(empty, "x")
     used, slept = [], []
 
     def send(url, key, body, timeout):
