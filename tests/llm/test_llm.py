@@ -131,37 +131,61 @@ def test_op2_field():
 
 
 def test_op2_field_without_base():
-    """Mentions of a card in a form that the base misses are labelled by each other, whatever else the text holds."""
-    card = "4539.6020.0000.0000"
-    card = next(c for c in (card[:-1] + str(d) for d in range(10)) if pii.luhn(c.replace(".", "")))
-    text = " and ".join([f"paid with {card}"] * 14)
+    """A form that alone is no personal data is one when a far mention, which the base misses too, shows what it is."""
+    dotted, other = "4845.1681.1440.7329", "484516811440.7329"
+    assert pii.find(f"see {dotted}, x")[1] == []
+    text = f"see {dotted}, {prose(300)}, then {other}, and 77 12 99"
     base, spans = pii.find(text)
-    assert base == [] and [text[a:b] for _, a, b in spans] == [card] * 14 and {k for k, _, _ in spans} == {"card"}
-    assert pii.find(f"paid with {card}, 77 12 99 and 77 12 98")[1] == []
+    assert base == [] and [(k, text[a:b]) for k, a, b in spans] == [("card", dotted), ("card", other)]
+    two = "cards 7536784127813050 4845168114407329 side by side"  # the base pattern takes both as one and drops it
+    assert pii.base_spans(two) == [] and pii.mask(two) == "cards <card> <card> side by side"
+    for clean in ("id 1234567890 1234567890 1234567890", "order 20240115123456 of 2024-01-15 12:00", "host 10.0.0.300", "number 4845168114407320"):
+        assert pii.find(clean)[1] == [], clean
+
+
+def test_op2_added():
+    """Every span that the field adds to the documents of sf0.1 is a card: two numbers side by side, which the base drops."""
+    rows = duckdb.sql("SELECT text FROM read_parquet('/root/testdata/sf0.1/documents.parquet')").fetchall()
+    added = [(k, t[a:b]) for (t,) in rows if t for k, a, b in pii.added_spans(t, pii.base_spans(t))]
+    assert len(added) >= 3 and all(k == "card" and pii.luhn(x) for k, x in added)
 
 
 def test_op2_tokens():
     """Tokens are those of one pattern, found in linear time."""
-    token = re.compile(r"[^\s@,;:<>\"'|=/]+(?:@[^\s@,;:<>\"'|=/]+)|\+?[0-9][0-9().\x20-]*[0-9]")
+    token = re.compile(r"[^\s@,;:<>\"'|=/]+(?:@[^\s@,;:<>\"'|=/]+)|" + pii._NUMBER.pattern)
     rng = random.Random(16)
     for _ in range(20_000):
-        text = "".join(rng.choice(["@", ".", "a", "1", "23", " ", "+", "(", "-", ",", "é", "\n", "/"]) for _ in range(rng.randint(1, 25)))
+        text = "".join(rng.choice(["@", ".", "a", "1", "23", "4567", " ", "+", "(", ")", "-", ",", "é", "\n", "/"]) for _ in range(rng.randint(1, 25)))
         assert list(pii._tokens(text)) == [m.span() for m in token.finditer(text)], text
-    for text in ("x" * 300_000, "x" * 300_000 + " @", "1(" * 100_000, "a@" * 100_000, "@" * 300_000, "12 @" * 50_000):
+    for text in ("x" * 300_000, "x" * 300_000 + " @", "1(" * 100_000, "a@" * 100_000, "@" * 300_000, "12 @" * 50_000, "1." * 150_000 + "x", "1234 " * 60_000 + "x", "9" * 300_000 + "x"):
         pii.nodes(text)
 
 
 def test_op2_beliefs():
-    """On a tree message passing is exact: two nodes, one clamped."""
-    unary = [[30.0, -30, -30, -30, -30], [0.0] * 5]
-    got = pii.beliefs(unary, [(0, 1, 2.0)])[1]
-    want = np.array([np.exp(2), 1, 1, 1, 1]) / (np.exp(2) + 4)
-    assert np.allclose(got, want, atol=1e-2)
-
-
-def test_op2_training(docs):
-    weights = pii.train([t for _, t in texts_of(docs)[:50]])
-    assert set(weights) == set(pii.WEIGHTS)
+    """Exact on trees, close on small loops: against the sum over all labellings."""
+    rng = np.random.default_rng(4)
+    for n, edges, close in ((3, [(0, 1), (1, 2)], 1e-4), (4, [(0, 1), (0, 2), (0, 3)], 1e-4), (3, [(0, 1), (1, 2), (0, 2)], 0.05), (4, [(0, 1), (1, 2), (2, 3), (0, 3)], 0.05)):
+        unary, pots = rng.normal(size=(n, pii.K)), 0.5 * rng.normal(size=(len(edges), pii.K, pii.K))
+        node, pair = np.zeros((n, pii.K)), np.zeros((len(edges), pii.K, pii.K))
+        for labels in itertools.product(range(pii.K), repeat=n):
+            w = np.exp(sum(unary[i, x] for i, x in enumerate(labels)) + sum(pots[e, labels[i], labels[j]] for e, (i, j) in enumerate(edges)))
+            for i, x in enumerate(labels):
+                node[i, x] += w
+            for e, (i, j) in enumerate(edges):
+                pair[e, labels[i], labels[j]] += w
+        got = pii.beliefs(unary, np.array(edges), pots, 200)
+        assert np.abs(got[0] - node / node.sum(axis=1, keepdims=True)).max() < close
+        assert np.abs(got[1] - pair / pair.sum(axis=(1, 2), keepdims=True)).max() < close
+    alone, none = pii.beliefs(np.zeros((2, pii.K)), np.zeros((0, 2), np.int64), np.zeros((0, pii.K, pii.K)))
+    assert np.allclose(alone, 0.2) and none.shape == (0, pii.K, pii.K)
+
+
+def test_op2_training():
+    """Node, chain and skip weights come from one fit, which learns that equal forms share a label."""
+    rows = [t for (t,) in duckdb.sql("SELECT text FROM read_parquet('/root/testdata/sf0.01/documents.parquet')").fetchall() if t and pii.base_spans(t)]
+    weights, chain, skips = pii.train(rows, steps=60)
+    assert set(weights) - {f for f in weights if f.startswith("word_")} <= {f for f in pii.WEIGHTS} | {"at_bare"} and chain.shape == (pii.K, pii.K)
+    assert skips[0] > 0.3 and skips[0] > skips[1] and weights["luhn"].argmax() == 1 + pii.KINDS.index("card") and np.abs(chain).max() > 0
 
 
 # 3
