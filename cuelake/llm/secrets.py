@@ -39,13 +39,15 @@ class Rule:
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
-    Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24, True),
+    Rule("hex", r"[0123456789abcdef]{24,}", 0, 24, True),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
+#: Candidates, of some 60 bytes each, that are broadcast at most.
+BROADCAST_ROWS = 500_000
 #: Sets and branches are followed up to so many alternatives; beyond, a place counts as unknown.
 MAX_ALTERNATIVES = 64
 _MAX_SET = 8
@@ -93,11 +95,12 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 
 def postings(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The inverted index: (trigram, doc_id, text_key), distinct for each row of df."""
+    """The inverted index: (trigram, doc_id, text_key), distinct for each row of df. A text is lower-cased once, and the
+    searches run in generated code."""
     terms = sorted({t for r in rules for q in trigram_query(r.pattern) for t in q})
-    low = F.lower(F.col("text"))
-    found = df.select("doc_id", F.xxhash64("text").alias("text_key"), F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms])).alias("terms"))
-    return found.select(F.explode("terms").alias("trigram"), "doc_id", "text_key")
+    low = df.select("doc_id", F.xxhash64("text").alias("text_key"), F.lower("text").alias("low"))
+    found = low.select("doc_id", "text_key", F.explode(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in terms])).alias("trigram"))
+    return found.filter("trigram is not null").select("trigram", "doc_id", "text_key")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -132,11 +135,14 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, n_<base kind>..., base_sha256, spans), a row for each of df's."""
+def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, n_<base kind>..., base_sha256, spans), a row for each of df's. Up to broadcast_rows candidates go to the
+    texts, so that no text moves; more are joined by exchange."""
     nothing = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     texts = df.select("doc_id", F.coalesce(df["text"], F.lit("")).alias("text"))
-    found = candidates(postings(texts, rules), rules).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "rules")
+    found = common.durable(candidates(postings(texts, rules), rules).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "rules"))
+    if found.count() <= broadcast_rows:
+        found = F.broadcast(found)
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
     both = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["text_key"] == found["_key"]), "left")
     columns = {}
