@@ -43,6 +43,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of df is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def kept_table(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back."""
     spark = df.sparkSession

@@ -8,8 +8,9 @@ shorter than that, if SHARE of the item's words are equal. Any WINDOW words with
 mask, and short items with as many as SHARE allows one of SHORT_MASKS (the tests try them all); items of fewer than five
 words match nothing.
 
-The benchmark's hashes are broadcast in blocks of BLOCK_HASHES rows at most, counted beforehand; each block is joined with
-all documents, so that neither a hot hash nor a large benchmark makes a skewed exchange. Documents are told by id and a
+A benchmark of up to BROADCAST_WORDS words, counted beforehand, is broadcast whole, so that documents are read once for each
+mask and never move. A larger one meets the documents' seeds by an exchange, in one pass too; a seed that very many
+positions share is on the streamed side there, which Spark splits. Documents are told by id and a
 64-bit hash of the text: repeated rows share a result row, null ids are kept. Null and empty texts overlap nothing; null items are
 ignored, repeated ones count once; other columns are ignored by overlaps() and kept by clean().
 """
@@ -28,7 +29,8 @@ MASKS = ((0, 1, 3, 6, 7),)
 #: (mask, longest item) of four words each, for items shorter than WINDOW: two of them reach all lengths but five.
 SHORT_MASKS = (((0, 1, 2, 3), 12), ((0, 1, 3, 4), 12), ((0, 1, 2, 4), 5), ((0, 2, 3, 4), 5))
 WINDOW, LEAST, SHARE = 13, 11, 0.8
-BLOCK_HASHES = 250_000
+#: Words of a benchmark that are broadcast at most, with a seed each: some 100 MB.
+BROADCAST_WORDS = 1_000_000
 
 
 def _word_hashes(text: Column) -> Column:
@@ -55,29 +57,39 @@ def _enough(matched: Column, n: Column) -> Column:
     return F.when(n >= WINDOW, F.array_max(windows) >= LEAST).otherwise(count(matched) >= F.ceil(n * SHARE))
 
 
-def _block_hits(docs: DataFrame, block: DataFrame, mask: tuple[int, ...]) -> DataFrame:
-    seeds = _seeds(block, "item_words", "item_n", mask, "item_at").select("seed", "item_at", "item")
-    hits = _seeds(docs, "words", "n", mask, "doc_at").join(F.broadcast(seeds), "seed")
-    # the item's first word lies here; each hit carries the words of its overlap only
-    first = F.col("doc_at") - F.col("item_at")
-    whole = hits.join(F.broadcast(block), "item").select("doc_id", "text_key", "item_id", "item_words", "item_n", first.alias("first"), F.greatest(-first, F.lit(0)).alias("before"), F.slice("words", F.greatest(first, F.lit(0)) + 1, F.col("item_n") + F.least(first, F.lit(0))).alias("near"))
+def _hits(docs: DataFrame, known: DataFrame, mask: tuple[int, ...], small: bool) -> DataFrame:
+    """(doc_id, text_key, words, item_id, item_words, item_n, first): where an item's first word lies in a document, for each
+    seed that the two share. A small benchmark goes to the documents, in one pass over them; otherwise the seeds meet by
+    exchange, and then hits are joined with the words on both sides."""
+    seeds = _seeds(known, "item_words", "item_n", mask, "item_at").select("seed", "item_at", "item")
+    placed = _seeds(docs, "words", "n", mask, "doc_at")
+    first = (F.col("doc_at") - F.col("item_at")).alias("first")
+    if small:
+        found = placed.join(F.broadcast(seeds), "seed").select("doc_id", "text_key", "words", "item", first)
+        return found.join(F.broadcast(known), "item")
+    own = docs.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "words")
+    met = placed.select("seed", "doc_id", "text_key", "doc_at").join(seeds.hint("merge"), "seed").select("doc_id", "text_key", "item", first).distinct()
+    return met.join(own.distinct(), met["doc_id"].eqNullSafe(own["_id"]) & (met["text_key"] == own["_key"])).drop("_id", "_key").join(known.hint("merge"), "item")
+
+
+def _checked(hits: DataFrame) -> DataFrame:
+    """The hits round which enough words are equal."""
+    # each carries the words of its overlap only
+    first = F.col("first")
+    whole = hits.select("doc_id", "text_key", "item_id", "item_words", "item_n", "first", F.greatest(-first, F.lit(0)).alias("before"), F.slice("words", F.greatest(first, F.lit(0)) + 1, F.col("item_n") + F.least(first, F.lit(0))).alias("near"))
     flags = F.zip_with(F.col("item_words"), F.concat(F.array_repeat(F.lit(None).cast("bigint"), F.col("before")), F.col("near")), lambda a, b: F.coalesce(a == b, F.lit(False)))
     checked = whole.select("doc_id", "text_key", "item_id", "item_n", "first", flags.alias("flags")).filter(_enough(F.col("flags"), F.col("item_n")))
     return checked.select("doc_id", "text_key", "item_id", F.col("item_n").cast("long").alias("item_words"), F.size(F.filter("flags", lambda v: v)).cast("long").alias("equal_words"), F.col("first").cast("long").alias("first_word"))
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame, block_hashes: int = BLOCK_HASHES) -> DataFrame:
+def overlaps(documents: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, text_key, item_id, item_words, equal_words, first_word): the best place of each item in each document."""
     known = items(benchmark)
     total, shortest = known.agg(F.sum("item_n"), F.min("item_n")).first()
-    n_blocks = -(-(total or 0) // block_hashes) or 1
+    small = (total or 0) <= broadcast_words
     docs = documents.filter(documents["text"].isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), _word_hashes(documents["text"]).alias("words")).select("doc_id", "text_key", "words", F.size("words").alias("n"))
-    block = lambda i: known if n_blocks == 1 else known.filter(F.pmod(F.xxhash64("item_words"), F.lit(n_blocks)) == i)
-    hits = [_block_hits(docs, block(i), MASKS[0]) for i in range(n_blocks)]
-    for mask, longest in SHORT_MASKS:
-        if shortest is not None and shortest <= longest:
-            hits += [_block_hits(docs, block(i).filter(F.col("item_n") <= longest), mask) for i in range(n_blocks)]
-    hits = reduce(DataFrame.unionByName, hits)
+    masks = [(MASKS[0], known), *[(mask, known.filter(F.col("item_n") <= longest)) for mask, longest in SHORT_MASKS if shortest is not None and shortest <= longest]]
+    hits = reduce(DataFrame.unionByName, [_checked(_hits(docs, some, mask, small)) for mask, some in masks])
     best = hits.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("equal_words", -F.col("first_word"), "item_words")).alias("best"))
     return best.select("doc_id", "text_key", "item_id", "best.item_words", "best.equal_words", (-F.col("best.col2")).alias("first_word"))
 

@@ -6,18 +6,19 @@ length, whose points fall on a register and a place in the interval; points abov
 register's value is the time of its first point, so two signatures agree at a register with the multisets' weighted
 Jaccard similarity as probability. A text's processes run until no open one can still lower a register.
 
-Texts with equal multisets count as copies and are represented by the smallest doc_id. Representatives that share a band
+Texts with equal multisets count as copies; the row with the smallest doc_id represents them under a number of its own. Representatives that share a band
 (ROWS registers; BANDS of them: a pair at 0.8 meets but for 5 in a million) are compared in two steps. First each member of
 a band with the most central one (whose bands hold the most members, then the smallest id) and with the smallest, so a band
 gives pairs in proportion to its members; pairs whose overlap is THRESHOLD or more are links. Then the members of the bands
 whose other members aren't in one connected part yet meet by an exact prefix filter (rest_pairs()), and what it can't prove
 to be below THRESHOLD or in one part already is compared. So of all pairs that share a band, each is compared, in one
 class, or provably below THRESHOLD. Classes are the connected parts, found by label propagation with pointer jumping over
-checkpointed tables. n_links counts the links that were looked at, not all near pairs.
+checkpointed tables.
 
-Null texts are empty; texts without words are copies of each other and in no band. Rows without doc_id join the class of
-their copies, or have a null class; rows that share a doc_id share a class if their texts are near duplicates of one
-class. Every row gives one row, repeated rows too; other columns are ignored by classes() and kept by one_of_each().
+Null texts are empty; texts without words are copies of each other and in no band. A row is told by its doc_id and the hash
+of its text: rows that share a doc_id but not their text are rows of their own, each with its text's class. Rows without
+doc_id take part; their class_id is null where no row of the class has one. Every row gives one row, repeated rows too;
+other columns are ignored by classes() and kept by one_of_each().
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm import common
-from cuelake.llm.shingles import lowered, mix, multisets, overlap
+from cuelake.llm.shingles import chunks, lowered, mix, multisets, overlap
 
 ROWS, BANDS, THRESHOLD = 4, 24, 0.8
 REGISTERS = ROWS * BANDS
@@ -39,8 +40,6 @@ REGISTERS = ROWS * BANDS
 COUNTERS = 1 << 18
 #: Pairs by the prefix filter are compared in rounds: one of so many, leaving out those that are in one part by then.
 ROUNDS = (16, 1)
-#: Bytes of text whose signatures are made at once; a longer text is taken alone.
-CHUNK = 1 << 20
 _U = np.uint64
 _ALL = (1 << 64) - 1
 
@@ -79,22 +78,14 @@ def signatures(n: int, text: np.ndarray, key: np.ndarray, times: np.ndarray, reg
     return first.reshape(n, registers)
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    data, offsets = lowered(texts)
-    at = 0
-    while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
-        yield at, stop, data, offsets[at : stop + 1]
-        at = stop
-
-
 def sign(df: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, bands array<bigint>), a row for each of df's; k1 and k2 identify the multiset."""
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, text_key, k1, k2, bands array<bigint>), a row for each of df's; k1 and k2 identify the multiset, text_key is
+    Spark's 64-bit hash of the text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, stop, data, offsets in _chunks(batch.column(1)):
+            for at, stop, data, offsets in chunks(batch.column(1)):
                 n = stop - at
                 text, key, times = multisets(data, offsets)
                 firsts = signatures(n, text, key, times).view(np.uint64).reshape(n, BANDS, ROWS)
@@ -108,14 +99,22 @@ def sign(df: DataFrame) -> DataFrame:
                     named.append(pa.array(total.view(np.int64)))
                 some = np.bincount(text, minlength=n) > 0
                 lists = [b if s else [] for b, s in zip(band.view(np.int64), some, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).cast(pa.int64()), *named, pa.array(lists, schema.field(3).type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).cast(pa.int64()), batch.column(2).slice(at, n), *named, pa.array(lists, schema.field(4).type)], schema=schema)
+
+    return df.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, k1 long, k2 long, bands array<bigint>")
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<bigint>")
+
+def representatives(signed: DataFrame) -> DataFrame:
+    """(rep, k1, k2, doc_id, text_key, bands), kept: a number for each distinct multiset, and the row that stands for it, that
+    with the smallest doc_id (none is larger than any)."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    reps = signed.groupBy("k1", "k2").agg(F.min(row).alias("row"), F.first("bands").alias("bands"))
+    return common.durable(reps.select(F.monotonically_increasing_id().alias("rep"), "k1", "k2", "row.doc_id", "row.text_key", "bands"))
 
 
 def banded(reps: DataFrame) -> DataFrame:
     """(band, rep, least, n) of the bands with two members or more, from (rep, bands)."""
-    rows = reps.filter("rep is not null").select("rep", F.explode("bands").alias("band"))
+    rows = reps.select("rep", F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1")
     return common.durable(rows.join(sizes, "band"))
 
@@ -151,7 +150,7 @@ def rest_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def bags(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
         for batch in batches:
-            for at, stop, data, offsets in _chunks(batch.column(column)):
+            for at, stop, data, offsets in chunks(batch.column(column)):
                 yield batch.slice(at, stop - at), *multisets(data, offsets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,23 +241,22 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return common.durable(named.unionByName(parts.join(labels, "node", "left_anti").select("node", "label")))
 
 
-def texts_of(df: DataFrame, pairs: DataFrame) -> DataFrame:
+def texts_of(df: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """(rep, text), kept, of the representatives in the pairs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    # a doc_id may stand on several rows: one text for each
-    return common.durable(df.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").groupBy("rep").agg(F.max("text").alias("text")))
+    rows = reps.select("rep", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).join(wanted, "rep")
+    own = df.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    # repeated rows give their text once
+    return common.durable(own.join(rows, own["doc_id"].eqNullSafe(rows["_id"]) & (own["text_key"] == rows["_key"])).groupBy("rep").agg(F.max("text").alias("text")))
 
 
-def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, n_links): class_id is the smallest doc_id of the class; links of the text's representative."""
-    signed = common.durable(sign(df))
-    reps = common.durable(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+def parts(df: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(rep, label) of the representatives that have a near duplicate: label is the smallest number of the class."""
     shared = banded(reps)
     centre = hubs(shared)
     pairs = common.durable(star_pairs(shared, centre))
-    texts = texts_of(df, pairs)  # of all that are compared: a band's members are compared with its hubs
-    links = common.durable(verified(pairs, texts, threshold)).select("a", "b")
-    labels = components(links)
+    texts = texts_of(df, reps, pairs)  # of all that are compared: a band's members are compared with its hubs
+    labels = components(common.durable(verified(pairs, texts, threshold)).select("a", "b"))
     members = common.durable(unsettled(shared, centre, labels))
     if not members.isEmpty():
         rest = common.durable(rest_pairs(texts.join(members, "rep"), threshold).join(pairs, ["a", "b"], "left_anti").withColumn("turn", F.xxhash64("a", "b")))
@@ -269,18 +267,33 @@ def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             more = common.durable(apart(turn.select("a", "b"), labels))
             new = common.durable(verified(more, texts, threshold).select("a", "b").join(more, ["a", "b"]))
             if not new.isEmpty():
-                links = links.unionByName(new.select("a", "b"))
                 labels = merged(labels, new)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    labels = labels.select(F.col("node").alias("rep"), "label")
-    named = common.durable(reps.select("k1", "k2", "rep").join(labels, "rep", "left").join(degree, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    return signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
+    return labels.select(F.col("node").alias("rep"), "label")
+
 
+def labelled(df: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(df's signed rows; the representatives with their label, each class with its first row): both kept."""
+    signed = common.durable(sign(df))
+    reps = representatives(signed)
+    named = reps.drop("bands").join(parts(df, reps, threshold), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    return signed, common.durable(named.join(first, "label").select("k1", "k2", "label", "first.doc_id", "first.text_key"))
 
-def one_of_each(df: DataFrame) -> DataFrame:
-    """df's rows whose doc_id is the smallest of its class. Repeated rows share a doc_id, so both stay or go; so do rows without one."""
-    kept = classes(df).filter("class_id is null or doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(kept, df["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id), a row for each of df's: class_id is the smallest doc_id of the row's class."""
+    signed, named = labelled(df, threshold)
+    return signed.select("doc_id", "k1", "k2").join(named.select("k1", "k2", F.col("doc_id").alias("class_id")), ["k1", "k2"]).select("doc_id", "class_id")
+
+
+def one_of_each(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class, with df's columns: that with the smallest doc_id; rows without one stay only where the class has
+    no other. Of rows with equal doc_id and text one stays, whatever their other columns hold."""
+    _, named = labelled(df, threshold)
+    none, key, text = common.free_names(df, "none", "key", "text_key")
+    first = named.select(F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", F.lit(0)).alias(key), F.col("text_key").alias(text)).distinct()
+    rows = df.withColumns({none: df["doc_id"].isNull(), key: F.coalesce(df["doc_id"], F.lit(0)).cast("long"), text: F.xxhash64(df["text"])})
+    return rows.join(first, [none, key, text], "left_semi").dropDuplicates([none, key, text]).select(*[rows[c] for c in df.columns])
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

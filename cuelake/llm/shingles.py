@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 WORDS = 5
+#: Bytes of text that are worked on at once; a longer text is taken alone.
+CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _U = np.uint64
@@ -44,6 +48,16 @@ def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes in lower case, their offsets) of rows of CHUNK bytes together, or of one."""
+    data, offsets = lowered(texts)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        yield at, stop, data, offsets[at : stop + 1]
+        at = stop
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of each word, a run of bytes that aren't ASCII white space, in order."""
     first, last = int(offsets[0]), int(offsets[-1])
