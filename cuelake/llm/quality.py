@@ -1,12 +1,13 @@
 """Quality rules: how far a text's character classes and common words are from those of its language.
 
 The base rules count words (runs without ASCII white space), symbols, repeated lines and words in repeated 3-word windows.
-The references are the mean histograms of all documents of a language that pass the base rules, in millionths, summed as
-integers so that they don't depend on the order of rows. A document is rejected if its Jensen-Shannon distance (base 2,
-0 to 1) to the reference is above MAX_CLASSES + CLASSES_NOISE / sqrt(words) or, from MIN_WORDS words on, above
-MAX_WORDS + WORDS_NOISE / sqrt(words): short texts stray further by chance. limit() sets these numbers from the good
-documents of one labelled part, with the margins below; README has both error rates on others. Languages without a word list
-share one reference ("und"), so there are five of them at most, whatever the lang column holds.
+A language has a histogram of the common words that common_words() learns from the corpus: those that most of its documents
+have. The references are the mean histograms of all documents of a language that pass the base rules, in millionths, summed
+as integers so that they don't depend on the order of rows. A document is rejected if its Jensen-Shannon distance (base 2,
+0 to 1) to the reference is above MAX_CLASSES + CLASSES_NOISE / sqrt(words) or MAX_WORDS + WORDS_NOISE / sqrt(words): short
+texts stray further by chance, and from fewer than MIN_WORDS words neither words nor distances are taken. limit() sets these
+numbers from the good documents of one labelled part, with the margins below; README has both error rates on others.
+Languages of few documents share one reference ("und") and have no word distance.
 
 Null and empty texts have no words, so the base rules reject them; a null lang counts as "und"; every row gives one row,
 repeated rows and null ids too; other columns are ignored by measure() and kept by keep().
@@ -15,28 +16,29 @@ repeated rows and null ids too; other columns are ignored by measure() and kept
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm import common
+from cuelake.llm.shingles import chunks, word_hashes
 
-#: Common words by language.
-COMMON = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "on", "are", "as", "with", "he", "be", "at", "by", "this", "from"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "sur", "au", "avec", "il"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no", "una", "su", "al", "es"],
-}
+#: Languages have a reference of their own, and words, from so many documents on, the most frequent first, so many at most.
+LEAST_DOCS, MOST_LANGUAGES = 20, 64
+#: Words of a language's histogram.
+COMMON_WORDS = 100
+OTHER = "und"
 CLASSES = ("upper", "lower", "digit", "space", "stop", "symbol", "other_ascii", "high")
 MIN_BASE_WORDS, MAX_REPEAT = 50, 50
 #: Added to what limit() gives.
-WORDS_MARGIN, CLASSES_MARGIN = 0.06, 0.05
+WORDS_MARGIN, CLASSES_MARGIN = 0.03, 0.03
 #: Above these distances a document is rejected; MIN_WORDS and the noise terms guard the histograms of short texts. They are
 #: limit()'s on the labelled good documents of sf0.1 with an even doc_id that pass the base rules.
-MAX_CLASSES, CLASSES_NOISE, MAX_WORDS, WORDS_NOISE, MIN_WORDS = 0.118, 1.75, 0.119, 2.1, 50
+MAX_CLASSES, CLASSES_NOISE, MAX_WORDS, WORDS_NOISE, MIN_WORDS = 0.098, 1.75, 0.203, 2.35, 50
 
 _SPACES = [32, *range(9, 14)]
 _SYMBOLS = list(b"#*$%&|<>")
@@ -47,15 +49,75 @@ _OF[128:192] = -1  # bytes that go on a character
 _OF[192:] = 7
 _CLASS = np.zeros((256, len(CLASSES)), np.int64)
 _CLASS[np.arange(256)[_OF >= 0], _OF[_OF >= 0]] = 1
-_LISTS = {lang: [w.encode() for w in words] for lang, words in COMMON.items()}
 
 
-def language(lang: str | None) -> str:
-    return lang if lang in COMMON else "und"
-
-
-def measure_text(text: str | None, lang: str | None) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class counts, common-word counts with the rest last)"""
+@dataclass(frozen=True)
+class Words:
+    """The common words of each language that has a reference, as sorted hashes."""
+
+    of: dict[str, np.ndarray]
+
+    def language(self, lang: str | None) -> str:
+        return lang if lang in self.of else OTHER
+
+    def counts(self, texts: pa.Array, langs: list[str | None]) -> list[list[int]]:
+        """How often each text has each common word of its language, the rest last; nothing for other languages."""
+        out: list[list[int]] = []
+        for at, stop, data, offsets in chunks(texts):
+            text, word = word_hashes(data, offsets)
+            cut = np.searchsorted(text, np.arange(stop - at + 1))
+            for lang, i, j in zip(langs[at:stop], cut[:-1], cut[1:], strict=True):
+                known = self.of.get(lang) if lang is not None else None
+                if known is None:
+                    out.append([])
+                    continue
+                place = np.minimum(np.searchsorted(known, word[i:j]), len(known) - 1)
+                hit = known[place] == word[i:j]
+                out.append([*np.bincount(place[hit], minlength=len(known)).tolist(), int(j - i - hit.sum())])
+        return out
+
+
+def common_words(df: DataFrame) -> Words:
+    """Learnt from all of df's documents of MIN_WORDS words or more: in each language the COMMON_WORDS words that most documents
+    have. Counted in each task first; a few thousand rows come to the driver at most."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, index = np.unique(np.array([x or "" for x in batch.column(1).to_pylist()], object).astype(str), return_inverse=True) if batch.num_rows else ([], [])
+            for at, stop, data, offsets in chunks(batch.column(0)):
+                text, word = word_hashes(data, offsets)
+                n = np.bincount(text, minlength=stop - at)
+                lang = index[at:stop][text]
+                order = np.lexsort((word, text))
+                text, word, lang = text[order], word[order], lang[order]
+                new = np.r_[True, (word[1:] != word[:-1]) | (text[1:] != text[:-1])] if len(text) else np.zeros(0, bool)
+                new &= n[text] >= MIN_WORDS
+                word, lang = word[new].view(np.int64), lang[new]
+                order = np.lexsort((word, lang))
+                word, lang = word[order], lang[order]
+                first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (lang[1:] != lang[:-1])]) if len(word) else np.zeros(0, np.int64)
+                counts = np.diff(np.append(first, len(word)))
+                of = np.bincount(index[at:stop][n >= MIN_WORDS], minlength=len(langs))
+                some = np.flatnonzero(of)
+                # a language's documents themselves stand under no word
+                rows = (np.concatenate([langs[lang[first]], langs[some]]), pa.concat_arrays([pa.array(word[first], pa.int64()), pa.nulls(len(some), pa.int64())]), np.concatenate([counts, of[some]]))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), rows[1], pa.array(rows[2], pa.int64())], schema=schema)
+
+    counted = df.select("text", "lang").mapInArrow(run, "lang string, word long, n long").filter("lang <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = common.durable(counted)
+    langs = counted.filter("word is null").filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
+    names = [r["lang"] for r in langs.collect()]
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = counted.filter(F.col("word").isNotNull() & F.col("lang").isin(names)).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= COMMON_WORDS)
+    found: dict[str, list[int]] = {}
+    for r in top.select("lang", "word").collect():
+        found.setdefault(r["lang"], []).append(r["word"])
+    return Words({lang: np.sort(np.array(words, np.int64).view(np.uint64)) for lang, words in found.items()})
+
+
+def measure_text(text: str | None) -> tuple:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class counts)"""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     hist = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
@@ -69,20 +131,27 @@ def measure_text(text: str | None, lang: str | None) -> tuple:
             if times[w] > 1:
                 repeated += i + 3 - max(i, till)
                 till = i + 3
-    counts = Counter(raw.lower().split())
-    listed = [counts[w] for w in _LISTS.get(language(lang), [])]
-    return len(words), len(text) - int(hist[_SPACES].sum()), int(hist[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated, (hist @ _CLASS).tolist(), [*listed, len(words) - sum(listed)]
+    return len(words), len(text) - int(hist[_SPACES].sum()), int(hist[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated, (hist @ _CLASS).tolist()
 
 
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, ref, the counts, base_failed, classes, listed), a row for each of df's."""
+def measure(df: DataFrame, words: Words) -> DataFrame:
+    """(doc_id, text_key, ref, the counts, classes, listed, base_failed), a row for each of df's."""
+    numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("ref", pa.string()), *((n, pa.int64()) for n in numbers), ("classes", pa.list_(pa.int64())), ("listed", pa.list_(pa.int64())), ("base_failed", pa.bool_())])
 
-    def row(key, text, lang):
-        n, chars, symbols, lines, repeated, classes, listed = measure_text(text, lang)
-        return key, language(lang), n, chars, symbols, lines, repeated, classes, listed, n < MIN_BASE_WORDS or 100 * repeated > MAX_REPEAT * n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, common.BATCH_ROWS):
+                part = batch.slice(at, common.BATCH_ROWS)
+                langs = part.column(2).to_pylist()
+                rows = [measure_text(t) for t in part.column(1).to_pylist()]
+                n, repeated = (np.array([r[i] for r in rows], np.int64) for i in (0, 4))
+                failed = (n < MIN_BASE_WORDS) | (100 * repeated > MAX_REPEAT * n)
+                columns = [part.column(0).cast(pa.int64()), part.column(3), [words.language(x) for x in langs], *zip(*rows, strict=True), words.counts(part.column(1), langs), failed]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    whole = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64())]
-    return common.map_rows(df, [id_col, text_col, lang_col], row, f"{id_col} long, ref string, {', '.join(f'{n} long' for n, _ in whole)}, classes array<long>, listed array<long>, base_failed boolean", [(id_col, pa.int64()), ("ref", pa.string()), *whole, ("classes", pa.list_(pa.int64())), ("listed", pa.list_(pa.int64())), ("base_failed", pa.bool_())])
+    kinds = ", ".join(f"{n} long" for n in numbers)
+    return df.select("doc_id", "text", "lang", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id long, text_key long, ref string, {kinds}, classes array<long>, listed array<long>, base_failed boolean")
 
 
 def _shares(counts):
@@ -92,9 +161,9 @@ def _shares(counts):
 
 
 def references(measured: DataFrame) -> DataFrame:
-    """(ref, ref_classes, ref_listed): sums over all documents that pass the base rules; five rows at most."""
+    """(ref, ref_classes, ref_listed): sums over all documents that pass the base rules; MOST_LANGUAGES + 1 rows at most."""
     m = measured.filter(~measured["base_failed"]).select("ref", _shares(measured["classes"]).alias("c"), _shares(measured["listed"]).alias("w"))
-    n, k = len(CLASSES), max(map(len, COMMON.values())) + 1
+    n, k = len(CLASSES), COMMON_WORDS + 1
     sums = m.groupBy("ref").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)], *[F.sum(F.get(F.col("w"), F.lit(i))).alias(f"w{i}") for i in range(k)])
     return sums.select("ref", F.array(*[f"c{i}" for i in range(n)]).alias("ref_classes"), F.filter(F.array(*[f"w{i}" for i in range(k)]), lambda x: x.isNotNull()).alias("ref_listed"))
 
@@ -122,33 +191,21 @@ def verdicts(measured: DataFrame) -> DataFrame:
     both = measured.join(F.broadcast(references(measured)), "ref", "left")
     to_double = lambda c: F.transform(F.coalesce(c, F.array().cast("array<long>")), lambda x: x.cast("double"))
     both = both.withColumns({"class_distance": distance(to_double(F.col("classes")), to_double(F.col("ref_classes"))), "word_distance": distance(to_double(F.col("listed")), to_double(F.col("ref_listed")))})
-    far = (F.col("class_distance") > MAX_CLASSES + CLASSES_NOISE / F.sqrt(F.greatest("n_words", F.lit(1)))) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORDS + WORDS_NOISE / F.sqrt("n_words")))
+    root = F.sqrt(F.greatest("n_words", F.lit(1)))
+    far = (F.col("n_words") >= MIN_WORDS) & ((F.col("class_distance") > MAX_CLASSES + CLASSES_NOISE / root) | (F.col("word_distance") > MAX_WORDS + WORDS_NOISE / root))
     return both.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
 def assess(df: DataFrame) -> DataFrame:
-    return verdicts(common.durable(measure(df)))
+    return verdicts(common.durable(measure(df, common_words(df))))
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The rows of df that are kept, with df's columns. Rows are told apart by id and text, so equal rows share a verdict."""
-    marked = df.select("*", F.xxhash64("text").alias("_text_key"))
-    measured = measure_keyed(df)
-    good = verdicts(common.durable(measured)).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("ref").alias("_ref")).distinct()
-    ref = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("und")
-    return marked.join(good, marked["doc_id"].eqNullSafe(good["_id"]) & (marked["_text_key"] == good["_key"]) & (ref == good["_ref"]), "left_semi").drop("_text_key")
-
-
-def measure_keyed(df: DataFrame) -> DataFrame:
-    """measure() with text_key, Spark's 64-bit hash of the text."""
-    keyed = df.select("doc_id", "text", "lang", F.xxhash64("text").alias("text_key"))
-
-    def row(key, text, lang, text_key):
-        n, chars, symbols, lines, repeated, classes, listed = measure_text(text, lang)
-        return key, language(lang), n, chars, symbols, lines, repeated, classes, listed, n < MIN_BASE_WORDS or 100 * repeated > MAX_REPEAT * n, text_key
-
-    whole = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64())]
-    return common.map_rows(keyed, ["doc_id", "text", "lang", "text_key"], row, f"doc_id long, ref string, {', '.join(f'{n} long' for n, _ in whole)}, classes array<long>, listed array<long>, base_failed boolean, text_key long", [("doc_id", pa.int64()), ("ref", pa.string()), *whole, ("classes", pa.list_(pa.int64())), ("listed", pa.list_(pa.int64())), ("base_failed", pa.bool_()), ("text_key", pa.int64())])
+    """The rows of df that are kept, with df's columns. Rows are told apart by id, text and reference, so equal rows share a verdict."""
+    words = common_words(df)
+    good = verdicts(common.durable(measure(df, words))).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("ref").alias("_ref")).distinct()
+    ref = F.when(df["lang"].isin(list(words.of)), df["lang"]).otherwise(OTHER)
+    return df.join(good, df["doc_id"].eqNullSafe(good["_id"]) & (F.xxhash64(df["text"]) == good["_key"]) & (ref == good["_ref"]), "left_semi")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def odd(spark):
     """Nulls in any column, empty and very long texts, ties, repeated rows, and extra columns with clashing names."""
     rows = [(i, t, "en" if i % 2 else None, None, None) for i, t in enumerate(ODD)] + [(None, "no id " + LONG[:300], "en", "s", 1), (None, None, None, None, None), (3, "\n\n\t", "en", "s", 1), (3, "\n\n\t", "en", "s", 1), (7, "other text of an id used twice", "zz", "s", 1)]
     df = spark.createDataFrame(rows, DOC)
-    for extra in ("text_key", "words", "band", "rep", "label", "k1", "n", "spans", "kept", "_id", "_key", "part"):
+    for extra in ("text_key", "words", "band", "rep", "label", "k1", "n", "spans", "kept", "_id", "_key", "_text_key", "none", "key", "part"):
         df = df.withColumn(extra, F.lit(7))
     return df
 
@@ -316,6 +316,17 @@ def test_op6_queries():
         assert any(all(t in match.lower() for t in alternative) for alternative in got[rule])
 
 
+def test_op6_exchange(spark, docs):
+    """Candidates that are too many to be broadcast give the same rows; added kinds against their patterns."""
+    a, b = (sorted(map(tuple, secrets.scan(docs, broadcast_rows=n).collect())) for n in (0, secrets.BROADCAST_ROWS))
+    assert a == b
+    planted = ["x -----BEGIN RSA PRIVATE KEY----- y", "ghp_" + "aZ9" * 12 + " z", "é xoxb-12345-abcdef", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl-_", "ghp_short", "nothing"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(planted)]
+    for r in secrets.scan(spark.createDataFrame(rows, DOC)).collect():
+        want = sorted((m.start(), i, rule.kind, m.end()) for i, rule in enumerate(secrets.RULES) for m in re.finditer(rule.pattern, planted[r["doc_id"]], re.A) if len(m[rule.group]) >= rule.least)
+        assert r["spans"] == ",".join(f"{k}:{x}:{y}" for x, _, k, y in want)
+
+
 def test_op6_base(spark):
     rng = random.Random(10)
     parts = ["password", "SECRET", "token", "api_key", "apikey", "=", ":", " ", '"', "'", "abc123", "AKIA", "ABCDEFGH01234567", "deadbeef" * 3, "0f", "é", "x", "PassWd", "/"]
@@ -385,7 +396,7 @@ def test_op8_planted(spark):
         rows.append((d, " ".join(words)))
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
     df = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOC)
-    for size in (50, 250_000):
+    for size in (50, decontaminate.BROADCAST_WORDS):
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(df, benchmark, size).collect()}
         assert got == want
     left = {r["doc_id"] for r in decontaminate.clean(df, benchmark).collect()}
@@ -399,6 +410,45 @@ def test_op8_verbatim(spark, docs):
     assert got >= {(d, b["item_id"]) for d, t in texts_of(docs) for b in benchmark.collect() if b["text"] in (t or "")}
 
 
+def brute_overlaps(rows, items):
+    """Every place of every item over every document: (doc_id, item_id) -> (equal words, first word)."""
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    best = {}
+    for d, t in rows:
+        words = split(t or "")
+        for i, text in items:
+            item = split(text or "")
+            n = len(item)
+            if n < 5:
+                continue
+            for first in range(1 - n, len(words)):
+                equal = [0 <= first + k < len(words) and words[first + k] == item[k] for k in range(n)]
+                w = decontaminate.WINDOW
+                enough = max(sum(equal[k : k + w]) for k in range(n - w + 1)) >= decontaminate.LEAST if n >= w else sum(equal) >= -(-n * 8 // 10)
+                if enough and (got := (sum(equal), -first)) > best.get((d, i), (0, -(10**9))):
+                    best[d, i] = got
+    return {k: (e, -f) for k, (e, f) in best.items()}
+
+
+@pytest.mark.parametrize("size", [10, decontaminate.BROADCAST_WORDS])
+def test_op8_brute(spark, docs, size):
+    """WINDOW, LEAST and SHARE over documents that hold items whole, in parts and with substitutions, by both ways of joining."""
+    rng = random.Random(19)
+    benchmark = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:12]
+    items = benchmark + [(900 + n, " ".join(f"s{n}x{k}" for k in range(n))) for n in (5, 7, 9, 12, 13)] + [(950, "again again again again again again")]
+    rows = [(d, " ".join((t or "").split()[:60])) for d, t in texts_of(docs)[:40]]
+    for d in range(1000, 1080):
+        words, item = prose(rng.randint(5, 30), rng).split(), rng.choice(items)[1].split()
+        part = item[rng.randint(0, 3) : len(item) - rng.randint(0, 3)]
+        for k in rng.sample(range(len(part)), min(len(part), rng.randint(0, 4))):
+            part[k] = rng.choice(["zz", "again", part[k]])
+        cut = rng.randint(0, len(words))
+        rows.append((d, " ".join(words[:cut] + part + words[cut:])))
+    rows += [(2000, "again " * 50), (2001, None), (2002, "")]
+    got = decontaminate.overlaps(spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOC), spark.createDataFrame(items, "item_id long, text string"), size)
+    assert {(r["doc_id"], r["item_id"]): (r["equal_words"], r["first_word"]) for r in got.collect()} == brute_overlaps(rows, items)
+
+
 # 9
 
 
@@ -484,6 +534,21 @@ def test_op9_shared_passage(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dups.classes(df).collect()} == want
 
 
+def test_op9_rows(spark):
+    """Rows of one doc_id with different texts, rows without one, and repeated rows."""
+    base = prose(60).split()
+    near, far = " ".join(base[:-1] + ["zz"]), prose(60)
+    rows = [(1, " ".join(base), "a"), (1, far, "b"), (2, near, "c"), (3, far, "d"), (None, far, "e"), (None, prose(50), "f"), (None, "lone text of no one", "g"), (None, "lone text of no one", "h"), (5, "", "i"), (6, None, "j"), (5, "", "k")]
+    df = spark.createDataFrame([(d, t, s, None, None) for d, t, s in rows], "doc_id long, text string, source string, key long, none string")
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["class_id"]) for r in near_dups.classes(df).collect() if r["doc_id"] is not None)
+    assert [g[1:] for g in got] == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 5), (5, 5), (6, 5)]
+    assert sorted(str(r["class_id"]) for r in near_dups.classes(df).filter("doc_id is null").collect()) == ["1", "None", "None", "None"]
+    kept = near_dups.one_of_each(df)
+    assert kept.columns == df.columns
+    left = sorted(r["source"] for r in kept.collect())
+    assert left in [["a", "b", "f", x, y] for x in "gh" for y in "ik"]
+
+
 # 10
 
 
@@ -497,10 +562,62 @@ def test_op10_base(docs):
             seen[w] = seen.get(w, 0) + 1
         repeated = {j for i, w in enumerate(windows) if seen[w] > 1 for j in range(i, i + 3)}
         lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        got = quality.measure_text(text, "en")
+        got = quality.measure_text(text)
         assert got[:5] == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated))
 
 
+def test_op10_kept(spark, docs):
+    """Verdicts, words and references against plain loops."""
+    rows = docs.collect()
+    hashed = lambda w: int(shingles.word_hashes(*shingles.lowered(pa.array([w])))[1][0])
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    words = {r["doc_id"]: (r["text"] or "").lower().split() for r in rows}
+    seen, of = {}, {}
+    for r in rows:
+        if len(words[r["doc_id"]]) >= quality.MIN_WORDS:
+            of[r["lang"]] = of.get(r["lang"], 0) + 1
+            for w in set(words[r["doc_id"]]):
+                counts = seen.setdefault(r["lang"], {})
+                counts[w] = counts.get(w, 0) + 1
+    lists = {lang: sorted(c, key=lambda w: (-c[w], signed(hashed(w))))[: quality.COMMON_WORDS] for lang, c in seen.items() if of[lang] >= quality.LEAST_DOCS}
+    assert lists
+    measured = {}
+    for r in rows:
+        m, known = quality.measure_text(r["text"]), sorted(lists.get(r["lang"], []), key=hashed)
+        listed = [words[r["doc_id"]].count(w) for w in known]
+        measured[r["doc_id"]] = (r["lang"] if r["lang"] in lists else quality.OTHER, m, [*listed, m[0] - sum(listed)] if known else [], m[0] < 50 or 100 * m[4] > 50 * m[0])
+    share = lambda x: [int(v * 1_000_000 / max(1, sum(x))) for v in x]
+    sums = {}
+    for ref, m, listed, failed in measured.values():
+        if not failed:
+            held = sums.setdefault(ref, ([0] * len(m[5]), [0] * len(listed)))
+            sums[ref] = tuple([a + b for a, b in zip(h, share(x), strict=True)] for h, x in zip(held, (m[5], listed), strict=True))
+
+    def js(a, b):
+        if not sum(a) or not sum(b):
+            return 0.0
+        p, q = np.array(a) / sum(a), np.array(b) / sum(b)
+        half = lambda x: float(np.sum(x[x > 0] * np.log2(2 * x[x > 0] / (p + q)[x > 0])))
+        return max(0.0, (half(p) + half(q)) / 2) ** 0.5
+
+    got = {r["doc_id"]: r for r in quality.assess(docs).collect()}
+    for d, (ref, m, listed, failed) in measured.items():
+        classes, common_ = js(m[5], sums[ref][0]) if ref in sums else 0.0, js(listed, sums[ref][1]) if ref in sums else 0.0
+        root = max(1, m[0]) ** 0.5
+        far = m[0] >= quality.MIN_WORDS and (classes > quality.MAX_CLASSES + quality.CLASSES_NOISE / root or common_ > quality.MAX_WORDS + quality.WORDS_NOISE / root)
+        assert (got[d]["ref"], got[d]["base_failed"], got[d]["kept"]) == (ref, failed, not failed and not far), d
+        assert abs(got[d]["class_distance"] - classes) < 1e-6 and abs(got[d]["word_distance"] - common_) < 1e-6
+
+
+def test_op10_guards(spark):
+    """A rare language has no words of its own; a text below MIN_WORDS is told by the base rules alone."""
+    rows = [(i, prose(120), "xx" if i < 25 else "rare" if i < 30 else None, None, None) for i in range(40)] + [(50, "7 " * 30, "xx", None, None), (51, "### " * 60, "rare", None, None)]
+    got = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(rows, DOC)).collect()}
+    assert {got[i]["ref"] for i in range(25)} == {"xx"} and {got[i]["ref"] for i in range(25, 40)} == {quality.OTHER}
+    assert all(got[i]["kept"] for i in range(40)) and all(got[i]["word_distance"] == 0 for i in range(25, 40))
+    assert got[50]["base_failed"] and got[50]["class_distance"] > 0.5 and not got[50]["kept"]
+
+
 def test_op10_verdicts(spark):
     got = queries.QUERIES["op10_quality"](spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -561,10 +678,17 @@ def test_odd_overlaps(spark, odd, none):
 
 
 def test_odd_stages(spark, odd, none, tmp_path):
-    for df in (odd.select("doc_id", "text", "lang", "source", "n_chars"), none):
+    for df in (odd, none):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, df, SF)
             assert out.columns == df.columns and out.count() <= df.count(), name
+    one = near_dups.one_of_each(odd).select("doc_id", "text").collect()
+    assert sorted(r["text"][:9] for r in one if r["text"] and r["text"].strip()) == sorted({t[:9] for t in ODD if t and t.strip()} | {"no id " + LONG[:3], "other tex"})
+    assert sum(not (r["text"] or "").strip() for r in one) == 1
+    masked = {r["text"] for r in pii.masked(odd).filter("doc_id = 11").collect()}
+    assert masked == {pii.mask(ODD[11])} and pii.masked(odd).filter("n = 7").count() == odd.count()
+    assert decontaminate.clean(odd, spark.createDataFrame([(1, " ".join(LONG.split()[100:130]))], "item_id long, text string")).filter("doc_id = 7").collect()[0]["text"].startswith("other")
+    assert quality.keep(odd).count() == quality.assess(odd).filter("kept").count()
 
 
 def test_pipeline(spark):
