@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -154,28 +155,50 @@ def measure(df: DataFrame, words: Words) -> DataFrame:
     return df.select("doc_id", "text", "lang", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id long, text_key long, ref string, {kinds}, classes array<long>, listed array<long>, base_failed boolean")
 
 
-def _shares(counts):
-    """Millionths of the total, as integers."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(counts, lambda x: F.floor(x * 1_000_000 / F.greatest(total, F.lit(1))).cast("long"))
+def _shares(rows: np.ndarray) -> np.ndarray:
+    """Millionths of each row's total, as integers."""
+    return rows * 1_000_000 // np.maximum(1, rows.sum(axis=1, keepdims=True))
 
 
-def references(measured: DataFrame) -> DataFrame:
-    """(ref, ref_classes, ref_listed): sums over all documents that pass the base rules; MOST_LANGUAGES + 1 rows at most."""
-    m = measured.filter(~measured["base_failed"]).select("ref", _shares(measured["classes"]).alias("c"), _shares(measured["listed"]).alias("w"))
-    n, k = len(CLASSES), COMMON_WORDS + 1
-    sums = m.groupBy("ref").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)], *[F.sum(F.get(F.col("w"), F.lit(i))).alias(f"w{i}") for i in range(k)])
-    return sums.select("ref", F.array(*[f"c{i}" for i in range(n)]).alias("ref_classes"), F.filter(F.array(*[f"w{i}" for i in range(k)]), lambda x: x.isNotNull()).alias("ref_listed"))
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of numbers as rows, filled up with zeros."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(column), width), np.int64)
+    out[np.arange(width) < lengths[:, None]] = column.flatten().to_numpy()
+    return out
 
 
-def distance(a, b):
-    """Jensen-Shannon distance, base 2, of two count arrays; 0 if either is empty."""
-    zero = F.lit(0.0)
-    ta, tb = (F.aggregate(x, zero, lambda s, v: s + v) for x in (a, b))
-    p, q = F.transform(a, lambda v: v / ta), F.transform(b, lambda v: v / tb)
-    term = lambda x, m: F.when(x > 0, x * F.log2(2 * x / m)).otherwise(0.0)
-    total = F.aggregate(F.zip_with(p, q, lambda x, y: term(x, x + y) + term(y, x + y)), zero, lambda s, v: s + v)
-    return F.when((ta > 0) & (tb > 0), F.sqrt(F.greatest(total / 2, zero))).otherwise(zero)
+def references(measured: DataFrame) -> dict[str, np.ndarray]:
+    """The summed shares, classes first, of all documents of each reference that pass the base rules: MOST_LANGUAGES + 1 rows at
+    most, added up in the tasks first. The sums are whole numbers, so the order of rows doesn't matter."""
+    schema = pa.schema([("ref", pa.string()), ("place", pa.int64()), ("total", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, index = np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+            shares = np.hstack([_shares(_matrix(batch.column(1), len(CLASSES))), _shares(_matrix(batch.column(2), COMMON_WORDS + 1))])
+            for i, name in enumerate(names.tolist()):
+                sums[name] = sums.get(name, 0) + shares[index == i].sum(axis=0)
+        for name, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(total)), pa.array(np.arange(len(total))), pa.array(total)], schema=schema)
+
+    passed = measured.filter(~measured["base_failed"]).select("ref", "classes", "listed")
+    out: dict[str, np.ndarray] = {}
+    for r in passed.mapInArrow(run, "ref string, place long, total long").groupBy("ref", "place").agg(F.sum("total").alias("total")).collect():
+        out.setdefault(r["ref"], np.zeros(len(CLASSES) + COMMON_WORDS + 1, np.int64))[r["place"]] = r["total"]
+    return out
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance, base 2, of each row of counts a to the row b; 0 if either is empty."""
+    some = (a.sum(axis=1) > 0) & (b.sum() > 0)
+    p, q = a / np.maximum(1, a.sum(axis=1, keepdims=True)), b / max(1, b.sum())
+    both = p + q
+    term = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, 2 * x / np.where(both > 0, both, 1), 1)), 0).sum(axis=1)
+    return np.where(some, np.sqrt(np.maximum(0, (term(p) + term(np.broadcast_to(q, p.shape))) / 2)), 0.0)
 
 
 def limit(distances: np.ndarray, n_words: np.ndarray, margin: float) -> tuple[float, float]:
@@ -188,12 +211,29 @@ def limit(distances: np.ndarray, n_words: np.ndarray, margin: float) -> tuple[fl
 
 def verdicts(measured: DataFrame) -> DataFrame:
     """measured with class_distance, word_distance and kept. measured is read twice: keep it first."""
-    both = measured.join(F.broadcast(references(measured)), "ref", "left")
-    to_double = lambda c: F.transform(F.coalesce(c, F.array().cast("array<long>")), lambda x: x.cast("double"))
-    both = both.withColumns({"class_distance": distance(to_double(F.col("classes")), to_double(F.col("ref_classes"))), "word_distance": distance(to_double(F.col("listed")), to_double(F.col("ref_listed")))})
-    root = F.sqrt(F.greatest("n_words", F.lit(1)))
-    far = (F.col("n_words") >= MIN_WORDS) & ((F.col("class_distance") > MAX_CLASSES + CLASSES_NOISE / root) | (F.col("word_distance") > MAX_WORDS + WORDS_NOISE / root))
-    return both.withColumn("kept", ~F.col("base_failed") & ~far)
+    known = references(measured)
+    n = len(CLASSES)
+    schema = pa.schema([("class_distance", pa.float64()), ("word_distance", pa.float64()), ("kept", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, common.BATCH_ROWS):
+                part = batch.slice(at, common.BATCH_ROWS)
+                refs = part.column("ref").to_numpy(zero_copy_only=False).astype(str)
+                classes, listed = _matrix(part.column("classes"), n), _matrix(part.column("listed"), COMMON_WORDS + 1)
+                far = np.zeros((2, part.num_rows))
+                for name in np.unique(refs).tolist():
+                    if name in known:
+                        rows = refs == name
+                        far[0, rows], far[1, rows] = distance(classes[rows], known[name][:n]), distance(listed[rows], known[name][n:])
+                words = part.column("n_words").to_numpy()
+                root = np.sqrt(np.maximum(1, words))
+                bad = (words >= MIN_WORDS) & ((far[0] > MAX_CLASSES + CLASSES_NOISE / root) | (far[1] > MAX_WORDS + WORDS_NOISE / root))
+                kept = ~part.column("base_failed").to_numpy(zero_copy_only=False).astype(bool) & ~bad
+                columns = [*part.columns, pa.array(far[0]), pa.array(far[1]), pa.array(kept)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *schema.names])
+
+    return measured.mapInArrow(run, f"{', '.join(f'{c} {t}' for c, t in measured.dtypes)}, class_distance double, word_distance double, kept boolean")
 
 
 def assess(df: DataFrame) -> DataFrame:
