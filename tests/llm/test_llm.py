@@ -224,6 +224,16 @@ def test_op3_machine(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_op3_pieces(spark):
+    rows = [(c, i, "user" if i % 2 == 0 else "assistant", f"{c} {i}") for c, n in ((1, 200), (2, 2), (None, 130)) for i in range(n)]
+    pieces = chat.format_conversations(spark.createDataFrame(rows + rows[-1:], "conv_id long, turn long, role string, text string"))
+    want = sorted(map(repr, chat.read_back(pieces).collect()))
+    assert len(want) == 3 and sorted(map(repr, chat.read_back(chat.in_order(pieces.orderBy(F.desc("piece"), "conv_id"))).collect())) == want
+    for odd in (pieces.coalesce(1).sortWithinPartitions("piece", "conv_id"), pieces.filter("not last"), pieces.filter("piece <> 1")):
+        with pytest.raises(Exception, match="out of its place|has no piece"):
+            chat.read_back(odd).collect()
+
+
 # 4 and 7
 
 
