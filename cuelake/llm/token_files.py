@@ -75,11 +75,9 @@ class EliasFano:
         for _ in range(i - seen):
             byte &= byte - 1
         high = at * 8 + (byte & -byte).bit_length() - 1 - i
-        low = 0
-        for k in range(self.bits):
-            p = i * self.bits + k
-            low |= (int(self.low[p >> 3]) >> (p & 7) & 1) << k
-        return high << self.bits | low
+        p = i * self.bits
+        low = int.from_bytes(self.low[p >> 3 : (p + self.bits + 7) >> 3].tobytes(), "little") >> (p & 7)
+        return high << self.bits | low & (1 << self.bits) - 1
 
     def values(self) -> np.ndarray:
         """All values at once, as sequential readers want them."""
@@ -175,7 +173,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, base, raw in zip(*(batch.column(i) for i in range(3)), strict=True):
                 keys, ends, ids = read_shard(raw.as_py())
-                stops = ends.values().astype(np.int64)
+                stops = np.array([ends.select(i) for i in range(ends.n)], np.int64)
                 starts = np.concatenate([[0], stops[:-1]])
                 wide = ids.astype("<u4")
                 sums = [zlib.crc32(wide[a:b]) for a, b in zip(starts, stops, strict=True)]
