@@ -46,8 +46,8 @@ class PieceTable(WordTable):
 def encode_texts(texts: list[str | None], path: str) -> list[tuple[str, str, int]]:
     """Ids and the text decoded from them, both joined by a space, and how many ids, of each text."""
     table, out = held(PieceTable, path), []
-    for entries in table.encode_all([t or "" for t in texts]):
-        some = [e for e in entries if e[0]]
+    for text in texts:
+        some = [e for e in table.encode(text or "") if e[0]]
         ids = " ".join([e[1] for e in some])
         out.append((ids, table.decode(ids), sum([e[0] for e in some])))
     return out

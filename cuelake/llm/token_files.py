@@ -92,16 +92,18 @@ class IdTable(WordTable):
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        top = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.coded = [i.to_bytes(self.kind.itemsize, "little") for i in range(top + 1)]
 
     def entry(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.kind.char}", *ids)
+        return self.coded[ids[0]] if len(ids) == 1 else b"".join([self.coded[i] for i in ids])
 
     def split(self, text: str) -> list[str]:
         return byte_words(text)
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.encode_all([text])[0])
+    def ids(self, text: str) -> bytes:
+        return b"".join(self.encode(text))
 
 
 def shard_bytes(keys: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
@@ -144,8 +146,8 @@ def write_shards(df: DataFrame, vocabulary: str | None = None, shard_ids: int =
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 some = [c.to_pylist() for c in batch.slice(at, TEXTS).columns]
-                for key, entries, part in zip(some[0], table.encode_all([t or "" for t in some[1]]), some[2], strict=True):
-                    got = b"".join(entries) + end
+                for key, text, part in zip(*some, strict=True):
+                    got = table.ids(text or "") + end
                     if keys and count + len(got) // width > shard_ids:
                         yield full()
                         keys, lengths, texts, count, shard, base = [], [], [], 0, shard + 1, base + count

@@ -266,7 +266,7 @@ def test_op4_full_table(monkeypatch):
     table = bpe.PieceTable(common.tokenizer_path(bpe.VOCABULARY))
     library = Tokenizer.from_file(common.tokenizer_path(bpe.VOCABULARY))
     for text in ("one two three", prose(60), "one two", prose(15)):
-        assert [int(x) for e in table.encode_all([text])[0] for x in e[1].split()] == library.encode(text, add_special_tokens=False).ids
+        assert [int(x) for e in table.encode(text) for x in e[1].split()] == library.encode(text, add_special_tokens=False).ids
 
 
 def test_op7_round_trip(spark, docs):
@@ -280,6 +280,24 @@ def test_op7_round_trip(spark, docs):
         at += len(ids)
 
 
+def test_words_latin():
+    """Every character below U+0250, lower-cased ones that leave it too, beside letters, digits, symbols and white space."""
+    words, ids = bpe.PieceTable(common.tokenizer_path(bpe.VOCABULARY)), token_files.IdTable(common.tokenizer_path(token_files.VOCABULARY))
+    rng = random.Random(8)
+    chars = [chr(n) for n in range(0x250)]
+    texts = [f"{c}a {c}{c}7{c} {c}\n{c}b'{c}  {c}." for c in chars] + ["".join(rng.choices(chars + list("ab  \n1'"), k=200)) for _ in range(300)]
+    for table, of in ((words, lambda t: [int(x) for e in words.encode(t) for x in e[1].split()]), (ids, lambda t: np.frombuffer(ids.ids(t), ids.kind).tolist())):
+        for text in texts:
+            assert of(text) == table.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_op7_full_table(monkeypatch):
+    monkeypatch.setattr(token_files.IdTable, "limit", 20)
+    table = token_files.IdTable(common.tokenizer_path(token_files.VOCABULARY))
+    for text in ("one two three", prose(60), "one two", prose(15), ""):
+        assert np.frombuffer(table.ids(text), table.kind).tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_op7_codes(tmp_path, spark, docs):
     rng = random.Random(9)
     for n in (0, 1, 2, 63, 64, 65, 500):
