@@ -17,8 +17,10 @@ strings have their anchor at the same place, so the suffixes at anchors, taken w
    string than there are runs.
 5. Each run reads what concerns it and cuts its texts.
 
-Texts never leave their partition: answers come back to the run by zip(). Exchanges carry each string once for a run,
-however often it occurs there. Answers between the steps are tables in the shared folder, which cuts lineage.
+Texts never leave their partition: answers come back to the run by zip(). Answers are found by content, so a run's rows may
+come in another order when they are read again; a mark that each run tells of its rows makes other rows an error. Exchanges
+carry each string once for a run, however often it occurs there. Answers between the steps are tables in the shared folder,
+which cuts lineage.
 
 Null and empty texts keep nothing and lose nothing. Rows that share a doc_id remove nothing from each other. A null doc_id
 counts as larger than any, and such rows remove nothing from each other. Every row gives one row; other columns are ignored.
@@ -371,11 +373,11 @@ class Told:
     """The answers that a run has got."""
 
     def __init__(self) -> None:
-        self.rows, self.copies, self.got = 0, {}, {"grams": [], "context": [], "hot": [], "string": []}
+        self.rows, self.mark, self.copies, self.got = 0, 0, {}, {"grams": [], "context": [], "hot": [], "string": []}
 
     def add(self, kind: str, raw: bytes) -> None:
         if kind == "rows":
-            self.rows = int.from_bytes(raw, "little")
+            self.rows, self.mark = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:], "little")
         elif kind == "copies":
             self.copies |= {raw[i : i + 16]: int.from_bytes(raw[i + 16 : i + 24], "little") for i in range(0, len(raw), 24)}
         else:
@@ -424,47 +426,51 @@ def _number(key: int | None) -> int:
     return _LAST * 2 - 1 if key is None else key + _LAST
 
 
-def _least_copies(keys: list[int | None], texts: list[bytes], least: dict[bytes, int]) -> None:
-    for key, text in zip(keys, texts, strict=True):
-        d = hashlib.md5(text).digest()
-        if (n := _number(key)) < least.get(d, _LAST * 2):
-            least[d] = n
+def _mark(number: int, digest: bytes) -> int:
+    """A row's part in its run's mark; marks add up in any order."""
+    return int.from_bytes(hashlib.md5(digest + number.to_bytes(8, "little")).digest()[:8], "little")
 
 
 def tell_copies(cuts: int):
+    """The digests of the run's texts with their least doc_ids, apart for those of several of its rows; its count and mark."""
+
     def run(i: int, rows: Iterator) -> Iterator[tuple[int, tuple[int, str, bytes]]]:
         least: dict[bytes, int] = {}
-        count = 0
+        several: set[bytes] = set()
+        count = mark = 0
         for keys, texts in _chunks(rows):
             count += len(keys)
-            _least_copies(keys, texts, least)
-        parts: list[list[bytes]] = [[] for _ in range(cuts)]
+            for key, text in zip(keys, texts, strict=True):
+                d, n = hashlib.md5(text).digest(), _number(key)
+                mark += _mark(n, d)
+                if d in least:
+                    several.add(d)
+                least[d] = min(n, least.get(d, n))
+        parts: dict[tuple[int, str], list[bytes]] = {}
         for d, n in least.items():
-            parts[int.from_bytes(d[:4], "little") % cuts].append(d + n.to_bytes(8, "little"))
-        for c, p in enumerate(parts):
-            if p:
-                yield c, (i, "copies", b"".join(p))
-        yield i % cuts, (i, "rows", count.to_bytes(8, "little"))
+            parts.setdefault((int.from_bytes(d[:4], "little") % cuts, "several" if d in several else "copies"), []).append(d + n.to_bytes(8, "little"))
+        for (c, kind), p in parts.items():
+            yield c, (i, kind, b"".join(p))
+        yield i % cuts, (i, "rows", count.to_bytes(8, "little") + (mark % (1 << 64)).to_bytes(8, "little"))
 
     return run
 
 
 def merge_copies(rows: Iterator) -> Iterator[tuple[int, str, bytes]]:
-    """To each run the texts whose least doc_id isn't its own, or that it may have several times itself."""
+    """To each run the least doc_ids of the texts that it has several times or that another run has with a smaller one."""
     least: dict[bytes, int] = {}
     got = []
     for _, (i, kind, raw) in rows:
         if kind == "rows":
             yield i, kind, raw
             continue
-        got.append((i, raw))
+        got.append((i, kind, raw))
         for at in range(0, len(raw), 24):
             d, n = raw[at : at + 16], int.from_bytes(raw[at + 16 : at + 24], "little")
             if n < least.get(d, _LAST * 2):
                 least[d] = n
-    for i, raw in got:
-        # digests that only this run has are told as well where another document of the run may have them: it knows its own least
-        far = [raw[at : at + 16] + least[raw[at : at + 16]].to_bytes(8, "little") for at in range(0, len(raw), 24) if least[raw[at : at + 16]] < int.from_bytes(raw[at + 16 : at + 24], "little")]
+    for i, kind, raw in got:
+        far = [raw[at : at + 16] + least[raw[at : at + 16]].to_bytes(8, "little") for at in range(0, len(raw), 24) if kind == "several" or least[raw[at : at + 16]] < int.from_bytes(raw[at + 16 : at + 24], "little")]
         if far:
             yield i, "copies", b"".join(far)
 
@@ -475,7 +481,6 @@ class Firsts:
     def __init__(self, rows: Iterator) -> None:
         self.told: Told = Told()
         self.rows = rows
-        self.least: dict[bytes, int] = {}
 
     def _plain(self) -> Iterator:
         for row, told in self.rows:
@@ -486,21 +491,22 @@ class Firsts:
     def chunks(self) -> Iterator[tuple[list[int], list[int | None], list[bytes], list[bool], bytes, np.ndarray, np.ndarray, np.ndarray]]:
         """(numbers of the ids, ids, texts, which are copies, the others' bytes and bounds, their anchors and gram hashes)
 
-        Within a run a text's least doc_id may come late, so a row counts as a copy here only if a smaller id is known to
-        have its text: from other runs, or from the rows of this run before it. A copy that isn't known yet merely takes part."""
+        A row is a copy if a smaller id has its text, in whatever order a run's rows come. A run whose rows aren't those
+        that it told of, as of an input that changes when it is read again, is an error."""
+        mark = 0
         for keys, texts in _chunks(self._plain()):
             numbers, copies = [_number(k) for k in keys], []
             for n, text in zip(numbers, texts, strict=True):
                 d = hashlib.md5(text).digest()
-                known = min(self.told.copies.get(d, _LAST * 2), self.least.get(d, _LAST * 2))
-                copies.append(known < n)
-                if n < known:
-                    self.least[d] = n
+                mark += _mark(n, d)
+                copies.append(self.told.copies.get(d, n) < n)
             own = [b"" if c else t for c, t in zip(copies, texts, strict=True)]
             raw = b"".join(own)
             bounds = np.concatenate([[0], np.cumsum([len(t) for t in own])])
             at, grams = anchors(raw, bounds)
             yield numbers, keys, texts, copies, raw, bounds, at, grams
+        if mark % (1 << 64) != self.told.mark:
+            raise ValueError("a partition gave other rows when it was read again; write the input to a table first")
 
 
 def tell_grams(cuts: int):

@@ -93,6 +93,24 @@ def test_op1_shared_passage(spark):
         assert sorted(map(tuple, substrings.removals(df, hot=hot).drop("spans").collect())) == brute_removals(rows)
 
 
+def test_op1_reads_again(spark):
+    """A run's rows may come in another order when they are read again, but not be others."""
+    texts = [prose(40, random.Random(n // 2)) for n in range(8)]
+    rows = list(zip((5, 3, 9, 8, 1, 2, 7, 4), texts, strict=True))
+    told = substrings.Told()
+    for _, kind, raw in substrings.merge_copies(iter([m for m in substrings.tell_copies(1)(0, iter(rows))])):
+        told.add(kind, raw)
+    told.ready()
+
+    def copies(rows):
+        chunks = substrings.Firsts(iter([(row, None if i else told) for i, row in enumerate(rows)])).chunks()
+        return {key for _, keys, _, which, *_ in chunks for key, c in zip(keys, which, strict=True) if c}
+
+    assert told.rows == 8 and copies(rows) == copies(rows[::-1]) == {5, 9, 2, 7}
+    with pytest.raises(ValueError, match="other rows"):
+        copies([*rows[:-1], (4, texts[-1] + "x")])
+
+
 def test_op1_merge():
     """The loser tree gives the sorted rows of all runs with the prefix that each shares with the one before."""
     rng = random.Random(4)
