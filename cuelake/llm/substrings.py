@@ -46,7 +46,7 @@ LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM
 HOT = 1024
 #: Bytes of text that are read at once, and bytes of the input for each cut of an exchange.
-CHUNK, CUT_BYTES = 1 << 21, 32 << 20
+CHUNK, CUT_BYTES = 1 << 17, 32 << 20
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 _LAST = 1 << 63
