@@ -4,8 +4,11 @@ Every byte covered by a 50-byte string (LENGTH) that also starts in a document w
 are sorted, but those at anchors: in each 50-byte string, the 24-byte gram (GRAM) of least hash, the leftmost of equals. Equal
 strings have their anchor at the same place, so the suffixes at anchors, taken with the bytes before them, show every match.
 
-1. Copies: each run (a partition of the input) tells the digests of its texts; of equal texts only those with the least
-   doc_id go on, the others are repeats as a whole.
+Texts are dealt once, by a hash of id and text, into runs of about RUN_BYTES, however large the input's partitions are, so a
+task's memory doesn't grow with the input.
+
+1. Copies: each run tells the digests of its texts; of equal texts only those with the least doc_id go on, the others are
+   repeats as a whole.
 2. Grams: each run tells its sorted gram hashes, delta-coded; grams seen in one document only are dropped.
 3. Merge sort: for the rest, each run sorts its suffixes (50 bytes from the anchor, then the 26 before it, backwards),
    keeps equal ones once with their least doc_id, cuts them by gram, and sends front-coded runs. A loser tree merges the
@@ -17,10 +20,10 @@ strings have their anchor at the same place, so the suffixes at anchors, taken w
    string than there are runs.
 5. Each run reads what concerns it and cuts its texts.
 
-Texts never leave their partition: answers come back to the run by zip(). Answers are found by content, so a run's rows may
-come in another order when they are read again; a mark that each run tells of its rows makes other rows an error. Exchanges
-carry each string once for a run, however often it occurs there. Answers between the steps are tables in the shared folder,
-which cuts lineage.
+Texts and answers are dealt by the same partitioner, so their union is one partition a run, the answers first, and one Python
+worker reads it. Every exchange is written once and read by all later steps; nothing is written to the shared folder. Answers
+are found by content, so a run's rows may come in another order when they are read again; a mark that each run tells of its
+rows makes other rows an error. Exchanges carry each string once for a run, however often it occurs there.
 
 Null and empty texts keep nothing and lose nothing. Rows that share a doc_id remove nothing from each other. A null doc_id
 counts as larger than any, and such rows remove nothing from each other. Every row gives one row; other columns are ignored.
@@ -32,7 +35,7 @@ import hashlib
 import pickle
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 from pyspark import RDD
@@ -47,6 +50,8 @@ REACH = LENGTH - GRAM
 HOT = 1024
 #: Bytes of text that are read at once, and bytes of the input for each cut of an exchange.
 CHUNK, CUT_BYTES = 1 << 17, 32 << 20
+#: Bytes of text for each run; answers that a cut holds before it sends them.
+RUN_BYTES, ANSWERS = 16 << 20, 1 << 16
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 _LAST = 1 << 63
@@ -164,7 +169,7 @@ def front_decode(code: bytes) -> Iterator[tuple[int, bytes, int, int]]:
     """(prefix known from the one before, string, least doc_id, in several documents)"""
     width, known, parts, docs, many = pickle.loads(zlib.decompress(code))
     at, before = 0, b""
-    for k, d, m in zip(known, np.frombuffer(docs, np.uint64).tolist(), many, strict=True):
+    for k, d, m in zip(known, memoryview(docs).cast("Q"), many, strict=True):
         n = width - k
         before = before[:k] + parts[at : at + n]
         at += n
@@ -277,10 +282,26 @@ def answer(rows: list[tuple[bytes, int, int, int]]) -> bytes:
     return out.tobytes()
 
 
+class Answers:
+    """The answers of a cut for each run, sent whenever there are many."""
+
+    def __init__(self, kind: str) -> None:
+        self.kind, self.rows, self.count = kind, {}, 0
+
+    def add(self, run: int, row: tuple[bytes, int, int, int]) -> None:
+        self.rows.setdefault(run, []).append(row)
+        self.count += 1
+
+    def send(self) -> Iterator[tuple[int, str, bytes]]:
+        for r, rows in self.rows.items():
+            yield r, self.kind, answer(rows)
+        self.rows, self.count = {}, 0
+
+
 def merge_contexts(codes: list[tuple[int, bytes]], large: int = HOT) -> Iterator[tuple[int, str, bytes]]:
     """Answers (run, kind, payload) about one cut: context digest, its least doc_id, and the places found by judge()."""
     runs = [r for r, _ in codes]
-    answers: dict[int, list[tuple[bytes, int, int, int]]] = {r: [] for r in runs}
+    answers = Answers("context")
     hot: dict[int, set[bytes]] = {r: set() for r in runs}
     group: list[tuple[bytes, int, list]] = []
     shared: list[int] = []
@@ -296,7 +317,7 @@ def merge_contexts(codes: list[tuple[int, bytes]], large: int = HOT) -> Iterator
             for (s, least, members), (low, high) in zip(group, judge(group, shared) if len(group) > 1 else [(REACH + 1, -1)] * len(group), strict=True):
                 for r, doc, many in members:
                     if high >= 0 or many or doc > least:
-                        answers[r].append((s, least, low, high + 1))
+                        answers.add(r, (s, least, low, high + 1))
         group.clear()
         shared.clear()
         seen = None
@@ -304,6 +325,8 @@ def merge_contexts(codes: list[tuple[int, bytes]], large: int = HOT) -> Iterator
     for known, s, i, doc, many in merge([c for _, c in codes]):
         if known < GRAM:
             close()
+            if answers.count >= ANSWERS:
+                yield from answers.send()
             gram = s[:GRAM]
         if seen is not None:
             seen.add(runs[i])
@@ -319,9 +342,7 @@ def merge_contexts(codes: list[tuple[int, bytes]], large: int = HOT) -> Iterator
                 group.clear()
                 shared.clear()
     close()
-    for r, rows in answers.items():
-        if rows:
-            yield r, "context", answer(rows)
+    yield from answers.send()
     for r, grams in hot.items():
         if grams:
             yield r, "hot", b"".join(sorted(grams))
@@ -330,7 +351,7 @@ def merge_contexts(codes: list[tuple[int, bytes]], large: int = HOT) -> Iterator
 def merge_strings(codes: list[tuple[int, bytes]]) -> Iterator[tuple[int, str, bytes]]:
     """Answers about strings: digest and least doc_id, to runs that have them in a larger document."""
     runs = [r for r, _ in codes]
-    answers: dict[int, list[tuple[bytes, int, int, int]]] = {r: [] for r in runs}
+    answers = Answers("string")
     members: list[tuple[int, int, int]] = []
     before = b""
 
@@ -339,28 +360,69 @@ def merge_strings(codes: list[tuple[int, bytes]]) -> Iterator[tuple[int, str, by
             least = min(d for _, d, _ in members)
             for r, doc, many in members:
                 if many or doc > least:
-                    answers[r].append((before, least, 0, 0))
+                    answers.add(r, (before, least, 0, 0))
             members.clear()
 
     for known, s, i, doc, many in merge([c for _, c in codes]):
         if known < LENGTH:
             close()
+            if answers.count >= ANSWERS:
+                yield from answers.send()
             before = s
         members.append((runs[i], doc, many))
     close()
-    for r, rows in answers.items():
-        if rows:
-            yield r, "string", answer(rows)
+    yield from answers.send()
 
 
 # What a run does, and what it is told.
 
 
-def _chunks(rows: Iterator[tuple[int | None, str | None]]) -> Iterator[tuple[list[int | None], list[bytes]]]:
+def _bytes(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+
+
+def deal_texts(runs: int):
+    """Rows (id, bytes) by run, pickled; the same row always goes to the same run."""
+
+    def deal(rows: Iterator[tuple[int | None, str | None]]) -> Iterator[tuple[int, tuple[str, bytes]]]:
+        held: dict[int, list[tuple[int | None, bytes]]] = {}
+        size = 0
+        for key, text in rows:
+            raw = _bytes(text)
+            held.setdefault(zlib.crc32(_number(key).to_bytes(8, "little"), zlib.crc32(raw)) % runs, []).append((key, raw))
+            size += len(raw)
+            if size >= RUN_BYTES:
+                for r in list(held):
+                    yield r, ("texts", pickle.dumps(held.pop(r), -1))
+                size = 0
+        for r in list(held):
+            yield r, ("texts", pickle.dumps(held.pop(r), -1))
+
+    return deal
+
+
+def texts_of(dealt: Iterator) -> Iterator[tuple[int | None, bytes]]:
+    for _, (_, raw) in dealt:
+        yield from pickle.loads(raw)
+
+
+def told_texts(dealt: Iterator) -> Iterator[tuple[tuple[int | None, bytes], "Told | None"]]:
+    """(row, its run's answers at the first one, else None) of one run, whose answers come before its texts."""
+    told, ready = Told(), False
+    for _, (kind, raw) in dealt:
+        if kind != "texts":
+            told.add(kind, raw)
+            continue
+        for row in pickle.loads(raw):
+            yield row, None if ready else told.ready()
+            ready = True
+
+
+def _chunks(rows: Iterator[tuple[int | None, str | bytes | None]]) -> Iterator[tuple[list[int | None], list[bytes]]]:
     keys, texts, size = [], [], 0
     for key, text in rows:
         keys.append(key)
-        texts.append((text or "").encode("utf-8", "surrogatepass"))
+        texts.append(_bytes(text))
         size += len(texts[-1])
         if size >= CHUNK:
             yield keys, texts
@@ -567,6 +629,8 @@ def tell_strings(cuts: int, hot: bool):
         found, docs = [], []
         firsts = Firsts(rows)
         for numbers, _, _, _, raw, bounds, at, grams in firsts.chunks():
+            if hot and not len(firsts.told.hot):
+                return
             use = _among(firsts.told.grams, grams)
             if hot:
                 use[use] = firsts.told.are_hot(raw, at[use], grams[use])
@@ -664,48 +728,32 @@ def _grouped(merge_one):
     return run
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, run_bytes: int = RUN_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans), a row for each of df's."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    base = df.select(id_col, text_col).rdd.map(tuple)
-    runs = base.getNumPartitions()
-    identity = lambda x: x
+    base = df.select(id_col, text_col).rdd
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    cuts = max(runs, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CUT_BYTES))
-
-    def kept(answers: RDD, name: str) -> DataFrame:
-        return common.kept_table(spark.createDataFrame(answers, "run int, kind string, payload binary", verifySchema=False), f"substrings-{name}")
+    runs = max(1, base.getNumPartitions(), -(-size // run_bytes))
+    cuts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CUT_BYTES))
+    identity = lambda x: x
 
-    def dealt(told: RDD) -> RDD:
-        return told.partitionBy(cuts, identity)
+    def answers(told: RDD, merge_one) -> RDD:
+        """What merge_one makes of each cut, dealt to the runs."""
+        return told.partitionBy(cuts, identity).mapPartitions(merge_one).map(lambda m: (m[0], m[1:])).partitionBy(runs, identity)
 
-    def with_answers(tables: list[DataFrame]) -> RDD:
+    def with_answers(*got: RDD) -> RDD:
         """Rows of the input, the first of each run with its answers."""
-        messages = sc.union([t.rdd.map(lambda r: (r[0], (r[1], bytes(r[2])))) for t in tables])
-        home = messages.partitionBy(runs, identity)
-
-        def expand(rows: Iterator) -> Iterator:
-            told = Told()
-            for _, (kind, raw) in rows:
-                told.add(kind, raw)
-            if told.rows:
-                yield told.ready()
-                for _ in range(told.rows - 1):
-                    yield None
-
-        # a session may deal into more partitions than asked for; those hold nothing
-        more = home.getNumPartitions() - runs
-        mine = sc.union([base, sc.parallelize([], more)]) if more else base
-        return mine.zip(home.mapPartitions(expand))
-
-    copies = kept(dealt(base.mapPartitionsWithIndex(tell_copies(cuts))).mapPartitions(merge_copies), "copies")
-    grams = kept(dealt(with_answers([copies]).mapPartitionsWithIndex(tell_grams(cuts))).mapPartitions(merge_grams), "grams")
-    contexts = kept(dealt(with_answers([copies, grams]).mapPartitionsWithIndex(tell_strings(cuts, False))).mapPartitions(_grouped(partial(merge_contexts, large=hot))), "contexts")
-    answers = [copies, grams, contexts]
-    if not contexts.filter("kind = 'hot'").isEmpty():
-        answers.append(kept(dealt(with_answers(answers).mapPartitionsWithIndex(tell_strings(cuts, True))).mapPartitions(_grouped(merge_strings)), "strings"))
-    rows = with_answers(answers).mapPartitionsWithIndex(cut_texts)
+        both = reduce(RDD.union, [*got, texts])
+        if both.getNumPartitions() != texts.getNumPartitions():
+            raise ValueError("texts and answers weren't dealt alike")
+        return both.mapPartitions(told_texts)
+
+    texts = base.mapPartitions(deal_texts(runs)).partitionBy(runs, identity)
+    copies = answers(texts.mapPartitions(texts_of).mapPartitionsWithIndex(tell_copies(cuts)), merge_copies)
+    grams = answers(with_answers(copies).mapPartitionsWithIndex(tell_grams(cuts)), merge_grams)
+    contexts = answers(with_answers(copies, grams).mapPartitionsWithIndex(tell_strings(cuts, False)), _grouped(partial(merge_contexts, large=hot)))
+    strings = answers(with_answers(copies, grams, contexts).mapPartitionsWithIndex(tell_strings(cuts, True)), _grouped(merge_strings))
+    rows = with_answers(copies, grams, contexts, strings).mapPartitionsWithIndex(cut_texts)
     return spark.createDataFrame(rows, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>", verifySchema=False)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -111,6 +112,42 @@ def test_op1_reads_again(spark):
         copies([*rows[:-1], (4, texts[-1] + "x")])
 
 
+def test_op1_run_size(spark, docs):
+    """Runs are bounded in bytes however large the input's partitions are, and no step writes files of its own."""
+    rows = texts_of(docs.limit(120))
+    df = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOC).coalesce(1)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    before = set(os.listdir(common.shared_root(spark).removeprefix("file:")))
+    got = substrings.removals(df, run_bytes=size // 12)
+    per_run = got.groupBy(F.spark_partition_id()).agg(F.sum("n_bytes").alias("n")).collect()
+    longest = max(len((t or "").encode()) for _, t in rows)
+    assert max(r["n"] for r in per_run) <= size // 4 + longest
+    assert sorted(map(tuple, got.drop("spans").collect())) == brute_removals(rows)
+    assert set(os.listdir(common.shared_root(spark).removeprefix("file:"))) == before
+
+
+def test_op1_answers_in_parts(monkeypatch):
+    """A cut that sends its answers in parts sends the same ones."""
+    rng = random.Random(6)
+    texts = [(prose(12, rng) + LONG[k : k + 90]).encode() for k in (0, 5, 9, 0, 30, 60)] * 2
+
+    def told():
+        codes = []
+        for r, text in enumerate(texts):
+            at, _ = substrings.anchors(text, np.array([0, len(text)]))
+            rows = substrings.contexts(text, np.zeros(len(at), np.int64), np.full(len(at), len(text)), at)
+            codes.append((r, substrings.front_code(*substrings.sorted_rows(rows, np.full(len(at), r, np.uint64)))))
+        return [m for m in substrings.merge_contexts(codes)]
+
+    def rows(messages):
+        return sorted((r, kind, *row) for r, kind, raw in messages for row in np.frombuffer(raw, substrings.ANSWER).tolist())
+
+    whole = told()
+    monkeypatch.setattr(substrings, "ANSWERS", 5)
+    parts = told()
+    assert rows(parts) == rows(whole) and max(len(raw) for *_, raw in parts) < max(len(raw) for *_, raw in whole)
+
+
 def test_op1_merge():
     """The loser tree gives the sorted rows of all runs with the prefix that each shares with the one before."""
     rng = random.Random(4)
