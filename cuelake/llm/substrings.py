@@ -571,7 +571,19 @@ class Firsts:
             raise ValueError("a partition gave other rows when it was read again; write the input to a table first")
 
 
+def gram_edges(cuts: int) -> np.ndarray:
+    """Where each cut's gram hashes begin, and their end. An anchor's hash is the least of a window's, so small ones are
+    frequent: a place is an anchor if the greater hashes on both sides of it are REACH in all. Cuts get as many anchors each."""
+    hashes = np.linspace(0, 1, (1 << 16) + 1)
+    above = 1 - hashes
+    below = 1 - ((REACH + 2) * above ** (REACH + 1) - REACH * above ** (REACH + 2)) / 2
+    share = np.interp(np.arange(cuts) / cuts, below, hashes)
+    return np.append((share * (1 << 48)).astype(np.uint64), _U(1 << 48))
+
+
 def tell_grams(cuts: int):
+    bounds_of_cuts = gram_edges(cuts)
+
     def run(i: int, rows: Iterator) -> Iterator[tuple[int, tuple[int, bytes, bytes]]]:
         grams, owners, base = [], [], 0
         for numbers, _, _, _, _, bounds, at, found in Firsts(rows).chunks():
@@ -588,7 +600,7 @@ def tell_grams(cuts: int):
         stops = np.append(at[1:], len(g)) - 1
         several = o[at] != o[stops] if len(at) else np.zeros(0, bool)
         g = g[at]
-        edges = np.searchsorted(g, np.arange(cuts + 1, dtype=np.uint64) * _U(-(-(1 << 48) // cuts)))
+        edges = np.searchsorted(g, bounds_of_cuts)
         for c in range(cuts):
             a, b = edges[c], edges[c + 1]
             if b > a:

@@ -126,6 +126,22 @@ def test_op1_run_size(spark, docs):
     assert set(os.listdir(common.shared_root(spark).removeprefix("file:"))) == before
 
 
+def test_op1_even_cuts():
+    """No cut gets many more gram hashes than the others, though anchors have the least hashes of their windows."""
+    raw = prose(40_000, random.Random(8)).encode()
+    told = list(substrings.tell_grams(16)(0, iter([((n, raw[a : a + 5000].decode()), t) for n, (a, t) in enumerate(zip(range(0, len(raw), 5000), [told_rows(raw)] + [None] * len(raw)))])))
+    sizes = [len(substrings.undelta(code)) for _, (_, code, _) in told]
+    assert len(sizes) == 16 and max(sizes) < 1.5 * sum(sizes) / 16
+
+
+def told_rows(raw):
+    told = substrings.Told()
+    rows = [(n, raw[a : a + 5000].decode()) for n, a in enumerate(range(0, len(raw), 5000))]
+    for _, kind, x in substrings.merge_copies(iter([m for m in substrings.tell_copies(1)(0, iter(rows))])):
+        told.add(kind, x)
+    return told.ready()
+
+
 def test_op1_answers_in_parts(monkeypatch):
     """A cut that sends its answers in parts sends the same ones."""
     rng = random.Random(6)
