@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an output batch; bounds what a Python worker holds beside its input batch.
 BATCH_ROWS = 512
+#: What compact() puts into a file, as Spark's cache counts it.
+FILE_BYTES = 2 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +47,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """durable() in as many files as df's size needs, computed in df's own partitions first: those of small tables may be many,
+    and where Hadoop has no native library, each file that an executor writes costs processes that start as copies of its JVM."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        held.count()
+        # of a new plan, as a plan's size is looked up once; it is what the tasks have counted
+        size = held.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return durable(held.coalesce(max(1, math.ceil(size / FILE_BYTES))))
+    finally:
+        held.unpersist()
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until no column of df is called so, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -109,20 +109,20 @@ def representatives(signed: DataFrame) -> DataFrame:
     with the smallest doc_id (none is larger than any)."""
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     reps = signed.groupBy("k1", "k2").agg(F.min(row).alias("row"), F.first("bands").alias("bands"))
-    return common.durable(reps.select(F.monotonically_increasing_id().alias("rep"), "k1", "k2", "row.doc_id", "row.text_key", "bands"))
+    return common.compact(reps.select(F.monotonically_increasing_id().alias("rep"), "k1", "k2", "row.doc_id", "row.text_key", "bands"))
 
 
 def banded(reps: DataFrame) -> DataFrame:
     """(band, rep, least, n) of the bands with two members or more, from (rep, bands)."""
     rows = reps.select("rep", F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1")
-    return common.durable(rows.join(sizes, "band"))
+    return common.compact(rows.join(sizes, "band"))
 
 
 def hubs(shared: DataFrame) -> DataFrame:
     """(band, centre): the most central member of each band."""
     weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
-    return common.durable(shared.join(weight, "rep").groupBy("band").agg((-F.max(F.struct("weight", -F.col("rep")))["col2"]).alias("centre")))
+    return common.compact(shared.join(weight, "rep").groupBy("band").agg((-F.max(F.struct("weight", -F.col("rep")))["col2"]).alias("centre")))
 
 
 def star_pairs(shared: DataFrame, centre: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def rest_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             who = pa.array(text[keep])
             yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(n[keep]), pa.array(at[keep])], schema=schema)
 
-    found = common.durable(texts.select("rep", "label", "text").mapInArrow(tokens, "token long, rep long, label long, n long, at long"))
+    found = common.compact(texts.select("rep", "label", "text").mapInArrow(tokens, "token long, rep long, label long, n long, at long"))
     y = found.select(*(F.col(c).alias(f"{c}_y") for c in found.columns))
     x = found.filter(F.col("at") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-6))
     enough = (F.col("n") - F.col("at") >= share * (F.col("n") + F.col("n_y")) - 1e-6) & (F.col("n_y") - F.col("at_y") >= share * (F.col("n") + F.col("n_y")) - 1e-6)
@@ -213,14 +213,14 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b): label is the smallest node of its connected part."""
-    edges = common.durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = common.durable(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    edges = common.compact(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = common.compact(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
         seen = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(seen, "node").select("node", "label", F.least("label", "near").alias("next"))
         # pointer jumping: a label's own label is in the same part and no larger
         jumped = lower.join(labels.select(F.col("node").alias("next"), F.col("label").alias("beyond")), "next", "left")
-        new = common.durable(jumped.select("node", F.least("next", "beyond").alias("new"), "label"))
+        new = common.compact(jumped.select("node", F.least("next", "beyond").alias("new"), "label"))
         labels = new.select("node", F.col("new").alias("label"))
         if new.filter("new <> label").isEmpty():
             return labels
@@ -238,7 +238,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels after more links (label_a, label_b) between parts: parts that are linked become one."""
     parts = components(links.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct())
     named = labels.join(parts.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
-    return common.durable(named.unionByName(parts.join(labels, "node", "left_anti").select("node", "label")))
+    return common.compact(named.unionByName(parts.join(labels, "node", "left_anti").select("node", "label")))
 
 
 def texts_of(df: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -254,18 +254,18 @@ def parts(df: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataF
     """(rep, label) of the representatives that have a near duplicate: label is the smallest number of the class."""
     shared = banded(reps)
     centre = hubs(shared)
-    pairs = common.durable(star_pairs(shared, centre))
+    pairs = common.compact(star_pairs(shared, centre))
     texts = texts_of(df, reps, pairs)  # of all that are compared: a band's members are compared with its hubs
-    labels = components(common.durable(verified(pairs, texts, threshold)).select("a", "b"))
-    members = common.durable(unsettled(shared, centre, labels))
+    labels = components(common.compact(verified(pairs, texts, threshold)).select("a", "b"))
+    members = common.compact(unsettled(shared, centre, labels))
     if not members.isEmpty():
-        rest = common.durable(rest_pairs(texts.join(members, "rep"), threshold).join(pairs, ["a", "b"], "left_anti").withColumn("turn", F.xxhash64("a", "b")))
+        rest = common.compact(rest_pairs(texts.join(members, "rep"), threshold).join(pairs, ["a", "b"], "left_anti").withColumn("turn", F.xxhash64("a", "b")))
         for n, one_of in enumerate(ROUNDS):
             turn = rest.filter(F.pmod("turn", F.lit(one_of)) == 0)
             for before in ROUNDS[:n]:
                 turn = turn.filter(F.pmod("turn", F.lit(before)) != 0)
-            more = common.durable(apart(turn.select("a", "b"), labels))
-            new = common.durable(verified(more, texts, threshold).select("a", "b").join(more, ["a", "b"]))
+            more = common.compact(apart(turn.select("a", "b"), labels))
+            new = common.compact(verified(more, texts, threshold).select("a", "b").join(more, ["a", "b"]))
             if not new.isEmpty():
                 labels = merged(labels, new)
     return labels.select(F.col("node").alias("rep"), "label")
@@ -277,7 +277,7 @@ def labelled(df: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     reps = representatives(signed)
     named = reps.drop("bands").join(parts(df, reps, threshold), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
-    return signed, common.durable(named.join(first, "label").select("k1", "k2", "label", "first.doc_id", "first.text_key"))
+    return signed, common.compact(named.join(first, "label").select("k1", "k2", "label", "first.doc_id", "first.text_key"))
 
 
 def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

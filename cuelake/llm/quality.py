@@ -106,7 +106,7 @@ def common_words(df: DataFrame) -> Words:
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), rows[1], pa.array(rows[2], pa.int64())], schema=schema)
 
     counted = df.select("text", "lang").mapInArrow(run, "lang string, word long, n long").filter("lang <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = common.durable(counted)
+    counted = common.compact(counted)
     langs = counted.filter("word is null").filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
     names = [r["lang"] for r in langs.collect()]
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")

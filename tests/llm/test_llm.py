@@ -648,6 +648,31 @@ def test_op9_rows(spark):
     assert left in [["a", "b", "f", x, y] for x in "gh" for y in "ik"]
 
 
+def test_kept_files(spark, docs):
+    """Small tables are kept in few files, though the exchanges have many partitions that Spark doesn't coalesce."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    root = common.shared_root(spark).removeprefix("file:")
+    files = lambda: {f"{d}/{x}" for d, _, names in os.walk(root) for x in names if x.startswith("part-")}
+    before = {k: spark.conf.get(k) for k in settings}
+    want = sorted(tuple(r) for r in near_dups.classes(docs).collect())
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        had = files()
+        assert sorted(tuple(r) for r in near_dups.classes(docs).collect()) == want
+        assert len(files() - had) < 300  # 641 when each table had a file for each partition
+        for rows, most in ((57, 1), (0, 1), (400_000, 8)):
+            df = spark.range(rows).groupBy((F.col("id") * 3).alias("k")).count()
+            kept = common.compact(df)
+            assert kept.rdd.getNumPartitions() <= most
+            assert kept.agg(F.count("*"), F.sum("k"), F.sum("count")).collect() == df.agg(F.count("*"), F.sum("k"), F.sum("count")).collect()
+        assert common.compact(spark.range(400_000)).rdd.getNumPartitions() > 1
+        assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # 10
 
 
