@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelake.llm import bpe, chat, decontaminate, filter_audit, near_dups, pii, quality, secrets, substrings, token_files, warc
+from cuelake.llm import bpe, chat, decontaminate, filter_audit, near_dups, pii, quality, secrets, substrings, token_files, warc, whitening
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_dups": near_dups.op9_near_dups,
     "op10_quality": quality.op10_quality,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 ORACLES = {"op3_chat": chat.OP3_SQL, "op5_warc": warc.OP5_SQL, "op11_filter_audit": filter_audit.OP11_SQL}
