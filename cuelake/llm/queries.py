@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelake.llm import bpe, chat, decontaminate, filter_audit, near_dups, pii, quality, secrets, substrings, token_files, warc, whitening
+from cuelake.llm import bpe, chat, decontaminate, filter_audit, languages, near_dups, pii, quality, secrets, substrings, token_files, warc, whitening
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_whitening": whitening.op12_whitening,
+    "op13_languages": languages.op13_languages,
 }
 
-ORACLES = {"op3_chat": chat.OP3_SQL, "op5_warc": warc.OP5_SQL, "op11_filter_audit": filter_audit.OP11_SQL}
+ORACLES = {"op3_chat": chat.OP3_SQL, "op5_warc": warc.OP5_SQL, "op11_filter_audit": filter_audit.OP11_SQL, "op13_languages": languages.OP13_SQL}
