@@ -548,6 +548,28 @@ def test_op8_brute(spark, docs, size):
     assert {(r["doc_id"], r["item_id"]): (r["equal_words"], r["first_word"]) for r in got.collect()} == brute_overlaps(rows, items)
 
 
+@pytest.mark.parametrize("size", [10, decontaminate.BROADCAST_WORDS])
+def test_op8_repeated_words(spark, size):
+    """Words that fill a document and an item: places for positions, not for pairs, and no text beside each."""
+    texts = ["the " * 5000, "the " * 200_000, "a b " * 20_000, "the " * 40 + "end", "x " * 3000 + "the " * 30, "of the " * 9]
+    items = [(1, "the " * 30), (2, "a b " * 10), (3, "b a b " * 5), (4, "the " * 60), (5, "the " * 39 + "end")]
+    rows = list(enumerate(texts))
+    got = decontaminate.overlaps(spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOC), spark.createDataFrame(items, "item_id long, text string"), size)
+    found = {(r["doc_id"], r["item_id"]): (r["equal_words"], r["first_word"]) for r in got.collect()}
+    small = [(d, t) for d, t in rows if len(t) < 30_000]
+    want = brute_overlaps(small, items)
+    assert {k: v for k, v in found.items() if k[0] in dict(small)} == want
+    assert {k: v for k, v in found.items() if k[0] in (1, 2)} == {(1, 1): (30, 0), (1, 4): (60, 0), (1, 5): (39, 0), (2, 2): (20, 0)} | {k: v for k, v in brute_overlaps([(2, "a b " * 60)], items).items() if k[1] == 3}
+
+
+def test_op8_least_words(spark):
+    items = spark.createDataFrame([(n, " ".join(f"q{n}w{k}" for k in range(n))) for n in range(1, 6)], "item_id long, text string")
+    df = spark.createDataFrame([(n, f"x y q{n}w" + f" q{n}w".join(map(str, range(n))) + " z", None, None, None) for n in range(1, 6)], DOC)
+    for least in range(1, 6):
+        got = decontaminate.overlaps(df, items, least_words=least).collect()
+        assert {(r["doc_id"], r["item_id"], r["equal_words"], r["first_word"]) for r in got} == {(n, n, n, 2) for n in range(least, 6)}
+
+
 # 9
 
 
