@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re._constants as ops
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -112,23 +113,31 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return hit.filter(F.size("got") == F.col("needed")).groupBy("doc_id", "text_key").agg(F.collect_set("kind").alias("rules"))
 
 
+def _running(x: Column) -> Column:
+    """The sums of x's elements (bigints) up to each place: at every step each element takes what stands so far before it, twice
+    as far each time, so n elements take log n steps."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda far: far < F.size(x))
+    return F.aggregate(steps, x, lambda sums, far: F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - far), F.lit(0).cast("bigint"))))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _matches(rule: Rule) -> Column:
     """array<struct<start, rank, kind, end>> of a rule's matches in text: the pieces between matches tell where they are."""
     rank = RULES.index(rule) if rule in RULES else len(RULES)
-    whole, wanted = (F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(g)) for g in (0, rule.group))
-    gaps = F.split("text", rule.pattern, -1)
-    rows = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), wanted.alias("wanted"))
-    item = "struct<at:bigint,found:array<struct<start:bigint,rank:int,kind:string,end:bigint>>>"
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>").alias("found")).cast(item)
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
-        span = F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.cast("bigint").alias("end"))
-        grown = F.when(F.length(x["wanted"]) >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct(end.cast("bigint").alias("at"), grown.alias("found")).cast(item)
-
-    return F.aggregate(rows, empty, step, lambda acc: acc["found"])
+    whole, wanted = (F.transform(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(g)), F.length) for g in (0, rule.group))
+    gaps = F.transform(F.split("text", rule.pattern, -1), F.length)
+
+    def spans(found: Column) -> Column:
+        ends = _running(F.zip_with(found["gaps"], found["whole"], lambda a, b: (a + F.coalesce(b, F.lit(0))).cast("bigint")))
+        # the last gap has no match after it, so no wanted length either
+        long = F.filter(F.arrays_zip(found["whole"].alias("whole"), found["wanted"].alias("wanted"), ends.alias("end")), lambda m: m["wanted"] >= rule.least)
+        return F.transform(long, lambda m: F.struct((m["end"] - m["whole"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), m["end"].alias("end")))
+
+    return _with(F.struct(gaps.alias("gaps"), whole.alias("whole"), wanted.alias("wanted")), spans)
 
 
 def _written(spans: Column) -> Column:

@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -442,6 +443,24 @@ def test_op6_base(spark):
         assert [got[d][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(w[2] == k for w in want) for k in ("assign", "access", "hex")]
 
 
+def test_op6_many_matches(spark):
+    """Very many matches in a text, of several kinds, take time with their number and not its square."""
+    rng, digest = random.Random(23), lambda r: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    many = " é".join(digest(rng) + rng.choice(["", " token=abcdefgh1", " AKIA" + "Z" * 20, " pass", " secret: x"]) for _ in range(32_000))
+    few = "0" * 23 + "g" + "1" * 24
+    began = time.monotonic()
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame([(1, many, None, None, None), (2, few, None, None, None)], DOC)).collect()}
+    assert time.monotonic() - began < 60
+    want = sorted((m.start(), i, rule.kind, m.end()) for i, rule in enumerate(secrets.RULES) for m in re.finditer(rule.pattern, many, re.A) if len(m[rule.group]) >= rule.least)
+    assert len(want) > 40_000 and got[1] == ",".join(f"{k}:{a}:{b}" for a, _, k, b in want) and got[2] == "hex:24:48"
+
+
+def test_op6_running_sums(spark):
+    rows = [[], [5], [1, 2], list(range(1, 1001)), [0] * 7 + [3]]
+    got = spark.createDataFrame([(n, r) for n, r in enumerate(rows)], "n long, x array<bigint>").select("n", secrets._running(F.col("x")).alias("s")).collect()
+    assert {r["n"]: r["s"] for r in got} == {n: list(itertools.accumulate(r)) for n, r in enumerate(rows)}
+
+
 # 8
 
 
