@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cuelake.functions import hi, style, text
+from cuelake.operators.kept import durable
 from cuelake.options import FixOptions
 
 
@@ -13,15 +14,14 @@ def _in_file() -> WindowSpec:
     return Window.partitionBy("file_id").orderBy("pos")
 
 
-def normalized(df: DataFrame, options: FixOptions, active: Column | None = None) -> DataFrame:
-    """Clean, style tags, hearing-impaired cues, decorative lines, clean; in that order. Rows that aren't active keep their text."""
+def normalized(df: DataFrame, options: FixOptions) -> DataFrame:
+    """Clean, style tags, hearing-impaired cues, decorative lines, clean; in that order."""
     c = text.clean_text(F.col("text"))
     if options.strip_style:
         c = style.strip_style(c)
     if options.strip_hi:
         c = hi.strip_hi(c, options.strip_hi_mode)
-    c = text.clean_text(text.drop_decorative(c))
-    return df.withColumn("text", c if active is None else F.when(active, c).otherwise(F.col("text")))
+    return df.withColumn("text", text.clean_text(text.drop_decorative(c)))
 
 
 def skip_translator(df: DataFrame) -> DataFrame:
@@ -48,20 +48,12 @@ def dedup_cues(df: DataFrame) -> DataFrame:
     return df.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").drop("_nth")
 
 
-def survivors(df: DataFrame, options: FixOptions, active: Column | None = None) -> DataFrame:
-    """The rows that the merge sees, with normalised text, renumbered by pos within each file. active: whether a row's file
-    is meant (equal for all its rows); the rows of other files stay as they are."""
-    if active is None:
-        out = normalized(df, options)
-        if options.skip_translator:
-            out = skip_translator(out)
-        out = dedup_cues(drop_inverted(drop_empty(mark_first(out)))).drop("is_first")
-        return out.withColumn("pos", F.row_number().over(_in_file()).cast("long"))
-    out = normalized(df, options, active)
-    if options.skip_translator:
-        credit = active & text.is_translator_credit(F.col("text"))
-        out = out.withColumn("_begun", F.max(~credit).over(_in_file().rowsBetween(Window.unboundedPreceding, 0))).filter("_begun").drop("_begun")
-    out = mark_first(out).filter(~active | F.col("is_first") | ((F.col("text") != "") & (F.col("from_ms") <= F.col("to_ms"))))
-    same = Window.partitionBy("file_id", "is_first", "from_ms", "to_ms", "text").orderBy("pos")
-    out = out.withColumn("_nth", F.row_number().over(same)).filter(~active | (F.col("_nth") == 1)).drop("_nth", "is_first")
-    return out.withColumn("pos", F.row_number().over(_in_file()).cast("long"))
+def survivors(df: DataFrame, options: FixOptions) -> DataFrame:
+    """The rows that the merge sees, with normalised text: without leading credits, and after a file's first cue without empty,
+    inverted and repeated ones. A file's first cue is an aggregate that goes back to the rows by join, so that no file needs
+    one task; the normalised rows are kept for it."""
+    rows = durable(normalized(df, options))
+    counts = ~text.is_translator_credit(F.col("text")) if options.skip_translator else F.lit(True)
+    firsts = rows.groupBy("file_id").agg(F.min(F.when(counts, F.col("pos"))).alias("_first"))
+    out = rows.join(firsts, "file_id").filter(F.col("pos") >= F.col("_first")).withColumn("is_first", F.col("pos") == F.col("_first"))
+    return dedup_cues(drop_inverted(drop_empty(out))).drop("is_first", "_first")

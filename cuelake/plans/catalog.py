@@ -260,7 +260,7 @@ def _twice_sql(rows: str) -> str:
 
 @_query("absorb_short", f"WITH RECURSIVE {_fold_sql('m1', _survivor_sql(_S0))} SELECT file_id, CAST(pos AS BIGINT) AS pos, from_ms, to_ms, text, out_of_order FROM m1")
 def _absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merged(filters.survivors(_credited(spark, sf_dir), FixOptions()))
+    return merge.merged(filters.survivors(_credited(spark, sf_dir), FixOptions())).drop("nth")
 
 
 _CALM = f"SELECT * FROM ({_S0}) z WHERE to_ms - from_ms >= {merge.SHORT_MS}"
@@ -276,7 +276,7 @@ GROUP BY file_id, isl
 @_query("overlap_merge", _ISLANDS)
 def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     calm = _credited(spark, sf_dir).filter((F.col("to_ms") - F.col("from_ms") >= merge.SHORT_MS) & (F.col("text") != ""))
-    return merge.merged(order.sort_cues(calm))
+    return merge.merged(order.sort_cues(calm)).drop("nth")
 
 
 @_query("out_of_order_files", f"WITH RECURSIVE {_fold_sql('m1', _survivor_sql(_S0))} SELECT file_id, bool_or(out_of_order) AS out_of_order, count(*) AS cues FROM m1 GROUP BY file_id")

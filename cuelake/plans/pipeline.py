@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.operators import merge, order
+from cuelake.operators.kept import durable
 from cuelake.operators.translate import translate  # noqa: F401
 from cuelake.options import FixOptions
 
@@ -14,9 +15,10 @@ CUE = ["file_id", "pos", "idx", "from_ms", "to_ms", "text"]
 
 def fix(df: DataFrame, options: FixOptions | None = None, mode: str = "FAILFAST") -> DataFrame:
     """Merge pass; files whose cues came out of order are sorted and merged once more, normalisation included; then the
-    shift. One line of steps without branches: the input is read once, and files in order go through the second pass unchanged."""
+    shift. The input is read once: the first pass is kept for the second."""
     options = options or FixOptions()
-    return order.shift_time(merge.merge_again(merge.merge_cues(df, options), options).select(*CUE), options.shift_ns, mode)
+    once = durable(merge.merge_cues(df, options))
+    return order.shift_time(merge.merge_again(once, options).select(*CUE), options.shift_ns, mode)
 
 
 def fix_files(files: DataFrame, options: FixOptions | None = None, mode: str = "FAILFAST") -> DataFrame:

@@ -61,20 +61,56 @@ def test_shift(spark):
     assert order.shift_time(cues(spark, rows), -2 * 10**9, "PERMISSIVE").count() == 0
 
 
-def test_windows_give_what_the_fold_gives(spark):
-    rng, rows = random.Random(3), []
-    for f in range(60):
+def odd_files(rng, files, most):
+    """Files with cues that overlap, repeat shortly, have no text or come late, some long."""
+    rows = []
+    for f in range(files):
         at = 0
-        for p in range(rng.randint(1, 25)):
+        for p in range(rng.randint(1, most)):
             at += rng.choice([0, 100, 500, 2000]) if f % 2 else rng.choice([-3000, 0, 500, 2000])
-            rows.append((f"f{f}", p, p + 1, at, at + (rng.choice([200, 900, 3000]) if f % 3 else rng.choice([50, 900, 3000])), rng.choice("abc")))
-    df = filters.survivors(spark.createDataFrame(rows, CUE), FixOptions())
-    got = merge.merged(df).toPandas()
+            rows.append((f"f{f}", 3 * p, p + 1, at, at + (rng.choice([200, 900, 3000]) if f % 3 else rng.choice([50, 100, 900, 3000])), "" if p == 0 and f % 4 == 0 else rng.choice(["a", "b", "c", "a b"])))
+    return rows
+
+
+@pytest.mark.parametrize(("lead", "pieces"), [(64, None), (64, 13), (2, 40), (3, 7)])
+def test_pieces_give_what_the_fold_gives(spark, lead, pieces):
+    """Files cut into pieces at any place, with leads that suffice at once or don't."""
+    rng = random.Random(lead + (pieces or 0))
+    df = filters.survivors(spark.createDataFrame(odd_files(rng, 40, 25) + [("long", p, p, 100 * p, 100 * p + 50, rng.choice("abcdefgh")) for p in range(400)], CUE), FixOptions())
+    got = merge.merged(df, lead, pieces).toPandas()
     for name, part in df.toPandas().groupby("file_id"):
         part = part.sort_values("pos")
         want, late = merge.fold(zip(part["from_ms"], part["to_ms"], part["text"], strict=True))
         mine = got[got["file_id"] == name].sort_values("pos")
         assert mine[["from_ms", "to_ms", "text"]].to_numpy().tolist() == want and (mine["out_of_order"] == late).all()
+        assert mine["pos"].tolist() == list(range(1, len(want) + 1))
+        told = [bool(t.strip()) for _, _, t in want]
+        assert [n for n, t in zip(mine["nth"], told, strict=True) if t] == list(range(1, sum(told) + 1))
+
+
+def test_one_file_over_many_tasks(spark):
+    """No task holds more of a file than its piece, and no plan has a window or a group of a file's cues."""
+    rng = random.Random(9)
+    rows = [("one", p, p + 1, 300 * p + rng.choice([0, 0, -2000]), 300 * p + rng.choice([100, 250, 700]), rng.choice(["x", "y", "x y", "z"])) for p in range(3000)]
+    df = spark.createDataFrame(rows, CUE)
+    out = merge.merged(filters.survivors(df, FixOptions()), pieces=8)
+    per_task = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) >= 2
+    tasks = spark.createDataFrame(rows, CUE).repartitionByRange(8, "file_id", "pos").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) < 800
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
+    want, late = merge.fold((r["from_ms"], r["to_ms"], r["text"]) for r in filters.survivors(df, FixOptions()).orderBy("pos").collect())
+    assert [[r["from_ms"], r["to_ms"], r["text"]] for r in out.orderBy("pos").collect()] == want
+    assert out.filter("out_of_order").count() == (len(want) if late else 0)
+
+
+def test_first_file_without_text(spark):
+    """An island without text, cut from what follows, isn't counted."""
+    rows = [("f", 0, 1, 0, 1000, ""), ("f", 1, 2, 2000, 3000, "a"), ("f", 2, 3, 4000, 5000, "b"), ("g", 0, 1, 0, 1000, ""), ("g", 1, 2, 500, 3000, "a"), ("g", 2, 3, 4000, 5000, "b")]
+    for pieces in (1, 3, 6):
+        got = merge.merged(filters.survivors(spark.createDataFrame(rows, CUE), FixOptions()), 2, pieces).filter("text <> ''").orderBy("file_id", "nth").collect()
+        assert [(r["file_id"], r["pos"], r["nth"], r["text"]) for r in got] == [("f", 2, 1, "a"), ("f", 3, 2, "b"), ("g", 1, 1, "\na"), ("g", 2, 2, "b")]
 
 
 def test_numbering(spark):
@@ -242,6 +278,14 @@ def test_numbered(spark):
     assert [(r["file_id"], r["idx"], r["was_misnumbered"]) for r in order.numbered(df).orderBy("file_id", "pos").collect()] == [("f", 1, False), ("f", 2, False), ("g", 1, True), ("g", 2, True)]
 
 
-def test_plan_reads_once(spark):
-    plan = pipeline.fix(cues(spark, [(0, 1, "a")]))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan ExistingRDD") <= 1 and plan.count("Exchange hashpartitioning") <= 3
+def test_input_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    df = cues(spark, [(1000, 2000, "a"), (3000, 4000, "b"), (0, 500, "c")])
+    assert pipeline.fix(df.mapInPandas(count, CUE)).count() == 3
+    assert seen.value == 3
