@@ -26,6 +26,8 @@ from cuelake.options import FixOptions
 SHORT_MS = 150
 #: First cues that a piece tells at most, at first.
 LEAD = 64
+#: Rows that a task hands on at once.
+ROWS = 4096
 _OUT = "file_id string, pos long, nth long, from_ms long, to_ms long, text string"
 _TOLD = "file_id string, piece int, cut boolean, lead array<struct<from_ms:long,to_ms:long,text:string,opens:boolean,late:boolean>>, more boolean, opened long, late boolean, from_ms long, to_ms long, text string"
 
@@ -81,16 +83,23 @@ def _summaries(pieces: DataFrame, most: int) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file_id, now, first = None, None, True
+        rows: list[tuple] = []
+
+        def tell(cut: bool) -> None:
+            # of a file that isn't cut only that it is out of order matters
+            rows.append((file_id, piece, cut, lead if cut else [], more, opened, late, now.from_ms, now.to_ms, now.text if cut else ""))
 
-        def told(cut: bool) -> pd.DataFrame:
-            row = (file_id, piece, cut, lead, more, opened, late, now.from_ms, now.to_ms, now.text)
-            return pd.DataFrame([row], columns=["file_id", "piece", "cut", "lead", "more", "opened", "late", "from_ms", "to_ms", "text"])
+        def told() -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["file_id", "piece", "cut", "lead", "more", "opened", "late", "from_ms", "to_ms", "text"])
 
         for piece, name, cue in _rows(parts):
             if name != file_id:
                 if now is not None:
                     if first or late or any(x["late"] for x in lead):
-                        yield told(first)
+                        tell(first)
+                    if len(rows) >= ROWS:
+                        yield told()
+                        rows.clear()
                     first = False
                 file_id, now = name, None
                 lead, more, opened, late, closed = [], False, 0, False, False
@@ -108,7 +117,8 @@ def _summaries(pieces: DataFrame, most: int) -> DataFrame:
                 late |= behind
             now = (now.then(*cue) if now else Open(*cue)) if begins else now.with_cue(*cue)
         if now is not None:
-            yield told(True)
+            tell(True)
+            yield told()
 
     return pieces.mapInPandas(run, _TOLD)
 

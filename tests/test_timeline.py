@@ -226,6 +226,37 @@ def test_batches(spark):
         batches.payloads(batches.build_batches(df.withColumn("idx", F.lit(0)), 70)).collect()
 
 
+def greedy(sizes, most):
+    out, batch, filled = [], 0, 0
+    for n in sizes:
+        if filled and filled + n > most:
+            batch, filled = batch + 1, 0
+        filled += n
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 7, 256])
+def test_batches_by_doubling(spark, stretch):
+    """Files of one stretch and of many, with cues beyond the limit, beyond a stretch, and a last one that goes on a batch."""
+    rng, most = random.Random(stretch), 120
+    texts = {f"f{n}": ["x" * rng.choice([1, 5, 20, 60, 110, 400 if n % 3 else 2]) for _ in range(rng.randint(1, 60))] for n in range(25)}
+    texts["long"] = ["y" * rng.randint(1, 70) for _ in range(900)]
+    texts["tail"] = ["z" * 60] * 13 + ["z"]
+    rows = [(f, 5 * i, i + 1, 0, 1, t) for f, ts in texts.items() for i, t in enumerate(ts)]
+    got = {}
+    for r in batches.build_batches(spark.createDataFrame(rows, CUE).repartition(5), most, stretch).collect():
+        got.setdefault(r["file_id"], {})[r["idx"]] = (r["batch_id"], r["text"])
+    for f, ts in texts.items():
+        sizes = [len('{"idx":,"text":""}') + len(str(i + 1)) + len(t) + 1 for i, t in enumerate(ts)]
+        assert [got[f][i + 1] for i in range(len(ts))] == list(zip(greedy(sizes, most), ts, strict=True)), f
+
+
+def test_batches_without_python(spark):
+    plan = batches.build_batches(cues(spark, [(0, 1, "a")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_translate(spark):
     def reply_upper(options):
         import json
