@@ -21,7 +21,7 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _powers(below: Column, down: bool = False) -> Column:
-    return F.filter(F.array(*[F.lit(p) for p in (_POWERS[::-1] if down else _POWERS)]), lambda p: p < below)
+    return F.filter(F.expr(f"array({', '.join(map(str, _POWERS[::-1] if down else _POWERS))})"), lambda p: p < below)
 
 
 def _at_most(ends: Column, bound: Column) -> Column:
@@ -91,9 +91,15 @@ def build_batches(cues: DataFrame, max_batch_chars: int = 7000, stretch: int = S
     by = Window.partitionBy("file_id").orderBy("pos")
     sized = cues.select(F.col("file_id").cast("string").alias("file_id"), "pos", F.col("idx").cast("long").alias("idx"), "text", item_size(F.col("idx"), F.col("text")).cast("long").alias("size"))
     placed = sized.withColumn("starts", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    placed = durable(placed.withColumn("stretch", F.floor(F.col("starts") / F.lit(stretch * max_batch_chars)).cast("long")))
+    width = stretch * max_batch_chars
+    # an item takes six bytes for one of its text at most, and less than 64 besides
+    most = cues.groupBy("file_id").agg(F.sum(F.octet_length("text") * 6 + 64).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= width:
+        placed = placed.withColumn("stretch", F.lit(0).cast("long"))
+    else:
+        placed = durable(placed.withColumn("stretch", F.floor(F.col("starts") / F.lit(width)).cast("long")))
     stretches = placed.groupBy("file_id", "stretch").agg(F.sort_array(F.collect_list(F.struct("starts", "size", "idx", "text"))).alias("rows"))
-    if placed.filter("stretch > 0").isEmpty():
+    if most <= width:
         entered = stretches.withColumns({"entry": F.lit(0), "before": F.lit(0).cast("long")})
     else:
         found = _entries(stretches, max_batch_chars)
