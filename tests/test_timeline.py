@@ -2,11 +2,13 @@
 
 import random
 import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from cuelake.operators import batches, filters, merge, order
+from cuelake.operators import translate as translating
 from cuelake.operators.translate import run_batch, translate
 from cuelake.operators.client import Limiter
 from cuelake.functions.wire import WireError
@@ -273,6 +275,77 @@ def test_translate(spark):
             run_batch([1], "p", lambda p, b=bad: b, Limiter(0), 2, lambda s: None)
 
 
+def numbered_payloads(spark, n):
+    rows = [(f"k{i:03}", f"f{i:03}", 0, '{"idx":%d,"text":"t%d"}' % (i + 1, i)) for i in range(n)]
+    return spark.createDataFrame(rows, "key string, file_id string, batch_id long, payload string")
+
+
+def test_pool_keeps_one_rate(spark):
+    """Calls of four tasks are spaced by one rate, also when only one of them has work left."""
+    options = TranslateOptions("es", max_workers=4, rps=40.0)
+
+    def service(options):
+        return lambda payload: payload.replace(':"t', f':"{time.time()} ')
+
+    task = F.when(F.substring("file_id", 2, 3).cast("int") < 20, F.substring("file_id", 2, 3).cast("int") % 4).otherwise(3)
+    got = translating.outcomes(numbered_payloads(spark, 40), options, service, task, 4).collect()
+    assert {r["status"] for r in got} == {"done"} and sorted(r["slot"] for r in got) == list(range(40))
+    began = [float(r["items"][0]["text"].split()[0]) for r in sorted(got, key=lambda r: r["slot"])]
+    gaps = [b - a for a, b in zip(began, began[1:], strict=False)]
+    assert min(gaps) > 0.015 and began[-1] - began[0] >= 39 / 40 - 0.02
+    assert max(r["round"] for r in got if r["task"] == 0) == 1 and max(r["round"] for r in got if r["task"] == 3) == 6
+
+
+def test_first_failure_stops_all(spark):
+    options = TranslateOptions("es", max_workers=4, rps=0)
+
+    def service(options):
+        def call(payload):
+            if '"t13"' in payload:
+                raise ValueError("refused")
+            return payload
+
+        return call
+
+    got = {r["file_id"]: r for r in translating.outcomes(numbered_payloads(spark, 80), options, service, F.substring("file_id", 2, 3).cast("int") % 4, 2).collect()}
+    assert len(got) == 80 and got["f013"]["status"] == "failed" and got["f013"]["error"] == "ValueError: refused"
+    # f013 is its task's fourth; each round has two of each task
+    want = {f"f{n:03}": "failed" if n == 13 else "done" if n < 16 else "cancelled" for n in range(80)}
+    assert {f: r["status"] for f, r in got.items()} == want
+    assert all((r["slot"] is None) == (r["status"] == "cancelled") for r in got.values())
+
+
+def test_a_second_run_asks_what_is_left(spark, tmp_path):
+    """Answers outlive a failed run; equal payloads are asked once, and waves end when nothing is left."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def service(bad):
+        def make(options):
+            def call(payload):
+                (asked / uuid.uuid4().hex).write_text(payload)
+                if bad and "stop" in payload:
+                    raise ValueError("refused")
+                return payload.replace("say", "dicen")
+
+            return call
+
+        return make
+
+    rows = [(f"f{n:02}", 0, 1, 0, 1, "say stop" if n == 30 else f"say {n // 2}") for n in range(40)]
+    df = spark.createDataFrame(rows, CUE)
+    options, ledger = TranslateOptions("es", max_workers=2, rps=0), str(tmp_path / "ledger")
+    with pytest.raises(translating.BatchFailed, match="refused"):
+        translate(df, options, service(True), ledger).collect()
+    first = [p.read_text() for p in asked.iterdir()]
+    got = {r["file_id"]: r["text"] for r in translate(df, options, service(False), ledger, wave=4).collect()}
+    assert got == {r[0]: r[5].replace("say", "dicen") for r in rows}
+    every = [p.read_text() for p in asked.iterdir()]
+    assert len(set(every)) == 21 and sorted(every) == sorted([*set(every), *[p for p in first if "stop" in p]])
+    assert translate(df, options, service(True), ledger).count() == 40 and len(list(asked.iterdir())) == len(every)
+    assert translate(df, TranslateOptions("fr", rps=0), service(False), ledger).count() == 40 and len(list(asked.iterdir())) == len(every) + 21
+
+
 def test_stream(spark, tmp_path):
     from cuelake.streaming import cues as stream
 
