@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import hi, language, layout, style, text, timing, wire
 from cuelake.operators import batches, client, filters, merge, order
+from cuelake.operators import translate as translating
+from cuelake.operators.kept import durable, shared_root
 from cuelake.options import FixOptions, TranslateOptions
 from cuelake.plans import pipeline
 from cuelake.plans.views import CUES_SQL, DEC_SQL, cues, dec
@@ -412,9 +415,8 @@ def _ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("file_id", "item.idx", "item.text")
 
 
-_W = "left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 40)"
-_BROKEN = f"SELECT file_id, idx, (CAST(file_id AS BIGINT) + idx) % 8 AS kind, {_W} AS w FROM ({DEC_SQL}) d"
-#: By kind: the reply around I (the cue's idx), J (the next) and W (its words), and the items that are read from it.
+_BROKEN = f"SELECT file_id, idx, (CAST(file_id AS BIGINT) + idx) % 8 AS kind, text AS w FROM ({DEC_SQL}) d"
+#: By kind: the reply around I (the cue's idx), J (the next) and W (its text), and the items that are read from it.
 _REPLIES = (
     ('```json\n{"idx":I,"text":"W"}\n```', [("idx", "w")]),
     ('[{"idx":I,"text":"W"},{"idx":J,"text":"b"}]', [("idx", "w"), ("idx + 1", "'b'")]),
@@ -430,7 +432,9 @@ _REPLIES = (
 @_query("parse_ndjson_broken", " UNION ALL ".join(f"SELECT file_id, idx, CAST({i} AS BIGINT) AS item_idx, {t} AS item_text FROM ({_BROKEN}) b WHERE kind = {n}" for n, (_, items) in enumerate(_REPLIES) for i, t in items))
 def _broken_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies as models break them: fences, arrays, chatter, bare quotes, numbers beyond 64 bits, lone surrogates, open ends."""
-    rows = dec(spark, sf_dir).select("file_id", "idx", F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(40)).alias("w"))
+    # the text as it stands between quotes
+    written = F.to_json(F.struct("text"))
+    rows = dec(spark, sf_dir).select("file_id", "idx", F.substring(written, F.lit(10), F.length(written) - 11).alias("w"))
     reply = F.get(F.array(*[F.lit(r) for r, _ in _REPLIES]), ((F.col("file_id").cast("long") + F.col("idx")) % 8).cast("int"))
     for mark, value in (("I,", F.concat(F.col("idx").cast("string"), F.lit(","))), ("J,", F.concat((F.col("idx") + 1).cast("string"), F.lit(","))), ("W", F.col("w"))):
         reply = F.replace(reply, F.lit(mark), value)
@@ -469,7 +473,21 @@ def _check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Small strings
 
-_on_dec("strip_code_fences", lambda c: text.strip_code_fences(F.concat(F.lit(" ```srt\n"), c, F.lit("\n``` end"))), "text || chr(10)")
+#: By idx: a whole fence, one that isn't closed, one that doesn't begin the text, and one with another within.
+_FENCED = (("' ```srt\n'", "'\n``` end'"), ("'```\n'", "''"), ("''", "'\n```'"), ("'```json extra\n'", "'\n```\nmore``` '"))
+_UNFENCED = (("''", "'\n'"), ("''", "''"), ("''", "'\n```'"), ("''", "'\n```\nmore'"))
+
+
+def _by_idx(frames: tuple[tuple[str, str], ...], x: str) -> str:
+    return "CASE idx % 4 " + " ".join(f"WHEN {n} THEN concat({a}, {x}, {b})" for n, (a, b) in enumerate(frames)) + " END"
+
+
+@_query("strip_code_fences", f"SELECT file_id, idx, {_by_idx(_UNFENCED, 't')} AS text FROM (SELECT file_id, idx, {_TRIM.format('text')} AS t FROM ({DEC_SQL}) d) e")
+def _fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trimmed = dec(spark, sf_dir).withColumn("t", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")))
+    return trimmed.select("file_id", "idx", text.strip_code_fences(F.expr(_by_idx(_FENCED, "t"))).alias("text"))
+
+
 _WHOLE = "left({0}, list_max(list_filter(range(0, 41), lambda n: strlen(left({0}, n)) <= {1})))"
 _ABBREVIATED = f"CASE WHEN strlen(t) <= {{1}} THEN t ELSE {_WHOLE.format('t', '{2}')} || {{3}} END"
 _on_dec("abbreviate", lambda c: text.abbreviate(c, 40), None)
@@ -507,48 +525,140 @@ def _label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", language.language_tag(raw).alias("tag"), language.language_label(raw).alias("label"))
 
 
-@_query("backoff", "SELECT CAST(n AS BIGINT) AS attempt, least(10.0, 0.5 * pow(2, n - 1))::DOUBLE AS seconds FROM range(1, 9) t(n)")
-def _backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, client.backoff(n, jitter=0)) for n in range(1, 9)], "attempt long, seconds double")
+# The client and the pool. The services are functions that answer by the payload's length.
+
+_PAYLOADS = ORACLES["ndjson_payload"]
+_BAD = 101, 7
+
+
+def _keyed(spark: SparkSession, sf_dir: str, options: TranslateOptions) -> DataFrame:
+    return translating.keyed(_payload(spark, sf_dir), options)
+
 
+#: By the payload's length: what the service answers, try by try, before it answers well, and the seconds that are waited.
+_ANSWERS = ((), ((429, "3"),), ((503, None), (503, None)), ((500, "soon"),), ((429, None), (429, None), (429, "-1")), ((200, None),))
+_WAITED = (0.0, 3.0, 1.5, 0.5, 3.5, 0.5)
+_URL = "https://api.openai.com/v1/chat/completions"
 
-# The client's rules, over cases that the driver goes through.
 
-_STATUSES = "SELECT CAST(n AS BIGINT) AS status, n = 429 OR n BETWEEN 500 AND 599 AS retryable, n IN (401, 403, 429) AS rejected FROM range(100, 700) t(n)"
+def _service(options: TranslateOptions) -> Callable[[str], str]:
+    """A ChatClient whose first key is refused; a reply's texts tell how the call went."""
 
+    def call(payload: str) -> str:
+        waits: list[float] = []
+        sent: list[tuple[str, str]] = []
 
-@_query("http_status", _STATUSES)
-def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, client.is_retryable_status(n), client.is_rejected_status(n)) for n in range(100, 700)], "status long, retryable boolean, rejected boolean")
+        def send(url: str, key: str, body: bytes, timeout: float) -> tuple[int, dict[str, str], str]:
+            sent.append((url, key))
+            if key == "first":
+                return 401, {}, "no such key"
+            said = json.loads(body)["messages"][1]["content"].partition("Input:\n")[2]
+            bad = _ANSWERS[len(said.encode()) % len(_ANSWERS)]
+            turn = sum(k == key for _, k in sent)
+            status, after = bad[turn - 1] if turn <= len(bad) else (200, None)
+            content = said if turn > len(bad) else " "
+            return status, {"Retry-After": after} if after else {}, json.dumps({"choices": [{"message": {"content": content}}]})
 
+        reply = client.ChatClient(options, send, waits.append, jitter=0)(payload)
+        told = json.dumps({"calls": len(sent), "waited": sum(waits), "url": sent[-1][0], "key": sent[-1][1]})
+        return "\n".join(json.dumps({"idx": i, "text": told}) for i, _ in wire.parse_reply(reply))
 
-def _cases(name: str, kind: str, pairs: list[tuple[str, object]], function: Callable[[str], object]) -> None:
-    """A query over (given, got), whose SQL states what is to be got."""
-    sql_kind = {"double": "DOUBLE", "long": "BIGINT", "string": "VARCHAR"}[kind]
-    wanted = ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in pairs)
-    _query(name, f"SELECT given, CAST(got AS {sql_kind}) AS got FROM (VALUES {wanted}) v(given, got)")(lambda spark, sf_dir: spark.createDataFrame([(a, function(a)) for a, _ in pairs], f"given string, got {kind}"))
+    return call
+
+
+@_query("client_calls", f"SELECT file_id, batch_id, CAST(CASE strlen(payload) % {len(_ANSWERS)} " + " ".join(f"WHEN {n} THEN {2 * len(a) + 2}" for n, a in enumerate(_ANSWERS)) + f" END AS BIGINT) AS calls, CAST(CASE strlen(payload) % {len(_ANSWERS)} " + " ".join(f"WHEN {n} THEN {w}" for n, w in enumerate(_WAITED)) + f" END AS DOUBLE) AS waited, '{_URL}' AS url, 'second' AS key FROM ({_PAYLOADS}) p")
+def _client_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every batch through the client: keys that give way, statuses that pass, waits that the service asks for or that double."""
+    options = TranslateOptions("es", model="gpt-x", api_keys=" first, ,second", rps=0)
+    got = translating.outcomes(_keyed(spark, sf_dir, options), options, _service)
+    told = F.from_json(F.get("items", F.lit(0))["text"], "calls long, waited double, url string, key string")
+    return got.select("file_id", "batch_id", told.alias("t")).select("file_id", "batch_id", "t.*")
+
+
+@_query("envelope", f"SELECT file_id, idx, CASE (CAST(file_id AS BIGINT) + idx) % 5 WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE {_TRIM.format('text')} END AS content FROM ({DEC_SQL}) d")
+def _envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat completions around whole texts: one or two choices, extra keys, none, and broken ones."""
+    choice = lambda x: F.struct(F.struct(F.lit("assistant").alias("role"), x.alias("content")).alias("message"), F.lit("stop").alias("finish_reason"))
+    said = F.concat(F.lit(" \n"), F.col("text"), F.lit("\n"))
+    bodies = [F.to_json(F.struct(F.array(choice(said)).alias("choices"))), F.to_json(F.struct(F.lit("x").alias("id"), F.array(choice(said), choice(F.lit("other"))).alias("choices"))), F.to_json(F.struct(F.array(choice(said)).alias("choices"), F.lit(1).alias("usage"))), F.lit('{"choices":[]}'), F.concat(F.lit('{"choices":'), F.col("text"))]
+    body = F.get(F.array(*bodies), ((F.col("file_id").cast("long") + F.col("idx")) % len(bodies)).cast("int"))
+    return dec(spark, sf_dir).select("file_id", "idx", wire.envelope_content(body).alias("content"))
 
 
-def _or_none(function: Callable) -> Callable:
-    def call(x: str):
-        try:
-            return function(x)
-        except ValueError:
-            return None
+def _pool_sql(rows: str, size: int) -> str:
+    """CTEs that end with `told`: rows (file_id, batch_id, payload) with task, round, slot and status, in rounds of size."""
+    return f"""
+p AS ({rows}),
+o AS (SELECT *, (CAST(file_id AS BIGINT) + batch_id) % 4 AS task, strlen(payload) % {_BAD[0]} = {_BAD[1]} AS bad FROM p),
+q AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY file_id, batch_id) - 1 AS place FROM o),
+r AS (SELECT *, place // {size} AS round, row_number() OVER (ORDER BY place // {size}, task, place) - 1 AS slot, min(CASE WHEN bad THEN place // {size} END) OVER () AS stop FROM q),
+f AS (SELECT *, min(CASE WHEN bad AND round = stop THEN place END) OVER (PARTITION BY task) AS first_bad FROM r),
+told AS (SELECT file_id, batch_id, payload, task, round, slot, CASE WHEN stop IS NULL OR round < stop THEN 'done' WHEN round > stop THEN 'cancelled' WHEN first_bad IS NULL OR place < first_bad THEN 'done' WHEN place = first_bad THEN 'failed' ELSE 'cancelled' END AS status FROM f)"""
+
+
+def _refusing(options: TranslateOptions) -> Callable[[str], str]:
+    def call(payload: str) -> str:
+        if len(payload.encode()) % _BAD[0] == _BAD[1]:
+            raise ValueError("refused")
+        return payload
 
     return call
 
 
-_cases("retry_after", "double", [("3", 3.0), (" 12 ", 12.0), ("0", 0.0), ("-1", 0.0), ("1.5", 0.0), ("Fri, 31 Dec 1999", 0.0), ("", 0.0)], client.retry_after)
-_cases("join_url", "string", [("http://h", "http://h/v1/x"), ("http://h/", "http://h/v1/x"), (" http://h//a/ ", "http://h/a/v1/x"), ("https://h:8/a/../b", "https://h:8/b/v1/x"), ("", None), ("///", None)], _or_none(lambda b: client.join_url(b, "/v1/x")))
-_cases("base_url", "string", [("gpt-5", "https://api.openai.com"), (" GPT-4o ", "https://api.openai.com"), ("gemini-2", "https://generativelanguage.googleapis.com/v1beta/openai"), ("other", None), ("", None)], _or_none(client.base_url))
-_cases("parse_duration", "long", [("500ms", 500_000_000), ("-2s", -2_000_000_000), ("1s250ms", 1_250_000_000), ("0", 0), ("1.5h", 5_400_000_000_000), ("+3us", 3000), ("", None), ("5", None), ("1x", None)], _or_none(timing.parse_duration))
-_cases("hi_mode", "string", [("safe", "safe"), (" Standard-PLUS ", "standard-plus"), ("", "standard"), ("loud", None)], _or_none(lambda m: FixOptions(strip_hi_mode=m).strip_hi_mode))
-_cases("envelope", "string", [('{"choices":[{"message":{"content":" ok "}}]}', "ok"), ('{"choices":[{"message":{"content":"a"}},{"message":{"content":"b"}}]}', "a"), ('{"choices":[]}', None), ('{"choices":[{"message":{"content":" "}}]}', None), ("{", None), ("[]", None)], lambda x: _said(x))
+def _dealt() -> Column:
+    return F.pmod(F.col("file_id").cast("long") + F.col("batch_id"), F.lit(4))
+
+
+@_query("pool_calls", f"WITH {_pool_sql(f'SELECT * FROM ({_PAYLOADS}) x', 16)} SELECT file_id, batch_id, CAST(task AS INTEGER) AS task, CAST(round AS BIGINT) AS round, CAST(CASE WHEN status <> 'cancelled' THEN slot END AS BIGINT) AS slot, status FROM told")
+def _pool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tasks that share a rate; the first batch that is refused ends the work of all."""
+    options = TranslateOptions("es", max_workers=4, rps=2000.0)
+    return translating.outcomes(_keyed(spark, sf_dir, options), options, _refusing, _dealt(), 16).select("file_id", "batch_id", "task", "round", "slot", "status")
 
 
-def _said(body: str) -> str | None:
+@_query("resumed_calls", f"WITH {_pool_sql(f'SELECT * FROM ({_PAYLOADS}) x QUALIFY row_number() OVER (PARTITION BY payload ORDER BY file_id, batch_id) = 1', 16)} SELECT a.file_id, a.batch_id, CASE WHEN t.status = 'done' THEN 1 ELSE 2 END AS run, CAST(len(string_split(a.payload, chr(10))) AS BIGINT) AS items FROM ({_PAYLOADS}) a JOIN told t ON t.payload = a.payload")
+def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that a refused batch ends, and a second one with the same ledger that asks for what is left."""
+    options = TranslateOptions("es", max_workers=4, rps=0)
+    sent = durable(_keyed(spark, sf_dir, options))
+    ledger = f"{shared_root(spark)}/ledger-{uuid.uuid4().hex}"
     try:
-        return client.reply_content(body)
-    except client.Retryable:
-        return None
+        translating.ask(sent, options, _refusing, ledger, _dealt(), size=16)
+    except translating.BatchFailed:
+        pass
+    first = durable(translating.held(ledger, sent).select("key", F.lit(1).alias("run")))
+    translating.ask(sent, options, lambda o: lambda payload: payload, ledger, _dealt())
+    both = sent.join(translating.held(ledger, sent), "key").join(first, "key", "left")
+    return both.select("file_id", "batch_id", F.coalesce("run", F.lit(2)).alias("run"), F.size("items").cast("long").alias("items"))
+
+
+# Files as others write them
+
+
+_ODD_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda l: {_TRIM.format('l')}), lambda l: l <> '')"
+
+
+@_query("scan_srt_odd", f"""
+WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, doc_id % 12 AS kind, {_ODD_LINES} AS said FROM documents),
+n AS (SELECT *, CASE WHEN len(said) > 0 AND list_max(list_transform(said, lambda l: strlen(l))) >= 65536 THEN 'a line is too long'
+                     WHEN kind = 3 THEN 'invalid subtitle index: x1' WHEN kind = 4 THEN 'invalid subtitle timing: 00:00 --> 1'
+                     WHEN kind = 5 THEN 'could not find subtitle timing' WHEN kind = 11 THEN 'invalid subtitle timing' END AS _error FROM f)
+SELECT file_id, CAST(i - 1 AS BIGINT) AS pos, CAST(i * CASE WHEN kind = 6 THEN -1 ELSE 1 END AS BIGINT) AS idx, CAST(i * 60000 + 7 AS BIGINT) AS from_ms, CAST(i * 61000 + 1005 AS BIGINT) AS to_ms,
+       said[i] || CASE WHEN kind = 7 THEN chr(10) || 'and' ELSE '' END AS text, CAST(NULL AS VARCHAR) AS _error
+FROM (SELECT *, unnest(range(1, len(said) + 1)) AS i FROM n WHERE _error IS NULL AND len(said) > 0) u
+UNION ALL SELECT file_id, NULL, NULL, NULL, NULL, NULL, _error FROM n WHERE _error IS NOT NULL AND (len(said) > 0 OR kind IN (3, 4, 5, 11))
+""")
+def _scan_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of each document, a cue of each line, as editors write them: a mark before the first line, blank lines, line ends
+    of two characters, cues of white lines, signs, coordinates, minutes past 59, no last line end; and broken ones."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("file_id"), (F.col("doc_id") % 12).alias("kind"), F.filter(F.transform(F.split("text", "\n"), text.trim), lambda x: x != "").alias("said"))
+    kind = F.col("kind")
+    number = lambda i: F.concat(F.when(kind == 6, "-").when(kind == 2, "+").otherwise(""), (i + 1).cast("string"))
+    time = lambda i: F.concat(F.lit("at 0:"), (i + 1).cast("string"), F.lit(":0,7 --> 00:00:"), ((i + 1) * 61 + 1).cast("string"), F.lit(",005 X1:40 Y1:20"))
+    more = F.when(kind == 7, "\n \t\n and").otherwise("")
+    cue = F.transform("said", lambda x, i: F.concat(F.when(kind == 9, " \n\n").otherwise(""), number(i), F.lit("\n"), time(i), F.lit("\n"), x, more))
+    body = F.array_join(cue, "\n\n")
+    broken = F.when(kind == 3, "x1\n00:00:01,000 --> 00:00:02,000\na\n\n").when(kind == 4, "1\n00:00 --> 1\na\n\n").when(kind == 11, "1\n\n00:00:01,000 --> 00:00:02,000\na\n\n").otherwise("")
+    whole = F.concat(F.when(kind == 1, "\ufeff").when(kind == 8, "\n\ufeff \n\n \ufeff").otherwise(""), broken, body, F.when(kind == 5, F.when(F.size("said") > 0, "\n\n7").otherwise("7")).when(kind == 10, "\n\n\n \n").otherwise(""))
+    lines = F.when(kind.isin(2, 9), F.replace(whole, F.lit("\n"), F.lit("\r\n"))).otherwise(whole)
+    return srt.parse(docs.select("file_id", lines.alias("content")))

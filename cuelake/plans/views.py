@@ -25,9 +25,9 @@ SELECT CAST(conv_id AS {text}) AS file_id, turn AS pos, turn + 1 AS idx,
          WHEN 1 THEN concat('NORA: ', text, ' [glass breaks]')
          WHEN 2 THEN concat('- [Mr. Finch] ', text)
          WHEN 3 THEN concat('(coughs) ', text, ' {{bell rings}}')
-         WHEN 4 THEN concat('Get down,', chr(10), '[static', chr(10), 'crackling]', chr(10), 'Quick!')
+         WHEN 4 THEN concat('Get down,', chr(10), '[static', chr(10), 'crackling]', chr(10), text)
          WHEN 5 THEN concat('<i>', text, '</i>')
-         WHEN 6 THEN '♪ ♪'
+         WHEN 6 THEN concat('♪ ♪', chr(10), text)
          WHEN 7 THEN concat('  ', text, ' ', chr(10), ' ', chr(10), '____')
          ELSE text END AS text
 FROM {conversations}

@@ -24,7 +24,7 @@ def check(spark, column, cases):
 
 
 def test_clean_text(spark):
-    check(spark, text.clean_text, [(" \t\nhello\r\n\t ", "hello"), ("  he\tllo\nworld  ", "he\tllo\nworld"), ("hello\n\n\nworld", "hello\nworld"), ("  hello  \r\n  world  \r\n", "hello\nworld"), ("", ""), (" x　", "x"), (None, None)])
+    check(spark, text.clean_text, [("\t\n ferry\t\r\n ", "ferry"), (" north\tpier \nat dawn", "north\tpier\nat dawn"), ("one\n\n \n\ntwo\nthree", "one\ntwo\nthree"), (" gulls \r\n\r\n ropes\r\n", "gulls\nropes"), ("", ""), (" x　", "x"), (None, None)])
 
 
 def test_structural_line(spark):
@@ -39,9 +39,9 @@ def test_decorative(spark):
 
 
 def test_small_strings(spark):
-    check(spark, text.mask_keys, [("abcd,efgh", "a**d,e**h"), ("a,bc", "*,b*"), (",,,", ",,,"), ("", "")])
-    check(spark, lambda c: text.mask_keys(c, ""), [("abcd,efgh", "a*******h")])
-    check(spark, text.normalize_csv, [(" k1, ,k2 ,k3 ,, ", "k1,k2,k3"), (",,,", "")])
+    check(spark, text.mask_keys, [("tide42,harbour", "t****2,h*****r"), ("q,no,", "*,n*,"), (",,", ",,"), ("", "")])
+    check(spark, lambda c: text.mask_keys(c, ""), [("tide42,moor", "t*********r")])
+    check(spark, text.normalize_csv, [("rope , , oar,sail ,", "rope,oar,sail"), (" , ,", "")])
     check(spark, lambda c: text.abbreviate(c, 5), [("  abcdef ", "ab..."), ("abcde", "abcde"), ("", "")])
     check(spark, lambda c: text.abbreviate(c, 3), [("abcdef", "abc"), ("éé", "é"), ("♪♪", "♪"), ("😀x", "")])
     check(spark, lambda c: text.abbreviate(c, 10), [("éééééééé", "ééé..."), ("😀😀😀", "😀..."), ("aé♪😀é♪😀", "aé♪...")])
@@ -210,6 +210,9 @@ def test_client():
     assert [client.backoff(n, jitter=0) for n in (0, 1, 2, 5, 9)] == [0.5, 0.5, 1.0, 8.0, 10.0]
     assert client.backoff(1, draw=lambda: 1.0) == pytest.approx(0.6)
     assert [client.retry_after(x) for x in ("3", "x", "-1", None)] == [3.0, 0.0, 0.0, 0.0]
+    assert [n for n in range(100, 700) if client.is_retryable_status(n)] == [429, *range(500, 600)] and [n for n in range(100, 700) if client.is_rejected_status(n)] == [401, 403, 429]
+    assert [client.retry_after(x) for x in (" 12 ", "0", "1.5", "Fri, 31 Dec 1999", "")] == [12.0, 0.0, 0.0, 0.0, 0.0]
+    assert client.join_url("https://h:8/a/../b", "/v1/x") == "https://h:8/b/v1/x" and client.base_url(" GPT-4o ") == "https://api.openai.com"
     assert client.base_url("gpt-x") and client.base_url("m", "http://h/") == "http://h/"
     with pytest.raises(ValueError):
         client.base_url("m")
