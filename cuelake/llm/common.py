@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an output batch; bounds what a Python worker holds beside its input batch.
 BATCH_ROWS = 512
-#: What compact() puts into a file, as Spark's cache counts it.
+#: What compact() puts into a file, by what a row's columns take: 8 bytes, or for strings and lists these.
 FILE_BYTES = 2 << 20
+WIDTHS = {"string": 24, "binary": 24, "array": 160}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,14 +49,13 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """durable() in as many files as df's size needs, computed in df's own partitions first: those of small tables may be many,
-    and where Hadoop has no native library, each file that an executor writes costs processes that start as copies of its JVM."""
+    """durable() in as many files as df's rows need, computed in df's own partitions first: those of small tables may be many,
+    and where Hadoop has no native library, each file that an executor writes costs processes that start as copies of its JVM.
+    The rows stand on the executors' disks meanwhile, and are computed anew where one is lost."""
     held = df.persist(StorageLevel.DISK_ONLY)
     try:
-        held.count()
-        # of a new plan, as a plan's size is looked up once; it is what the tasks have counted
-        size = held.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return durable(held.coalesce(max(1, math.ceil(size / FILE_BYTES))))
+        width = sum(WIDTHS.get(t.partition("<")[0], 8) for _, t in df.dtypes)
+        return durable(held.coalesce(max(1, math.ceil(held.count() * width / FILE_BYTES))))
     finally:
         held.unpersist()
 

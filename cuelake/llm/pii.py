@@ -300,6 +300,7 @@ def document_graph(text: str, base: list[Span]) -> Graph:
     for start, end in spans:
         while at < len(ordered) and ordered[at][2] <= start:
             at += 1
+        # ordered[at] is the first to end beyond the start: if it begins beyond the end, so do all after it
         inside = [s for s in ordered[at : at + 4] if s[1] < end and start < s[2]]
         clamped.append(1 + _ORDER[inside[0][0]] if inside else -1)
     edges = [(i, i + 1, 0) for i in range(len(spans) - 1)]

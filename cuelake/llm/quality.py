@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from cuelake.llm import common
 from cuelake.llm.shingles import chunks, word_hashes
 
-#: Languages have a reference of their own, and words, from so many documents on, the most frequent first, so many at most.
-LEAST_DOCS, MOST_LANGUAGES = 20, 64
+#: Languages have a reference of their own, and words, from so many documents on.
+LEAST_DOCS = 20
 #: Words of a language's histogram.
 COMMON_WORDS = 100
 OTHER = "und"
@@ -80,7 +80,7 @@ class Words:
 
 def common_words(df: DataFrame) -> Words:
     """Learnt from all of df's documents of MIN_WORDS words or more: in each language the COMMON_WORDS words that most documents
-    have. Counted in each task first; a few thousand rows come to the driver at most."""
+    have. Counted in each task first; what comes to the driver is COMMON_WORDS rows for each language of LEAST_DOCS documents."""
     schema = pa.schema([("lang", pa.string()), ("word", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +107,9 @@ def common_words(df: DataFrame) -> Words:
 
     counted = df.select("text", "lang").mapInArrow(run, "lang string, word long, n long").filter("lang <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = common.compact(counted)
-    langs = counted.filter("word is null").filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
-    names = [r["lang"] for r in langs.collect()]
+    langs = counted.filter("word is null").filter(F.col("n") >= LEAST_DOCS).select("lang")
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counted.filter(F.col("word").isNotNull() & F.col("lang").isin(names)).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= COMMON_WORDS)
+    top = counted.filter("word is not null").join(langs, "lang", "left_semi").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= COMMON_WORDS)
     found: dict[str, list[int]] = {}
     for r in top.select("lang", "word").collect():
         found.setdefault(r["lang"], []).append(r["word"])
@@ -169,8 +168,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def references(measured: DataFrame) -> dict[str, np.ndarray]:
-    """The summed shares, classes first, of all documents of each reference that pass the base rules: MOST_LANGUAGES + 1 rows at
-    most, added up in the tasks first. The sums are whole numbers, so the order of rows doesn't matter."""
+    """The summed shares, classes first, of all documents of each reference that pass the base rules: a row for each
+    language with words and one for the rest, added up in the tasks first. The sums are whole numbers, so the order of rows doesn't matter."""
     schema = pa.schema([("ref", pa.string()), ("place", pa.int64()), ("total", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
