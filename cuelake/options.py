@@ -9,6 +9,7 @@ from cuelake.functions import hi
 from cuelake.functions.layout import MAX_LINE_LENGTH, MIN_WORDS_MERGE
 from cuelake.functions.timing import parse_duration
 
+#: What a flag's variable may say.
 _TRUE, _FALSE = ("1", "t", "true", "y", "yes", "on"), ("0", "f", "false", "n", "no", "off")
 
 
