@@ -1,7 +1,7 @@
 """The wire format of translation batches: NDJSON items {"idx":n,"text":"..."}, and tolerant reading of replies.
 
-Encoding is built-in: to_json with the escapes that count towards a batch's size. Reading is a Python function used
-through an Arrow UDF; clean replies could be read by from_json, broken ones need repair.
+Encoding is built-in: to_json with the escapes that count towards a batch's size. So is the reading of sound replies; broken
+ones go to a Python function through an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -175,10 +175,30 @@ def parse_reply(reply: str) -> list[tuple[int, str]]:
     return _numbered(lines, _strict)
 
 
-@F.pandas_udf(ITEMS)
-def parse_ndjson(replies: pd.Series) -> pd.Series:
-    """The items of each reply; null where none can be read."""
+#: One item alone on its line, once every escape but those of surrogates is a single "_".
+_SOUND = r'^[ \t\r]*+\{[ \t]*+"idx"[ \t]*+:[ \t]*+[1-9][0-9]{0,17}[ \t]*+,[ \t]*+"text"[ \t]*+:[ \t]*+"[^"\\\x00-\x1f]*+"[ \t]*+\}[ \t\r]*+\z'
+_ESCAPE = r'\\(?:["\\/bfnrt]|u(?![dD][89a-fA-F])[0-9a-fA-F]{4})'
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def sound_items(reply: Column) -> Column:
+    """The items of a reply with nothing to mend: one object a line, of idx and text, also in a fence; else null. The shape of a
+    line is looked at without its escapes, and its values are read as a VARIANT. Whatever this reads, parse_reply() reads alike."""
+    bare = trim(F.replace(reply, F.lit("\r\n"), F.lit("\n")))
+    body = _let(bare, lambda x: F.when(F.startswith(x, F.lit("```")), F.regexp_extract(x, r"(?s)\A```[^\n]*+\n(.*)```\z", 1)).otherwise(x))
+    item = lambda v: F.struct(F.try_variant_get(v, "$.idx", "bigint").alias("idx"), F.try_variant_get(v, "$.text", "string").alias("text"))
+    one = lambda line: F.when(F.regexp_replace(line, _ESCAPE, "_").rlike(_SOUND), _let(F.try_parse_json(line), item))
+    items = F.transform(F.filter(F.split(body, "\n", -1), lambda x: ~x.rlike(r"^[ \t\r]*+\z")), one)
+    whole = lambda got: F.when((F.size(got) > 0) & F.forall(got, lambda i: i["idx"].isNotNull() & i["text"].isNotNull()), got)
+    return _let(items, whole)
+
 
+@F.pandas_udf(ITEMS)
+def _parse(replies: pd.Series) -> pd.Series:
     def one(reply):
         try:
             return [{"idx": i, "text": t} for i, t in parse_reply(reply)]
@@ -188,6 +208,19 @@ def parse_ndjson(replies: pd.Series) -> pd.Series:
     return replies.map(one, na_action="ignore")
 
 
+def parse_ndjson(reply: Column) -> Column:
+    """The items of each reply; null where none can be read. Python sees only what sound_items() can't read."""
+    sound = sound_items(reply)
+    return F.coalesce(sound, _parse(F.when(sound.isNull(), reply)))
+
+
+def read_replies(rows: DataFrame, reply: Column, name: str = "items") -> DataFrame:
+    """rows with parse_ndjson(reply) as name; sound replies are read once."""
+    read = rows.select("*", reply.alias("_reply")).select("*", sound_items(F.col("_reply")).alias("_sound"))
+    items = F.coalesce("_sound", _parse(F.when(F.col("_sound").isNull(), F.col("_reply"))))
+    return read.withColumn(name, items).drop("_reply", "_sound")
+
+
 def envelope_content(body: Column) -> Column:
     """choices[0].message.content of a chat completion, trimmed; null if there is none or it is empty."""
     got = F.from_json(body, "choices array<struct<message:struct<content:string>>>")

@@ -16,7 +16,7 @@ from cuelake.operators.kept import durable, shared_root
 from cuelake.options import FixOptions, TranslateOptions
 from cuelake.plans import pipeline
 from cuelake.plans.views import CUES_SQL, DEC_SQL, cues, dec
-from cuelake.sources import srt
+from cuelake.sources import collection, srt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -373,6 +373,20 @@ def _guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.fix_files(srt.render(some)).select("file_id", F.sha2("content", 256).alias("content_sha256"), "was_empty", "changed")
 
 
+@_query("publish_changed", f"{_twice_sql(_SOME)}, old AS ({_rendered_sql(f'({_SOME})')}), new AS ({_rendered_sql('fixed')}), both_ AS (SELECT o.file_id, o.content AS old, n.content AS new, CASE WHEN CAST(o.file_id AS BIGINT) % 3 = 1 THEN 'unchanged' WHEN n.content IS NULL THEN 'kept' WHEN n.content = o.content THEN 'unchanged' ELSE 'written' END AS status FROM old o LEFT JOIN new n ON n.file_id = o.file_id) SELECT file_id, status, sha256(CASE WHEN status = 'written' THEN new ELSE old END) AS content_sha256, CASE WHEN status = 'written' THEN sha256(old) END AS before_sha256 FROM both_")
+def _publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files put into a collection, two thirds of them fixed, and all published again: what became of each, what the collection
+    holds, and its backup."""
+    some = cues(spark, sf_dir).withColumn("text", F.when(F.col("file_id").cast("long") % 5 == 0, "- - -").otherwise(F.col("text")))
+    root = f"{shared_root(spark)}/collection-{uuid.uuid4().hex}"
+    collection.publish(srt.render(some), root)
+    held, third = collection.files(spark, root), F.col("file_id").cast("long") % 3 == 1
+    fixed = pipeline.fix_files(held.filter(~third)).select("file_id", F.when(~F.col("was_empty"), F.col("content")).alias("content"))
+    told = collection.publish(fixed.unionByName(held.filter(third)), root)
+    sums = [collection.files(spark, root, age).select("file_id", F.sha2("content", 256).alias(name)) for age, name in ((0, "content_sha256"), (1, "before_sha256"))]
+    return told.join(sums[0], "file_id", "left").join(sums[1], "file_id", "left")
+
+
 # Wire
 
 _LIMIT = 1200
@@ -411,7 +425,7 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads in code fences, as a model may send them back, read into items."""
     fenced = F.concat(F.lit("```json\n"), F.col("payload"), F.lit("\n```"))
-    items = _payload(spark, sf_dir).select("file_id", F.explode(wire.parse_ndjson(fenced)).alias("item"))
+    items = wire.read_replies(_payload(spark, sf_dir), fenced).select("file_id", F.explode("items").alias("item"))
     return items.select("file_id", "item.idx", "item.text")
 
 
@@ -438,7 +452,7 @@ def _broken_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = F.get(F.array(*[F.lit(r) for r, _ in _REPLIES]), ((F.col("file_id").cast("long") + F.col("idx")) % 8).cast("int"))
     for mark, value in (("I,", F.concat(F.col("idx").cast("string"), F.lit(","))), ("J,", F.concat((F.col("idx") + 1).cast("string"), F.lit(","))), ("W", F.col("w"))):
         reply = F.replace(reply, F.lit(mark), value)
-    items = rows.select("file_id", "idx", F.explode(wire.parse_ndjson(reply)).alias("item"))
+    items = wire.read_replies(rows, reply).select("file_id", "idx", F.explode("items").alias("item"))
     return items.select("file_id", "idx", F.col("item.idx").alias("item_idx"), F.col("item.text").alias("item_text"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from cuelake.functions import style
-from cuelake.functions.wire import parse_ndjson
+from cuelake.functions.wire import _parse
 
 
 def register(spark: SparkSession) -> None:
@@ -16,4 +16,4 @@ def register(spark: SparkSession) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION format_time(ms BIGINT) RETURNS STRING RETURN format_string('%02d:%02d:%02d,%03d', ms DIV 3600000, ms DIV 60000 % 60, ms DIV 1000 % 60, ms % 1000)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION mask_key(t STRING) RETURNS STRING RETURN CASE length(t) WHEN 0 THEN '' WHEN 1 THEN '*' WHEN 2 THEN concat(left(t, 1), '*') ELSE concat(left(t, 1), repeat('*', length(t) - 2), right(t, 1)) END")
     spark.udf.register("strip_style", style._strip)
-    spark.udf.register("parse_ndjson", parse_ndjson)
+    spark.udf.register("parse_ndjson", _parse)

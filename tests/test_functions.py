@@ -149,6 +149,47 @@ def test_odd_replies(spark):
     assert apply(spark, wire.parse_ndjson, replies) == [[(1, "\ufffd")], None, None, None, [(2, "b")]]
 
 
+def test_sound_replies_are_read_without_python(spark):
+    """Natively read or not, a reply has the items that parse_reply() reads; which are read natively is stated."""
+    sound = [
+        '{"idx":1,"text":"a"}',
+        '```json\n{"idx":1,"text":"a \\"b\\" \\u003ci\\u003e {c} \\\\"}\r\n\n{ "idx" : 12, "text" : "" }\n```',
+        "\n" + "\n".join('{"idx":%d,"text":"%s"}' % (i, "x\\n" * 400) for i in range(1, 300)) + "\n \n",
+        '{"idx":7,"text":"' + "y\\t" * 300_000 + '"}',
+        '{"idx":999999999999999999,"text":"[1] ``` \\/ \u2028 😀"}',
+    ]
+    mended = [
+        '{"idx":1,"text":"a"} {"idx":2,"text":"b"}',
+        '{"text":"a","idx":1}',
+        '{"idx":1,"te\\u0078t":"a"}',
+        '{"idx":1,"text":"\\ud83d\\ude00"}',
+        '{"idx":1\\n,"text":"a"}',
+        '{"idx":01,"text":"a"}',
+        '{"idx":0,"text":"a"}',
+        '{"idx":1,"text":"a "b" c"}',
+        '{"idx":1,"text":"a"}\nthat is all',
+        '```\n{"idx":1,"text":"a ``` b"}',
+        '[{"idx":1,"text":"a"}]',
+        "``````",
+        "",
+    ]
+
+    def want(reply):
+        try:
+            return wire.parse_reply(reply)
+        except wire.WireError:
+            return None
+
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate([*sound, *mended, None])], "n long, reply string")
+    got = {r.n: (r.native, r.items) for r in wire.read_replies(rows.withColumn("native", wire.sound_items(F.col("reply"))), F.col("reply")).collect()}
+    assert [n for n in got if got[n][0] is not None] == list(range(len(sound)))
+    for n, reply in enumerate([*sound, *mended]):
+        assert (got[n][1] and [tuple(x) for x in got[n][1]]) == want(reply), reply[:80]
+        if n < len(sound):
+            assert got[n][0] == got[n][1]
+    assert got[len(sound) + len(mended)] == (None, None)
+
+
 def test_white_space(spark):
     """Every character of White_Space is trimmed, splits words, and is one space within a line; long runs take no longer."""
     odd = [c for c in text.WHITE_SPACE if c != "\n"]
