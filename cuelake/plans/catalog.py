@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelake import sql
 from cuelake.functions import hi, language, layout, style, text, timing, wire
 from cuelake.operators import batches, client, filters, merge, order
 from cuelake.operators import translate as translating
@@ -22,11 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(name: str, sql: str | None = None):
+def _query(name: str, oracle: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
+        if oracle:
+            ORACLES[name] = oracle
         return f
 
     return add
@@ -354,6 +355,15 @@ def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srt.parse(srt.render(cues(spark, sf_dir))).drop("_error")
 
 
+@_query("srt_cues_sql", f"SELECT file_id, pos - 1 AS pos, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS idx, from_ms, to_ms, text FROM ({CUES_SQL}) c")
+def _cues_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files rendered and read by the functions for SQL users."""
+    sql.register(spark)
+    return spark.sql("""
+        WITH files AS (SELECT file_id, render_srt(collect_list(struct(pos, from_ms, to_ms, text))) AS content FROM {cues} GROUP BY file_id)
+        SELECT file_id, c.pos, c.idx, c.from_ms, c.to_ms, c.text FROM files, LATERAL srt_cues(content) c""", cues=cues(spark, sf_dir))
+
+
 @_query("render_srt", f"SELECT file_id, string_agg(n || chr(10) || {_clock('from_ms')} || ' --> ' || {_clock('to_ms')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY n) AS content FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS n FROM ({CUES_SQL}) c) d GROUP BY file_id")
 def _render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srt.render(cues(spark, sf_dir))

@@ -13,7 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from cuelake.functions import text, timing
@@ -61,10 +61,11 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, paths: str | list[str], mode: str = "FAILFAST") -> DataFrame:
-    """The cues of all files under paths; "-" (standard input) isn't a path here."""
+    """The cues of all files under paths, in any store that Spark reads; "-" (standard input) isn't a path here. file_id is the
+    file's URI, and a filter on it is answered by the listing, so other files aren't opened."""
     if "-" in ([paths] if isinstance(paths, str) else paths):
         raise ValueError("standard input can't be read; give files or folders")
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file_id"), F.col("value").alias("content"))
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file_id"), F.col("value").alias("content"))
     cues = parse(files)
     if mode == "PERMISSIVE":
         return cues
@@ -96,13 +97,26 @@ class _File(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, root: str) -> None:
         self.root = root
+        self.only: set | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Conditions on file_id choose files; the others are left to Spark."""
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute == ("file_id",):
+                asked = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.only = asked if self.only is None else self.only & asked
+            else:
+                yield f
 
     def partitions(self) -> list[_File]:
         at = Path(self.root)
-        return [_File(str(p)) for p in (sorted(at.rglob("*.srt")) if at.is_dir() else [at])]
+        found = (str(p) for p in (sorted(at.rglob("*.srt")) if at.is_dir() else [at]))
+        return [_File(p) for p in found if self.only is None or p in self.only]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        yield from read_cues(partition.path, Path(partition.path).read_bytes().decode("utf-8"))
+    def read(self, partition: _File | None) -> Iterator[tuple]:
+        # where there are no files, Spark asks for one part all the same
+        if partition is not None:
+            yield from read_cues(partition.path, Path(partition.path).read_bytes().decode("utf-8"))
 
 
 @dataclass
@@ -174,6 +188,8 @@ class SrtDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Spark hands filters to sources in Python only where the session says so."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SrtDataSource)
 
 
