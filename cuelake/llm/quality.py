@@ -109,7 +109,8 @@ def common_words(df: DataFrame) -> Words:
     counted = common.compact(counted)
     langs = counted.filter("word is null").filter(F.col("n") >= LEAST_DOCS).select("lang")
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counted.filter("word is not null").join(langs, "lang", "left_semi").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= COMMON_WORDS)
+    # ranked before small languages go, so that tasks hand on no more than COMMON_WORDS rows a language
+    top = counted.filter("word is not null").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= COMMON_WORDS).join(langs, "lang", "left_semi")
     found: dict[str, list[int]] = {}
     for r in top.select("lang", "word").collect():
         found.setdefault(r["lang"], []).append(r["word"])
