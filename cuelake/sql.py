@@ -22,7 +22,7 @@ class SrtCues:
 
 
 def register(spark: SparkSession) -> None:
-    """clean_text, is_decorative_line, format_time and mask_key as SQL functions; strip_style and parse_ndjson as Arrow UDFs."""
+    """clean_text, is_decorative_line, format_time and mask_key as SQL functions; strip_style as a Python UDF, parse_ndjson as an Arrow UDF."""
     w = r"\\p{IsWhite_Space}"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION clean_text(t STRING) RETURNS STRING RETURN array_join(filter(transform(split(replace(t, '\\r\\n', '\\n'), '\\n', -1), x -> regexp_replace(x, '^{w}+|{w}+\\\\z', '')), x -> x <> ''), '\\n')")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_decorative_line(t STRING) RETURNS BOOLEAN RETURN t RLIKE '^{w}*([-:._♪♫])(?:{w}*\\\\1)*{w}*\\\\z'")

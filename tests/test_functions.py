@@ -94,6 +94,19 @@ def test_style(spark):
     assert style.strip_text("<i>a<br><b></b>\nb</i>") == "a\nb"
 
 
+def test_style_holds_few_texts_at_a_time(spark):
+    """Whole pages go to Python by 100 rows, also in sessions that turn other UDFs to Arrow, whose batches have 10,000."""
+    spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
+    try:
+        text = F.when(F.col("id") % 3 > 0, F.concat(F.lit("<i>"), F.col("id").cast("string"), F.lit("</i>")))
+        got = spark.range(0, 300, 1, 1).select("id", style.strip_style(text).alias("t"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "Arrow" not in plan
+        assert [r["t"] for r in got.collect()] == [str(n) if n % 3 else None for n in range(300)]
+    finally:
+        spark.conf.unset("spark.sql.execution.pythonUDF.arrow.enabled")
+
+
 def test_layout(spark):
     check(spark, lambda c: layout.wrap_lines(c, 10), [("aaaa bbbb cccc", "aaaa bbbb\ncccc"), ("aaaaaaaaaaaaaa b", "aaaaaaaaaaaaaa\nb"), ("éééé éééé", "éééé\néééé"), ("<i aaaa bbbb cccc>", "<i aaaa bbbb cccc>"), ("", "")])
     check(spark, layout.merge_short_lines, [("Hola\nque tal\nBien.\ny tu", "Hola que tal\nBien.\ny tu"), ("One long line of words here\n, and on", "One long line of words here , and on"), ("A\nB\nC", "A\nB\nC")])
