@@ -71,7 +71,15 @@ def _item(pairs) -> tuple[int, str]:
             if type(value) is not str:
                 raise WireError("text isn't a string")
             text = value
-    return _sound(idx), text.translate(_LONE)
+    return _sound(idx), _paired(text)
+
+
+def _paired(text: str) -> str:
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.translate(_LONE)
+    return text
 
 
 def _sound(idx: int) -> int:
@@ -84,9 +92,12 @@ class _Pairs(list):
     pass
 
 
+_DECODER = json.JSONDecoder(object_pairs_hook=_Pairs, parse_constant=_no_constant)
+
+
 def _load(text: str):
     try:
-        return json.loads(text, object_pairs_hook=_Pairs, parse_constant=_no_constant)
+        return _DECODER.decode(text)
     except (ValueError, RecursionError) as e:
         raise WireError(f"invalid JSON: {e}") from e
 
@@ -115,7 +126,7 @@ def repaired(text: str) -> tuple[int, str]:
     if len(idx[1]) > 20:
         raise WireError(f"invalid idx: {idx[1][:20]}...")
     number = _sound(int(idx[1]))
-    return number, _load('"' + _BARE.sub(lambda m: m[1] or '\\"', said[1]) + '"').translate(_LONE)
+    return number, _paired(_load('"' + _BARE.sub(lambda m: m[1] or '\\"', said[1]) + '"'))
 
 
 def _some(items: list[tuple[int, str]]) -> list[tuple[int, str]]:
@@ -156,7 +167,8 @@ def unfenced(text: str) -> str:
 
 def parse_reply(reply: str) -> list[tuple[int, str]]:
     """Items of a model's reply. A reply that begins with a bracket must be a sound array; otherwise objects anywhere, then
-    strict lines, then lines of which broken ones are mended, then mended objects; if all fail, the strict error is raised."""
+    strict lines, then lines of which broken ones are mended, then mended objects; if all fail, the strict error is raised.
+    Strict lines are tried first, as they give the same items as their objects and are read many times faster."""
     text = unfenced(reply.replace("\r\n", "\n")).strip()
     if not text:
         raise WireError("empty translation output")
@@ -166,7 +178,7 @@ def parse_reply(reply: str) -> list[tuple[int, str]]:
             raise WireError("not an array")
         return _some([_item(x if x is not None else _Pairs()) for x in got])
     lines = text.split("\n")
-    ways = (lambda: _some([_strict(o) for o in objects(text)]), lambda: _numbered(lines, _strict), lambda: _numbered(lines, _mended), lambda: _some([repaired(o) for o in objects(text)]))
+    ways = (lambda: _numbered(lines, _strict), lambda: _some([_strict(o) for o in objects(text)]), lambda: _numbered(lines, _mended), lambda: _some([repaired(o) for o in objects(text)]))
     for way in ways:
         try:
             return way()

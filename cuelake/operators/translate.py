@@ -3,7 +3,8 @@
 The pool is a barrier stage, so its tasks run at the same time and can speak to each other. They go in rounds. Before each,
 every task tells all how many batches it takes, whether one failed and what its clock says; from that all know when and in
 which order the round's calls begin, spaced by the rate that they share, whoever has work. Once a batch has failed for good
-its task asks no more, and nobody begins another round. Speaking takes up to a second, so a round is some seconds of calls.
+its task asks no more, and nobody begins another round. Speaking takes up to a second, so a round is some seconds of calls:
+at no rate a task takes as many as it would have made in that time at the last round's pace.
 
 The ledger is a Parquet table with the items of each payload that was answered, by a digest of payload, languages and model.
 What it holds isn't asked again, so a run after a failed one calls only what is left; equal payloads are asked once.
@@ -18,9 +19,8 @@ import math
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +31,15 @@ from cuelake.operators.client import ChatClient, Limiter, backoff
 from cuelake.operators.kept import durable, shared_root
 from cuelake.options import TranslateOptions
 
-#: Seconds of calls between two rounds at a given rate, and batches of a task at none.
-ROUND_S, ROUND = 10, 4096
+#: Seconds of calls between two rounds; at no rate batches of a task's first round, and characters of any.
+ROUND_S, ROUND, ROUND_CHARS = 10, 256, 1 << 25
+#: Batches whose outcomes a task holds.
+HANDED = 2048
 #: Tasks hear of what all have told within so many seconds.
 HEARD_S = 1.1
 _ITEM = "array<struct<idx:long,text:string>>"
 _OUTCOME = f"key string, file_id string, batch_id long, task int, round long, slot long, status string, error string, items {_ITEM}"
+_OUTCOME_ARROW = pa.schema([("key", pa.string()), ("file_id", pa.string()), ("batch_id", pa.int64()), ("task", pa.int32()), ("round", pa.int64()), ("slot", pa.int64()), ("status", pa.string()), ("error", pa.string()), ("items", pa.list_(pa.struct([("idx", pa.int64()), ("text", pa.string())])))])
 _LEDGER = f"key string, items {_ITEM}"
 
 
@@ -78,20 +81,22 @@ def outcomes(sent: DataFrame, options: TranslateOptions, make_fn: Callable[[Tran
     spark = sent.sparkSession
     workers = max(1, min(options.max_workers, spark.sparkContext.defaultParallelism))
     gap = 1.0 / options.rps if options.rps > 0 else 0.0
+    paced = not (size or gap)
     size = size or (max(1, math.ceil(ROUND_S * options.rps / workers)) if gap else ROUND)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, fn, free = BarrierTaskContext.get(), make_fn(options), Limiter(0)
-        me, turn, before, failed, start = context.partitionId(), 0, 0, False, 0.0
-        rows = (r for part in parts for r in part[["key", "file_id", "batch_id", "payload"]].itertuples(index=False, name=None))
+        me, turn, before, failed, start, most = context.partitionId(), 0, 0, False, 0.0, size
+        rows = (r for part in parts for r in zip(*(part.column(c).to_pylist() for c in ("key", "file_id", "batch_id", "payload")), strict=True))
         while True:
-            mine = list(islice(rows, size))
+            mine = taken(rows, most)
             told = [json.loads(x) for x in context.allGather(json.dumps([len(mine), failed, time.time()]))]
             calls = sum(n for n, _, _ in told)
             if not calls or any(bad for _, bad, _ in told):
                 break
             first, out = sum(n for n, _, _ in told[:me]), []
-            start = max(start, max(t for _, _, t in told) + HEARD_S)
+            start, spent = max(start, max(t for _, _, t in told) + HEARD_S), 0.0
+            began = time.monotonic()
             for k, (key, file_id, batch_id, payload) in enumerate(mine, first):
                 if failed:
                     out.append((key, file_id, batch_id, me, turn, None, "cancelled", None, None))
@@ -104,21 +109,37 @@ def outcomes(sent: DataFrame, options: TranslateOptions, make_fn: Callable[[Tran
                 except Exception as e:
                     failed = True
                     out.append((key, file_id, batch_id, me, turn, before + k, "failed", f"{type(e).__name__}: {e}"[:1000], None))
-            yield _frame(out)
+                if len(out) == HANDED:
+                    spent += time.monotonic() - began
+                    yield _handed(out)
+                    out, began = [], time.monotonic()
+            yield _handed(out)
+            spent += time.monotonic() - began
+            if paced and mine:
+                most = max(1, min(16 * most, int(ROUND_S * len(mine) / max(spent, 1e-3))))
             start, before, turn = start + calls * gap, before + calls, turn + 1
         # what is left has not been asked
         while mine:
-            yield _frame([(*row[:3], me, turn + i // size, None, "cancelled", None, None) for i, row in enumerate(mine)])
-            turn, mine = turn + 1, list(islice(rows, size))
+            yield _handed([(*row[:3], me, turn, None, "cancelled", None, None) for row in mine])
+            turn, mine = turn + 1, taken(rows, most)
 
     task = F.pmod(F.xxhash64("key"), F.lit(workers)) if deal is None else deal
     dealt = sent.select("key", "file_id", "batch_id", "payload", task.cast("int").alias("_task")).repartitionById(workers, F.col("_task")).sortWithinPartitions("file_id", "batch_id").drop("_task")
-    return dealt.mapInPandas(run, _OUTCOME, barrier=True)
+    return dealt.mapInArrow(run, _OUTCOME, barrier=True)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["key", "file_id", "batch_id", "task", "round", "slot", "status", "error", "items"])
-    return out.astype({"slot": "Int64"})
+def taken(rows: Iterator[tuple], most: int) -> list[tuple]:
+    """The next rows, `most` at most, and no more once their payloads have ROUND_CHARS."""
+    out, chars = [], 0
+    while len(out) < most and chars < ROUND_CHARS and (row := next(rows, None)):
+        out.append(row)
+        chars += len(row[3] or "")
+    return out
+
+
+def _handed(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_OUTCOME_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUTCOME_ARROW, strict=True)], schema=_OUTCOME_ARROW)
 
 
 def keyed(sent: DataFrame, options: TranslateOptions) -> DataFrame:

@@ -152,6 +152,17 @@ def test_replies():
             wire.parse_reply(bad)
 
 
+def test_sound_lines_are_read_as_they_are(monkeypatch):
+    """One sound object a line is read without looking for objects; the items are those of the objects."""
+    replies = ['{"idx":1,"text":"a {b} \\" c"}\n\n {"text":"\u00bb d","idx":2,"x":{"y":[{}]}} \n', '```json\n{"IDX":3,"Text":"\\ud800e\\ud83d\\ude00"}\n```', '{"idx":4}']
+    want = [[wire._strict(o) for o in wire.objects(wire.unfenced(r).strip())] for r in replies]
+    assert want == [[(1, 'a {b} " c'), (2, "\u00bb d")], [(3, "\ufffde\U0001f600")], [(4, "")]]
+    two = '{"idx":1,"text":"a"} {"idx":2,"text":"b"}\n{"idx":3,\n"text":"c"}'
+    assert wire.parse_reply(two) == [(1, "a"), (2, "b"), (3, "c")]
+    monkeypatch.setattr(wire, "objects", lambda text: pytest.fail("looked for objects"))
+    assert [wire.parse_reply(r) for r in replies] == want
+
+
 def test_odd_replies(spark):
     for bad in ('{"idx":99999999999999999999,"text":"a"}', '{"idx":9223372036854775808,"text":"a"}', "[" * 100_000, '{"idx":1' + "0" * 5000 + ',"text":"a "b" c"}'):
         with pytest.raises(wire.WireError):

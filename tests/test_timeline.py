@@ -315,6 +315,30 @@ def test_pool_keeps_one_rate(spark):
     assert max(r["round"] for r in got if r["task"] == 0) == 1 and max(r["round"] for r in got if r["task"] == 3) == 6
 
 
+def test_rounds_follow_the_calls_pace(spark, monkeypatch):
+    """At no rate a task's rounds grow while calls are fast, as speaking takes a second each, and shrink when they are slow."""
+
+    def service(seconds):
+        return lambda options: lambda payload: time.sleep(seconds) or payload
+
+    def rounds(n, seconds):
+        got = translating.outcomes(numbered_payloads(spark, n), TranslateOptions("es", max_workers=1, rps=0), service(seconds)).collect()
+        assert {r["status"] for r in got} == {"done"} and sorted(r["slot"] for r in got) == list(range(n))
+        assert all(r["items"][0]["text"] == f"t{int(r['file_id'][1:])}" for r in got)
+        return [sum(r["round"] == k for r in got) for k in range(max(r["round"] for r in got) + 1)]
+
+    monkeypatch.setattr(translating, "ROUND", 4)
+    assert len(rounds(200, 0)) <= 5
+    monkeypatch.setattr(translating, "ROUND_S", 0.25)
+    first, *others = rounds(9, 0.1)
+    assert first == 4 and max(others) <= 2
+
+
+def test_a_round_holds_so_many_characters():
+    rows = iter([("k", "f", n, "x" * (translating.ROUND_CHARS // 2)) for n in range(5)])
+    assert [[r[2] for r in translating.taken(rows, most)] for most in (9, 1, 9, 9)] == [[0, 1], [2], [3, 4], []]
+
+
 def test_first_failure_stops_all(spark):
     options = TranslateOptions("es", max_workers=4, rps=0)
 
